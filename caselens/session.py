@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor
-    re-reads the same rows instead of computing them again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where several branches of a plan read the same intermediate rows: it is computed
+    once, a lost executor re-reads files instead of recomputing, and the columnar file
+    keeps column pruning and size statistics for the branches.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/caselens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

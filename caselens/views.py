@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer files than cores; otherwise unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _props_k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
@@ -26,7 +32,7 @@ def events_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def case_docs(spark: SparkSession, sf: str) -> DataFrame:
-    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, l = spread(table(spark, sf, "documents")), table(spark, sf, "labels")
     risk = (
         F.when(F.col("toxic") == 1, "极高").when(F.col("quality") == 0, "高")
         .when(F.col("quality") == 1, "中").otherwise("")
@@ -64,7 +70,7 @@ def keep_position(raw: DataFrame) -> DataFrame:
 def case_parts(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     price = F.col("p_retailprice")
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.concat(F.lit("P-"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("case_id"),
         F.col("p_partkey").alias("input_pos"),
         F.col("p_name").alias("title"),

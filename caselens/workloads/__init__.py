@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "search")
+MODULES = ("catalogue", "search", "vectors")
 
 
 def load_all() -> None:

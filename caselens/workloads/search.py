@@ -88,7 +88,7 @@ def paged_results(spark, sf):
 
 
 _BROWSE = """q0 AS (SELECT 1 AS query_id),
-pool AS (SELECT 1 AS query_id, case_id, 0.0 AS score, lower(title) AS t, custom_subcategory AS sub,
+pool AS (SELECT 1 AS query_id, case_id, CAST(0 AS DOUBLE) AS score, lower(title) AS t, custom_subcategory AS sub,
     CASE WHEN victim_group = '' THEN '未知人群' ELSE lower(victim_group) END AS victim, ccl2023_category AS cat
   FROM case_parts WHERE risk_level = '低' AND contains(lower(entry_channels_raw), 'app')),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t, case_id) AS rank,
