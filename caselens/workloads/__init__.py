@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "search", "vectors")
+MODULES = ("catalogue", "search", "vectors", "turns")
 
 
 def load_all() -> None:
