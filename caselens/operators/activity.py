@@ -223,31 +223,26 @@ def lookback_before(onsets: DataFrame, blocks: DataFrame, key: str, window: int,
     ``blocks`` end at ``time`` and last ``length``; pairs meet in time buckets of one
     window, so an onset sees only the two buckets its window touches.
     """
-    buckets = F.floor(F.col(time) / window)
-    left = onsets.select(key, F.col(time).alias("onset_us"), F.explode(F.array(buckets - 1, buckets)).alias("_b"))
-    cells = F.sequence(F.floor((F.col(time) - F.col(length)) / window), buckets)
-    right = blocks.select(
-        key, F.col(time).alias("_end"), (F.col(time) - F.col(length)).alias("_start"), F.explode(cells).alias("_b")
+    bucket = F.floor(F.col(time) / window)
+    left = onsets.select(key, F.col(time).alias("onset_us"), F.explode(F.array(bucket - 1, bucket)).alias("_b"))
+    right = blocks.where(F.col(length) > 0).select(
+        key, (F.col(time) - F.col(length)).alias("_start"), F.col(time).alias("end_us"), bucket.alias("_b")
     )
     low = F.col("onset_us") - window
-    pairs = left.join(right, [key, "_b"]).where(
-        (F.col("_end") <= F.col("onset_us")) & (F.col("_end") > low) & (F.col("_end") > F.col("_start"))
-    ).select(
-        key, "onset_us", F.greatest("_start", low).alias("start_us"), F.col("_end").alias("end_us"),
-        (F.col("_b") == F.floor(F.col("_end") / window)).alias("_own"),
-    )
-    return pairs.where("_own").drop("_own")
+    return left.join(right, [key, "_b"]).where(
+        (F.col("end_us") <= F.col("onset_us")) & (F.col("end_us") > low)
+    ).select(key, "onset_us", F.greatest("_start", low).alias("start_us"), "end_us")
 
 
-def resample_linear(series: DataFrame, key: str, order: str, time: str, value: str, step: int, rows: int = CHUNK_ROWS) -> DataFrame:
-    """Series on the grid ``first + n * step``: linear between neighbours, the last sample
-    where the grid meets or first passes the end. Each segment between two samples makes
-    its own grid points, so block borders leave no trace."""
+def resample_linear(series: DataFrame, key: str, order: str, time: str, value: str, step: int, tail: int = 1, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Series on the grid ``first + n * step``: linear between neighbours; the last sample
+    holds for ``tail``. Each segment between two samples makes its own grid points, so
+    block borders leave no trace."""
     first = series.groupBy(key).agg(F.min(time).alias("_t0"))
     nexts = ordered_scan(
         series, [key], order, {"_n": Next(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))}, rows
     ).join(first, key)
-    t0, t1 = F.col(time), F.coalesce(F.col("_n.t"), F.col(time) + 1)
+    t0, t1 = F.col(time), F.coalesce(F.col("_n.t"), F.col(time) + tail)
     low = F.ceil((t0 - F.col("_t0")) / step)
     high = F.ceil((t1 - F.col("_t0")) / step) - 1
     points = nexts.where(high >= low).select(

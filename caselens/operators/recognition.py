@@ -88,27 +88,29 @@ def piece_language(result: Column) -> Column:
     return F.coalesce(F.array_max(counted)["tag"], F.lit(""))
 
 
-def surviving_pieces(pieces: DataFrame, keys: Sequence[str] = ("stream",)) -> DataFrame:
-    """Pieces left after range replacements and overwrites.
+def surviving_pieces(
+    pieces: DataFrame, keys: Sequence[str] = ("stream",), filled: str = "word <> ''"
+) -> DataFrame:
+    """Pieces left after range replacements and overwrites, with ``placed``, the arrival
+    that opened their place.
 
     A replacement of [a, b] removes pieces with ``sn`` in the range that arrived before it;
-    among pieces with the same ``sn`` the last arrival stays. Replacement ranges become one
-    row per covered ``sn``, so both rules are equi-joins. Columns: keys, arrival, sn, pgs,
-    rg_start, rg_end.
+    among filled pieces with the same ``sn`` the last arrival stays. Replacement ranges
+    become one row per covered ``sn``, so both rules are equi-joins. Columns: keys,
+    arrival, sn, pgs, rg_start, rg_end.
     """
     keys = list(keys)
     cuts = (
         pieces.where("pgs = 'rpl' AND rg_start IS NOT NULL AND rg_end >= rg_start")
-        .select(*keys, "arrival", F.explode(F.sequence("rg_start", "rg_end")).cast("int").alias("sn"))
+        .select(*keys, "arrival", F.explode(F.sequence(F.col("rg_start").cast("int"), F.col("rg_end").cast("int"))).alias("sn"))
         .groupBy(*keys, "sn").agg(F.max("arrival").alias("_cut"))
     )
-    newest = pieces.groupBy(*keys, "sn").agg(F.max("arrival").alias("arrival"))
-    return (
-        pieces.join(newest, [*keys, "sn", "arrival"], "left_semi")
-        .join(cuts, [*keys, "sn"], "left")
-        .where(F.col("_cut").isNull() | (F.col("_cut") <= F.col("arrival")))
-        .drop("_cut")
+    others = [c for c in pieces.columns if c not in [*keys, "sn"]]
+    left = pieces.where(filled).join(cuts, [*keys, "sn"], "left").where("_cut IS NULL OR _cut <= arrival")
+    newest = left.groupBy(*keys, "sn").agg(
+        F.max_by(F.struct(*others), "arrival").alias("_p"), F.min("arrival").alias("placed")
     )
+    return newest.select(*keys, "sn", *[F.col(f"_p.{c}").alias(c) for c in others], "placed")
 
 
 def dominant_language(pieces: DataFrame, keys: Sequence[str] = ("stream",), tag: str = "lg", order: str = "arrival") -> DataFrame:

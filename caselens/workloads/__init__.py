@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "search", "vectors", "turns")
+MODULES = ("catalogue", "search", "vectors", "turns", "activity", "language")
 
 
 def load_all() -> None:
