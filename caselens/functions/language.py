@@ -113,7 +113,7 @@ def _hits(text: Column, markers: tuple[str, ...]) -> Column:
 def detect_locale(text: Column | str, hint: Column | None = None) -> Column:
     """Locale of a text: dialect markers, then script, then letters; the hint only breaks
     ties."""
-    content = _strip(F.col(text) if isinstance(text, str) else text)
+    content = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     hinted = F.lit(None).cast("string") if hint is None else canonical_locale(hint)
     cantonese, sichuan = _hits(content, CANTONESE), _hits(content, SICHUAN)
     weak = _hits(content, HENAN_WEAK)
@@ -123,20 +123,26 @@ def detect_locale(text: Column | str, hint: Column | None = None) -> Column:
         .when((sichuan > 0) & (sichuan >= henan), "zh-CN-sichuan")
         .when(henan > 0, "zh-CN-henan")
     )
-    han = F.regexp_count(content, F.lit(HAN))
-    latin = F.regexp_count(content, F.lit(f"[{LATIN}]"))
     words = F.lower(F.translate(content, _WIDE, _NARROW))
     english = words.rlike(f"(?:^|[^{LATIN}])(?:{'|'.join(ENGLISH_WORDS)})(?:$|[^{LATIN}])")
-    by_letters = F.when(english | ~F.coalesce(hinted.isin(list(LATIN_HINTS)), F.lit(False)), "en-US").otherwise(hinted)
-    return (
-        F.when(content == "", F.coalesce(hinted, F.lit(DEFAULT_LOCALE)))
-        .when(dialect.isNotNull(), dialect)
-        .when(content.rlike(KANA), "ja-JP")
-        .when(content.rlike(HANGUL), "ko-KR")
-        .when((latin > 0) & ((han == 0) | (latin >= han * 2)), by_letters)
-        .when((han > 0) & F.coalesce(hinted.isin(list(HAN_HINTS)), F.lit(False)), hinted)
-        .when(han > 0, "zh-CN")
-        .otherwise(F.coalesce(hinted, F.lit(DEFAULT_LOCALE)))
+    # English words only matter where the hint names another language of the Latin branch
+    by_letters = F.when(
+        F.coalesce(hinted.isin([c for c in LATIN_HINTS if c != "en-US"]), F.lit(False)),
+        F.when(english, "en-US").otherwise(hinted),
+    ).otherwise("en-US")
+    # every dialect marker is Han, so texts without Han skip the marker and count passes
+    has_han, has_latin = content.rlike(HAN), content.rlike(f"[{LATIN}]")
+    mostly_latin = F.regexp_count(content, F.lit(f"[{LATIN}]")) >= 2 * F.regexp_count(content, F.lit(HAN))
+    by_script = F.when(content.rlike(KANA), "ja-JP").when(content.rlike(HANGUL), "ko-KR")
+    han_hint = F.coalesce(hinted.isin(list(HAN_HINTS)), F.lit(False))
+    return F.when(
+        has_han,
+        F.coalesce(
+            dialect, by_script,
+            F.when(has_latin & mostly_latin, by_letters).when(han_hint, hinted).otherwise("zh-CN"),
+        ),
+    ).otherwise(
+        F.coalesce(by_script, F.when(has_latin, by_letters), hinted, F.lit(DEFAULT_LOCALE))
     )
 
 
@@ -156,9 +162,10 @@ CLOSERS = r"[\"'”’)\]】》]"
 HARD = r"[。！!？?；;\n]"
 ABBREVIATIONS = "mr|mrs|ms|dr|prof|sr|jr|st|vs|etc"
 _BLANK = SPACE_CLASS
+# the stop comes first, so the look-behinds run only at stops
 SENTENCE_END = (
-    rf"(?iu)(?:{HARD}|(?<!(?:^|{_BLANK})(?:{ABBREVIATIONS}))(?<!(?:^|{_BLANK})(?:[a-z]\.){{1,7}}[a-z])"
-    rf"\.(?=\z|{_BLANK}|{CLOSERS})){CLOSERS}*"
+    rf"(?iu)(?:{HARD}|\.(?=\z|{_BLANK}|{CLOSERS})(?<!(?:^|{_BLANK})(?:{ABBREVIATIONS})\.)"
+    rf"(?<!(?:^|{_BLANK})(?:[a-z]\.){{2,8}})){CLOSERS}*"
 )
 
 
@@ -168,22 +175,14 @@ def sentence_parts(text: Column | str) -> Column:
     return F.split(F.regexp_replace(F.coalesce(column, F.lit("")), SENTENCE_END, "$0" + MARK), MARK)
 
 
-def completed_sentences(text: Column | str) -> Column:
-    parts = sentence_parts(text)
+def completed_sentences(parts: Column) -> Column:
     whole = F.slice(parts, F.lit(1), F.size(parts) - 1)
     return F.filter(F.transform(whole, _strip), lambda s: s != "")
 
 
-def first_sentence(text: Column | str) -> Column:
-    return F.get(completed_sentences(text), F.lit(0))
-
-
-def rest_of_text(text: Column | str, locale: Column) -> Column:
+def rest_of_text(done: Column, parts: Column, locale: Column) -> Column:
     """What follows the first sentence, joined without blanks in zh, yue, ja and ko."""
-    done = completed_sentences(text)
     tail = F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))
-    separator = F.when(F.lower(locale).rlike("^(?:zh|yue|ja|ko)(?:-|$)"), "").otherwise(" ")
-    joined = F.aggregate(
-        tail, F.lit(""), lambda text_, s: F.when(text_ == "", s).otherwise(F.concat(text_, separator, s))
-    )
-    return _strip(F.concat(joined, F.element_at(sentence_parts(text), -1)))
+    close = F.lower(locale).rlike("^(?:zh|yue|ja|ko)(?:-|$)")
+    joined = F.when(close, F.array_join(tail, "")).otherwise(F.array_join(tail, " "))
+    return _strip(F.concat(joined, F.element_at(parts, -1)))

@@ -55,8 +55,11 @@ def multi_values(text: Column | str) -> Column:
 
 def norm_query(text: Column | str) -> Column:
     cleaned = F.btrim(casefold(norm(text)), F.lit(QUERY_PUNCTUATION))
-    for filler in QUERY_FILLERS:
-        cleaned = F.replace(cleaned, F.lit(filler), F.lit(" "))
+    # in listed order; a fold keeps the plan small
+    cleaned = F.aggregate(
+        F.array(*[F.lit(filler) for filler in QUERY_FILLERS]), cleaned,
+        lambda left, filler: F.replace(left, filler, F.lit(" ")),
+    )
     cleaned = F.regexp_replace(cleaned, COUNT_PHRASE, " ")
     cleaned = F.regexp_replace(cleaned, SPACE_CLASS + "+", " ")
     return F.btrim(cleaned, F.lit(QUERY_PUNCTUATION))

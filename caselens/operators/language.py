@@ -29,15 +29,20 @@ def canonical_locales(rows: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _split(texts: DataFrame, text: str) -> DataFrame:
+    parted = texts.withColumn("_parts", lang.sentence_parts(text))
+    return parted.withColumn("_done", lang.completed_sentences(F.col("_parts")))
+
+
 def sentences(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pos, sentence) of the completed sentences."""
-    rows = texts.select(*keys, F.posexplode(lang.completed_sentences(text)).alias("_p", "sentence"))
+    rows = _split(texts, text).select(*keys, F.posexplode("_done").alias("_p", "sentence"))
     return rows.select(*keys, (F.col("_p") + 1).alias("pos"), "sentence")
 
 
 def first_and_rest(texts: DataFrame, keys: list[str], text: str, locale: str) -> DataFrame:
-    return texts.select(
+    return _split(texts, text).select(
         *keys,
-        F.coalesce(lang.first_sentence(text), F.lit("")).alias("first"),
-        lang.rest_of_text(text, F.col(locale)).alias("rest"),
+        F.coalesce(F.get("_done", F.lit(0)), F.lit("")).alias("first"),
+        lang.rest_of_text(F.col("_done"), F.col("_parts"), F.col(locale)).alias("rest"),
     )

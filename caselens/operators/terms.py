@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE_CLASS, casefold
-from ..plans.match import BROADCAST_TERM_CHARS, PIECE_CHARS, find_terms
+from ..plans.match import BROADCAST_TERM_CHARS, PIECE_CHARS, find_terms, text_pieces
 from ..session import pinned
 
 # Common terms, weights and acceptance limits.
@@ -147,16 +147,7 @@ def text_windows(texts: DataFrame, keys: list[str], text: str, forms: DataFrame,
         )
     if total <= BROADCAST_TERM_CHARS:
         anchors = F.broadcast(anchors)
-    pieces = texts.select(
-        *keys,
-        F.explode(F.transform(
-            F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / PIECE_CHARS).cast("int")),
-            lambda i: F.struct(
-                (i * PIECE_CHARS).alias("base"),
-                F.substring(F.col(text), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS + max(longest, 1) - 1)).alias("body"),
-            ),
-        )).alias("_piece"),
-    ).where(F.length("_piece.body") > 0)
+    pieces = text_pieces(texts, keys, text, longest)
     spots = pieces.select(
         *keys, "_piece",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE_CHARS), F.length("_piece.body")))).alias("_at"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE_CLASS, casefold, line_text, norm, requested_count
 from ..plans.match import find_terms
 from ..plans.scan import Last, Sum, numbered, ordered_scan, top_rows
+from ..session import pinned
 
 # Limits, phrase lists and prompt texts.
 MAX_QUESTION_CHARS = 4000
@@ -195,7 +196,7 @@ def retrieval_basis(
     asked = turns.withColumn("_text", casefold(norm(text)))
     forms = asked.select("_text").distinct()
     order = F.when(F.col("kind") == "item_name", 1).when(F.col("kind") == "category", 2).otherwise(3)
-    best_kind = anchors.groupBy("anchor").agg(F.min(order).alias("_p"))
+    best_kind = pinned(anchors.groupBy("anchor").agg(F.min(order).alias("_p")))
     hit = (
         find_terms(forms, ["_text"], "_text", best_kind, "anchor", first_only=True)
         .join(best_kind.withColumnRenamed("anchor", "term"), "term")
