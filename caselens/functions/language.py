@@ -157,7 +157,7 @@ def speech_locale(text: Column | str) -> Column:
 
 # Sentence borders. A stop counts unless it ends an abbreviation or initials; it must be
 # followed by a blank, a closing mark or the end.
-MARK = "﷐"
+MARK = "\ufdd0"
 CLOSERS = r"[\"'”’)\]】》]"
 HARD = r"[。！!？?；;\n]"
 ABBREVIATIONS = "mr|mrs|ms|dr|prof|sr|jr|st|vs|etc"

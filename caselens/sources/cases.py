@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CASE_SCHEMA, CATEGORY_SCHEMA
+from ..functions.text import multi_values
+from ..schema import CATEGORY_SCHEMA, CORE_FIELDS, MULTI_VALUE_FIELDS
 
-ITEMS = T.ArrayType(CASE_SCHEMA)
+TEXTS = T.ArrayType(T.StringType())
+# every field is read as text first: a list arrives as its JSON text, so a file may give a
+# multi-value field either way
+RAW_RECORD = T.StructType([T.StructField(name, T.StringType()) for name in CORE_FIELDS])
 
 
 def _first_filled(*lists: Column) -> Column:
@@ -16,26 +20,42 @@ def _first_filled(*lists: Column) -> Column:
 
 
 def envelope_items(payload: Column, mode: str = "builder") -> Column:
-    """Records of one envelope text, an array or an object.
+    """Records of one envelope text, an array or an object, as an array of JSON texts.
 
     The builder takes the first non-empty of items/records/list; the loader takes
-    ``items`` if the key is there, otherwise ``case_items``.
+    ``items`` if the key is there, otherwise ``case_items``. Entries that are no objects
+    are left out.
     """
-    clean = F.regexp_replace(payload, "^﻿", "")
-    fields = T.StructType([T.StructField(n, ITEMS) for n in ("items", "records", "list", "case_items")])
-    envelope = F.from_json(clean, fields)
+    clean = F.ltrim(F.regexp_replace(payload, "^\ufeff", ""))
+    names = ("items", "records", "list", "case_items")
+    envelope = F.from_json(clean, T.StructType([T.StructField(n, TEXTS) for n in names]))
     if mode == "builder":
         listed = _first_filled(envelope["items"], envelope["records"], envelope["list"])
     else:
         listed = F.coalesce(envelope["items"], envelope["case_items"])
-    bare = F.ltrim(clean).startswith("[")
-    records = F.when(bare, F.from_json(clean, ITEMS)).otherwise(listed)
-    wrong = ~F.ltrim(clean).startswith("[") & ~F.ltrim(clean).startswith("{")
+    records = F.when(clean.startswith("["), F.from_json(clean, TEXTS)).when(clean.startswith("{"), listed)
     if mode == "builder":
-        records = F.when(
-            wrong, F.raise_error(F.lit("source must be a JSON object or array")).cast(ITEMS)
-        ).otherwise(records)
-    return F.filter(records, lambda record: record.isNotNull())
+        records = records.otherwise(
+            F.raise_error(F.lit("source must be a JSON object or array")).cast(TEXTS)
+        )
+    return F.filter(records, lambda text: F.coalesce(F.ltrim(text).startswith("{"), F.lit(False)))
+
+
+def _list_field(text: Column, mode: str) -> Column:
+    plain = multi_values(text) if mode == "builder" else F.filter(F.array(text), lambda t: F.trim(t) != "")
+    parsed = F.when(F.ltrim(text).startswith("["), F.from_json(text, TEXTS))
+    return F.when(text.isNotNull(), F.coalesce(parsed, plain))
+
+
+def typed_records(rows: DataFrame, record: str, *kept: str, mode: str = "builder") -> DataFrame:
+    """Case columns from a struct of texts."""
+    return rows.select(
+        *kept,
+        *[
+            (_list_field(F.col(f"{record}.{n}"), mode) if n in MULTI_VALUE_FIELDS else F.col(f"{record}.{n}")).alias(n)
+            for n in CORE_FIELDS
+        ],
+    )
 
 
 def read_cases(spark: SparkSession, path: str, mode: str = "builder") -> DataFrame:
@@ -43,16 +63,28 @@ def read_cases(spark: SparkSession, path: str, mode: str = "builder") -> DataFra
 
     An envelope is one JSON document, so one file is one row until it is exploded;
     a large catalogue is written as JSON lines or parquet, which ``read_case_lines`` reads.
+    The loader also accepts ``id`` for ``case_id``.
     """
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = whole.select("file", F.posexplode(envelope_items(F.col("value"), mode)).alias("i", "r"))
-    return rows.select("file", (F.col("i") + 1).cast("bigint").alias("input_pos"), "r.*")
-
-
-def read_case_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line; lines that are no JSON land in ``_corrupt_record``."""
-    schema = T.StructType([*CASE_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).json(path)
+    rows = whole.select("file", F.posexplode(envelope_items(F.col("value"), mode)).alias("i", "text"))
+    parsed = rows.select(
+        "file", (F.col("i") + 1).cast("bigint").alias("input_pos"),
+        F.from_json("text", RAW_RECORD).alias("r"), F.get_json_object("text", "$.id").alias("_id"),
+    )
+    cases = typed_records(parsed, "r", "file", "input_pos", "_id", mode=mode)
+    if mode == "loader":
+        cases = cases.withColumn("case_id", F.coalesce("case_id", "_id"))
+    return cases.drop("_id")
+
+
+def read_case_lines(spark: SparkSession, path: str, mode: str = "builder") -> DataFrame:
+    """One record per line; a line that is no JSON object lands in ``_corrupt_record``."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", RAW_RECORD).alias("r"), "value")
+    good = F.ltrim("value").startswith("{") & F.expr("try_parse_json(value)").isNotNull()
+    return typed_records(
+        parsed.withColumn("_corrupt_record", F.when(~good, F.col("value"))), "r", "_corrupt_record", mode=mode
+    )
 
 
 def write_catalogue(cases: DataFrame, categories: DataFrame, meta: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import multi_values, norm
 from ..operators import catalogue as op
 from ..operators.search import facet_filter
-from ..sources.cases import envelope_items
+from ..sources.cases import RAW_RECORD, envelope_items, typed_records
 from ..views import case_docs, doc_cases, events_k, part_cases, sql_with, table
 from .registry import query
 from .sqltext import SPACE, s_norm
@@ -34,15 +34,18 @@ def scan_case_json(spark, sf):
     text = (
         F.when(kind == 0, F.concat(F.lit('{"items":['), first, F.lit(","), second, F.lit("]}")))
         .when(kind == 1, F.concat(F.lit('{"items":[],"records":['), first, F.lit("]}")))
-        .when(kind == 2, F.concat(F.lit('﻿{"schema_version":4,"list":['), second, F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit('\ufeff{"schema_version":4,"list":['), second, F.lit("]}")))
         .otherwise(F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")))
     )
     rows = events_k(spark, sf).select(
-        "event_id", F.posexplode(envelope_items(text)).alias("_i", "_r")
+        "event_id", F.posexplode(envelope_items(text)).alias("_i", "_text")
     )
-    return rows.select(
-        "event_id", (F.col("_i") + 1).alias("input_pos"), F.col("_r.case_id"), F.col("_r.title"),
-        F.coalesce("_r.summary", F.lit("")).alias("summary"),
+    parsed = rows.select(
+        "event_id", (F.col("_i") + 1).alias("input_pos"), F.from_json("_text", RAW_RECORD).alias("_r")
+    )
+    cases = typed_records(parsed, "_r", "event_id", "input_pos")
+    return cases.select(
+        "event_id", "input_pos", "case_id", "title", F.coalesce("summary", F.lit("")).alias("summary")
     )
 
 
