@@ -84,9 +84,11 @@ def ordered_scan(
             for index, name in enumerate(names)
         ]
     )
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in the opposite order: a frame that grows with the rows
+    # is updated in place, one that shrinks would be recomputed for every row
+    across = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = across.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = across.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carries = []
     for index, name in enumerate(names):
         spec, total = outputs[name], F.col(f"_t{index}")
@@ -97,17 +99,17 @@ def ordered_scan(
         elif isinstance(spec, Last):
             carry = F.last(total, ignorenulls=True).over(earlier)
         else:
-            carry = F.first(total, ignorenulls=True).over(later)
+            carry = F.last(total, ignorenulls=True).over(later)
         carries.append(carry.alias(f"_c{index}"))
     carry_rows = summary.select(*staged_keys, *carries)
 
-    within = Window.partitionBy(*staged_keys).orderBy(order)
+    within = Window.partitionBy(*staged_keys)
     local = staged
     for index, name in enumerate(names):
         spec, value = outputs[name], F.col(f"_v{index}")
         stop = 0 if spec.inclusive else -1
-        before = within.rowsBetween(Window.unboundedPreceding, stop)
-        after = within.rowsBetween(-stop, Window.unboundedFollowing)
+        before = within.orderBy(order).rowsBetween(Window.unboundedPreceding, stop)
+        after = within.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, stop)
         if isinstance(spec, Sum):
             expr = F.sum(value).over(before)
         elif isinstance(spec, Max):
@@ -115,7 +117,7 @@ def ordered_scan(
         elif isinstance(spec, Last):
             expr = F.last(value, ignorenulls=True).over(before)
         else:
-            expr = F.first(value, ignorenulls=True).over(after)
+            expr = F.last(value, ignorenulls=True).over(after)
         local = local.withColumn(f"_l{index}", expr)
 
     joined = local.join(carry_rows, staged_keys, "left")

@@ -44,7 +44,7 @@ def case_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.substring("text", 1, 200).alias("summary"),
         F.lit("").alias("judgment_reason"),
         F.substring("text", 201, 300).alias("risk_signals"),
-        F.substring("text", 501, 300).alias("prevention_advice"),
+        F.expr("substring(text, 501)").alias("prevention_advice"),
         F.col("source").alias("source_name"),
         F.lower("lang").alias("ccl2023_category"),
         F.col("source").alias("custom_subcategory"),
@@ -204,7 +204,7 @@ SQL_VIEWS = {
     "ev": _EV,
     "case_docs": """SELECT 'FZ-' || lpad(CAST(d.doc_id AS VARCHAR), 6, '0') AS case_id, d.doc_id AS input_pos,
   substr(d.text, 1, 60) AS title_raw, substr(d.text, 1, 200) AS summary_raw, '' AS judgment_reason,
-  substr(d.text, 201, 300) AS risk_raw, substr(d.text, 501, 300) AS advice_raw,
+  substr(d.text, 201, 300) AS risk_raw, substr(d.text, 501) AS advice_raw,
   d.source AS source_name, lower(d.lang) AS ccl2023_category, d.source AS custom_subcategory,
   CASE WHEN l.toxic = 1 THEN '极高' WHEN l.quality = 0 THEN '高' WHEN l.quality = 1 THEN '中' ELSE '' END AS risk_level,
   d.source || ';' || d.lang || '；' || d.source AS entry_channels_raw,

@@ -167,7 +167,7 @@ def term_similarity(spark, sf):
     return tm.base_scores(candidates, vocabulary).select("raw", "canonical", F.round("base", 6).alias("base"))
 
 
-_SHORT = "SELECT DISTINCT left(title, 3) AS form FROM case_parts UNION SELECT DISTINCT 'tion' FROM case_parts"
+_SHORT = "SELECT DISTINCT unnest(string_split(title, ' ')) AS form FROM case_parts UNION SELECT DISTINCT 'tion' FROM case_parts"
 _SPAN = f"""forms AS ({_SHORT}),
 cutup AS (SELECT doc_id, form, unnest(string_split(text, form)) AS part, generate_subscripts(string_split(text, form), 1) AS i, len(string_split(text, form)) AS n
   FROM documents, (SELECT form FROM forms UNION SELECT unnest(['ment', 'ring', 'atio', 'erou']))),
@@ -177,7 +177,7 @@ win AS (SELECT doc_id, l AS start, form AS raw FROM spot WHERE i < n AND form IN
 
 
 def _short_forms(spark, sf):
-    named = part_cases(spark, sf).select(F.substring("title", 1, 3).alias("form")).distinct()
+    named = part_cases(spark, sf).select(F.explode("tags").alias("form")).distinct()
     return named.unionByName(named.select(F.lit("tion").alias("form")).distinct())
 
 
