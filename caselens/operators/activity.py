@@ -238,10 +238,14 @@ def resample_linear(series: DataFrame, key: str, order: str, time: str, value: s
     """Series on the grid ``first + n * step``: linear between neighbours; the last sample
     holds for ``tail``. Each segment between two samples makes its own grid points, so
     block borders leave no trace."""
-    first = series.groupBy(key).agg(F.min(time).alias("_t0"))
     nexts = ordered_scan(
-        series, [key], order, {"_n": Next(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))}, rows
-    ).join(first, key)
+        series, [key], order,
+        {
+            "_n": Next(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))),
+            "_back": Max(-F.col(time), inclusive=True),
+        },
+        rows,
+    ).withColumn("_t0", -F.col("_back"))
     t0, t1 = F.col(time), F.coalesce(F.col("_n.t"), F.col(time) + tail)
     low = F.ceil((t0 - F.col("_t0")) / step)
     high = F.ceil((t1 - F.col("_t0")) / step) - 1

@@ -218,14 +218,14 @@ def facet_metadata(cases: DataFrame) -> DataFrame:
 def contract_checks(cases: DataFrame, categories: DataFrame, allowed: list[str]) -> DataFrame:
     """One row per check: (check, expected, actual, ok)."""
     fields = [name for name in cases.columns if name in CORE_FIELDS]
-    distinct_ids = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(
+    ids = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids")
     )
-    totals = categories.agg(
-        F.coalesce(F.sum("item_count"), F.lit(0)).alias("counted"),
-        F.count(F.when(~F.col("name").isin(allowed), 1)).alias("foreign"),
+    names = categories.agg(
+        F.sum("item_count").alias("counted"), F.count(F.when(~F.col("name").isin(allowed), 1)).alias("foreign")
     )
-    one = distinct_ids.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
+    both = ids.unionByName(names, allowMissingColumns=True)
+    one = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "ids", "counted", "foreign")])
 
     def check(name: str, expected: Column, actual: Column) -> Column:
         return F.struct(
@@ -236,9 +236,9 @@ def contract_checks(cases: DataFrame, categories: DataFrame, allowed: list[str])
     return one.select(
         F.inline(
             F.array(
-                check("distinct_ids", F.coalesce("rows", F.lit(0)), F.col("ids")),
+                check("distinct_ids", F.col("rows"), F.col("ids")),
                 check("field_set", F.lit(len(CORE_FIELDS)), F.lit(len(fields))),
-                check("category_counts", F.coalesce("rows", F.lit(0)), F.col("counted")),
+                check("category_counts", F.col("rows"), F.col("counted")),
                 check("category_domain", F.lit(0), F.col("foreign")),
             )
         )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scan import Max, ordered_scan
 from ..schema import PIECE_SCHEMA
 
 DELTA_SCHEMA = T.StructType([
@@ -24,12 +25,11 @@ def chunk_log_to_deltas(
     """(key, order, delta): content of each data line before the stream's ``[DONE]``."""
     body = F.when(F.col(text).startswith("data:"), F.trim(F.substring(F.col(text), 6, 1 << 30))).otherwise(F.col(text))
     kept = lines.where((F.coalesce(F.col(text), F.lit("")) != "") & ~F.col(text).startswith(":")).withColumn("_body", body)
-    done = kept.where("_body = '[DONE]'").groupBy(key).agg(F.min(order).alias("_done"))
+    ended = ordered_scan(kept, [key], order, {"_done": Max(F.when(F.col("_body") == "[DONE]", 1))})
     choice = F.get(F.from_json("_body", DELTA_SCHEMA)["choices"], F.lit(0))
     delta = F.coalesce(choice["delta"]["content"], choice["message"]["content"], F.lit(""))
     return (
-        kept.where("_body <> '[DONE]'").join(done, key, "left")
-        .where(F.col("_done").isNull() | (F.col(order) < F.col("_done")))
+        ended.where("_done IS NULL AND _body <> '[DONE]'")
         .withColumn("delta", delta).where("delta <> ''")
         .select(key, order, "delta")
     )

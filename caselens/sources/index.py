@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
@@ -16,22 +16,25 @@ def valid_vectors(rows: DataFrame, key: str = "item_id", vector: str = "embeddin
     return unit.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & (F.size(vector) > 0))
 
 
+def dataset_lineage() -> Column:
+    return F.struct(
+        "schema_version", "generated_at", F.col("item_count").cast("bigint").alias("item_count")
+    )
+
+
 def index_meta(
     vectors: DataFrame, dataset: DataFrame, *, model: str, base_url: str = "", generated_at: str = "",
     vector: str = "embedding",
 ) -> DataFrame:
     """One row: header fields plus the lineage of the data set it was built from."""
-    size = vectors.agg(F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimensions"))
-    lineage = dataset.select(
-        F.struct("schema_version", "generated_at", F.col("item_count").cast("bigint").alias("item_count"))
-        .alias("dataset"),
-        F.lit(1).alias("_one"),
+    size = vectors.agg(F.max(F.size(vector)).alias("dimensions"))
+    lineage = dataset.select(dataset_lineage().alias("dataset"))
+    one = size.unionByName(lineage, allowMissingColumns=True).agg(
+        F.coalesce(F.max("dimensions"), F.lit(0)).alias("dimensions"), F.max("dataset").alias("dataset")
     )
-    return (
-        size.withColumn("_one", F.lit(1)).join(lineage, "_one").select(
-            F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"), F.lit(generated_at).alias("generated_at"),
-            F.lit(model).alias("model"), F.lit(base_url).alias("base_url"), "dimensions", "dataset",
-        )
+    return one.select(
+        F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"), F.lit(generated_at).alias("generated_at"),
+        F.lit(model).alias("model"), F.lit(base_url).alias("base_url"), "dimensions", "dataset",
     )
 
 

@@ -150,17 +150,17 @@ def term_candidates(spark, sf):
 
 # one row per open pair of text ranges; each step takes the longest common block, the
 # earliest on ties, and opens the ranges on both sides of it
-_RATIO = f"""/*recursive*/ {_CANDS},
-blk AS (SELECT raw AS a, canonical AS b, 1 AS al, length(raw) + 1 AS ah, 1 AS bl, length(canonical) + 1 AS bh, 0 AS size FROM cands
+_BLOCKS = """blk AS (SELECT raw AS a, canonical AS b, 1 AS al, length(raw) + 1 AS ah, 1 AS bl, length(canonical) + 1 AS bh, 0 AS size FROM cands
   UNION ALL SELECT a, b, CASE WHEN side = 1 THEN al ELSE m.i + m.k END, CASE WHEN side = 1 THEN m.i ELSE ah END, CASE WHEN side = 1 THEN bl ELSE m.j + m.k END, CASE WHEN side = 1 THEN m.j ELSE bh END, CASE WHEN side = 1 THEN m.k ELSE 0 END
   FROM (SELECT *, list_sort(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j:
-      {{'k': list_max(list_filter(range(0, least(ah - i, bh - j) + 1), lambda n: substr(a, i, n) = substr(b, j, n))), 'ni': -i, 'nj': -j, 'i': i, 'j': j}}))))[-1] AS m
+      {'k': list_max(list_filter(range(0, least(ah - i, bh - j) + 1), lambda n: substr(a, i, n) = substr(b, j, n))), 'ni': -i, 'nj': -j, 'i': i, 'j': j}))))[-1] AS m
     FROM blk WHERE ah > al AND bh > bl), (SELECT unnest([1, 2]) AS side) WHERE m.k > 0),
-ratio AS (SELECT a AS raw, b AS canonical, 2.0::DOUBLE * sum(size) / (length(a) + length(b)) AS s FROM blk GROUP BY a, b)"""
+ratio AS (SELECT a AS raw, b AS canonical, 2.0::DOUBLE * sum(size) / (length(a) + length(b)) AS s FROM blk GROUP BY a, b),
+rated AS (SELECT raw, canonical, 0.52::DOUBLE * s + 0.48::DOUBLE * (len(list_filter(range(1, length(raw) + 1), lambda i: substr(raw, i, 1) = substr(canonical, i, 1))) / greatest(length(raw), length(canonical))::DOUBLE + s) / 2 AS base FROM ratio)"""
+_RATIO = f"/*recursive*/ {_CANDS}, {_BLOCKS}"
 
 
-@query("term_similarity", sql_with("case_parts", """
-SELECT raw, canonical, round(0.52::DOUBLE * s + 0.48::DOUBLE * (len(list_filter(range(1, length(raw) + 1), lambda i: substr(raw, i, 1) = substr(canonical, i, 1))) / greatest(length(raw), length(canonical))::DOUBLE + s) / 2, 6) AS base FROM ratio""", _RATIO))
+@query("term_similarity", sql_with("case_parts", "SELECT raw, canonical, round(base, 6) AS base FROM rated", _RATIO))
 def term_similarity(spark, sf):
     vocabulary = tm.build_vocabulary(part_cases(spark, sf))
     candidates = tm.term_candidates(_raws(spark, sf), tm.vocabulary_forms(vocabulary, RUN))
@@ -219,7 +219,34 @@ def nonoverlap_spans(spark, sf):
     return kept.select("doc_id", F.explode("k").alias("e")).select("doc_id", "e.start", "e.end", "e.raw")
 
 
-@query("term_correction")
+_CORRECT = f"""/*recursive*/ {_VOCAB},
+forms AS (SELECT *, canonical AS form FROM vocab WHERE regexp_matches(canonical, '^[a-z ]+$')),
+t AS (SELECT case_id, 'we sell 1 ' || {_CORRUPT} || ', 2 ' || title || ' and 3 wechot' AS text, ccl2023_category AS category, CASE WHEN victim_group = 'students' THEN title END AS ctx FROM case_parts),
+spots AS (SELECT text, unnest(range(0, length(text))) AS p FROM (SELECT DISTINCT text FROM t)),
+exact AS (SELECT text, p AS l, p + length(form) AS r FROM spots JOIN (SELECT DISTINCT form FROM forms) ON substr(text, p + 1, length(form)) = form),
+win AS (SELECT text, p AS start, substr(text, p + 1, size) AS raw FROM spots, (SELECT DISTINCT length(form) AS size FROM forms) z
+  WHERE size >= 2 AND p + size <= length(text) AND regexp_matches(substr(text, p + 1, size), '^[a-z ]+$')),
+free AS (SELECT * FROM win w WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.text = w.text AND w.start < e.r AND w.start + length(w.raw) > e.l)),
+cands AS (SELECT raw, canonical, arg_max(kind, place) AS kind, arg_max(category, place) AS category FROM (SELECT DISTINCT raw FROM free) JOIN forms
+  ON length(form) = length(raw) AND left(form, 1) = left(raw, 1) GROUP BY 1, 2),
+{_BLOCKS},
+sc AS (SELECT t.case_id, start, f.raw, c.canonical, c.kind, t.category = c.category AS incat, coalesce(contains(ctx, c.canonical), false) AS inctx,
+  least(1.0::DOUBLE, base + CASE WHEN t.category = c.category THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN coalesce(contains(ctx, c.canonical), false) THEN 0.12::DOUBLE ELSE 0 END) AS score
+  FROM t JOIN free f USING (text) JOIN cands c ON c.raw = f.raw JOIN rated r ON r.raw = c.raw AND r.canonical = c.canonical),
+pick AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS second FROM sc WINDOW w AS (PARTITION BY case_id, start, raw ORDER BY score DESC, canonical DESC)),
+good AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY start, length(raw) DESC, score DESC) AS n FROM pick
+  WHERE rn = 1 AND canonical <> raw AND score >= 0.88 AND score - second >= 0.12 AND (incat OR inctx OR kind IN ('common', 'category', 'channel'))),
+walk AS (SELECT case_id, n, start, raw, canonical, score, incat, inctx, true AS kept, start + length(raw) AS fin FROM good WHERE n = 1
+  UNION ALL SELECT g.case_id, g.n, g.start, g.raw, g.canonical, g.score, g.incat, g.inctx, g.start >= w.fin, CASE WHEN g.start >= w.fin THEN g.start + length(g.raw) ELSE w.fin END
+  FROM walk w JOIN good g ON g.case_id = w.case_id AND g.n = w.n + 1),
+prevs AS (SELECT *, coalesce(lag(fin) OVER (PARTITION BY case_id ORDER BY start), 0) AS prev FROM walk WHERE kept),
+sp AS (SELECT p.case_id, string_agg(substr(text, prev + 1, start - prev) || canonical, '' ORDER BY start) AS head, max(fin) AS fin,
+  string_agg(concat_ws(':', start, fin, raw, canonical, round(score, 6), CASE WHEN incat OR inctx THEN concat_ws('; ', CASE WHEN incat THEN 'category' END, CASE WHEN inctx THEN 'asr-context' END) ELSE 'vocabulary' END), '|' ORDER BY start) AS spans
+  FROM prevs p JOIN t USING (case_id) GROUP BY 1)"""
+
+
+@query("term_correction", sql_with("case_parts", """
+SELECT case_id, text AS raw_text, CASE WHEN head IS NULL THEN text ELSE head || substr(text, fin + 1) END AS canonical_text, coalesce(spans, '') AS spans FROM t LEFT JOIN sp USING (case_id)""", _CORRECT))
 def term_correction(spark, sf):
     cases = part_cases(spark, sf)
     title = F.replace(F.replace(F.col("title"), F.lit("in"), F.lit("an")), F.lit("ge"), F.lit("je"))

@@ -137,7 +137,10 @@ def stream_barge_in(spark, sf):
 
 
 # starts whose limit lies before the final watermark are settled; later ones are still open
-@query("stream_attempts")
+@query("stream_attempts", sql_with("ev", f"""
+SELECT event_id, t_us AS start_us, CASE WHEN hit THEN 'answered' ELSE 'first_token_timeout' END AS outcome
+FROM (SELECT *, k % 5 <> 0 AND CAST(floor(value * 500000) AS BIGINT) <= 8000000 AS hit FROM ev)
+WHERE hit OR t_us + 8000000 < (SELECT least(max(t_us), max(CASE WHEN k % 5 <> 0 THEN t_us + CAST(floor(value * 500000) AS BIGINT) END)) - {HOUR} FROM ev)"""))
 def stream_attempts(spark, sf):
     rows = events_k(spark, sf).select("event_id", micros().alias("t_us"), "k", "value")
     starts = rows.select("event_id", F.timestamp_micros("t_us").alias("start_ts"), "t_us")
