@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE_CLASS, casefold
+from .text import SPACE_CLASS, casefold, strip
 
 # Supported locales, aliases and marker words.
 DEFAULT_LOCALE = "zh-CN"
@@ -47,14 +47,10 @@ def _table(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-
-
 def canonical_locale(hint: Column | str) -> Column:
     """Supported locale of a hint: alias, then exact code, then primary subtag; else NULL."""
     column = F.col(hint) if isinstance(hint, str) else hint
-    folded = casefold(F.replace(_strip(column), F.lit("_"), F.lit("-")))
+    folded = casefold(F.replace(strip(column), F.lit("_"), F.lit("-")))
     aliases = _table(ALIASES)
     codes = _table({code.lower(): code for code in PROFILES})
     found = F.coalesce(
@@ -67,7 +63,7 @@ def canonical_locale(hint: Column | str) -> Column:
 
 def provider_locale(tag: Column | str) -> Column:
     column = F.col(tag) if isinstance(tag, str) else tag
-    key = F.replace(casefold(_strip(column)), F.lit("-"), F.lit("_"))
+    key = F.replace(casefold(strip(column)), F.lit("-"), F.lit("_"))
     return F.try_element_at(_table(PROVIDER_TAGS), key)
 
 
@@ -84,7 +80,7 @@ def canonical_tag(tag: Column | str) -> Column:
     """Letter case of a well-formed language tag: language lower, script title, region
     upper; '' for anything else."""
     column = F.col(tag) if isinstance(tag, str) else tag
-    text = F.replace(_strip(column), F.lit("_"), F.lit("-"))
+    text = F.replace(strip(column), F.lit("_"), F.lit("-"))
     parts = F.transform(
         F.split(F.lower(text), "-"),
         lambda part, i: F.when(i == 0, part)
@@ -164,8 +160,8 @@ ABBREVIATIONS = "mr|mrs|ms|dr|prof|sr|jr|st|vs|etc"
 _BLANK = SPACE_CLASS
 # the stop comes first, so the look-behinds run only at stops
 SENTENCE_END = (
-    rf"(?iu)(?:{HARD}|\.(?=\z|{_BLANK}|{CLOSERS})(?<!(?:^|{_BLANK})(?:{ABBREVIATIONS})\.)"
-    rf"(?<!(?:^|{_BLANK})(?:[a-z]\.){{2,8}})){CLOSERS}*"
+    rf"(?:{HARD}|\.(?=\z|{_BLANK}|{CLOSERS})(?<!(?:^|{_BLANK})(?iu:{ABBREVIATIONS})\.)"
+    rf"(?<!(?:^|{_BLANK})(?iu:[a-z]\.){{2,8}})){CLOSERS}*"
 )
 
 
@@ -177,7 +173,7 @@ def sentence_parts(text: Column | str) -> Column:
 
 def completed_sentences(parts: Column) -> Column:
     whole = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.filter(F.transform(whole, _strip), lambda s: s != "")
+    return F.filter(F.transform(whole, strip), lambda s: s != "")
 
 
 def rest_of_text(done: Column, parts: Column, locale: Column) -> Column:
@@ -185,4 +181,4 @@ def rest_of_text(done: Column, parts: Column, locale: Column) -> Column:
     tail = F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))
     close = F.lower(locale).rlike("^(?:zh|yue|ja|ko)(?:-|$)")
     joined = F.when(close, F.array_join(tail, "")).otherwise(F.array_join(tail, " "))
-    return _strip(F.concat(joined, F.element_at(parts, -1)))
+    return strip(F.concat(joined, F.element_at(parts, -1)))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Results depend on these exact lists and patterns.
 SPACE_CLASS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 QUERY_PUNCTUATION = "？?！!。.，,、；;：:（）()[]【】{} \t\r\n"
 QUERY_FILLERS = (
     "请介绍", "介绍一下", "有哪些", "有那些", "有什么", "想了解", "值得了解",
@@ -27,6 +33,12 @@ HYPHEN_BREAK = r"(?<=[\p{L}\p{N}_][\p{L}_])-(?=[\p{L}\p{N}_]+[\p{L}_])"
 HAN_WORD = r"^[\x{4e00}-\x{9fff}]+$"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row; an expression named twice inside
+    a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(text: Column | str) -> Column:
     """Collapse every run of white space to one blank and trim."""
     column = F.col(text) if isinstance(text, str) else text
@@ -39,11 +51,17 @@ def casefold(text: Column | str) -> Column:
     return F.replace(F.translate(F.lower(column), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
 
 
+def strip(text: Column | str) -> Column:
+    """Trim every kind of white space; NULL becomes ''."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.btrim(F.coalesce(column, F.lit("")), F.lit(SPACES))
+
+
 def line_text(text: Column | str) -> Column:
     """Unix line ends, trimmed, inner white space kept."""
     column = F.col(text) if isinstance(text, str) else text
     unix = F.regexp_replace(F.coalesce(column, F.lit("")), "\r\n?", "\n")
-    return F.regexp_replace(unix, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return strip(unix)
 
 
 def multi_values(text: Column | str) -> Column:

@@ -36,8 +36,9 @@ def _split(texts: DataFrame, text: str) -> DataFrame:
 
 def sentences(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pos, sentence) of the completed sentences."""
-    rows = _split(texts, text).select(*keys, F.posexplode("_done").alias("_p", "sentence"))
-    return rows.select(*keys, (F.col("_p") + 1).alias("pos"), "sentence")
+    # the outer form keeps Spark from adding a size filter that would split every text twice
+    rows = _split(texts, text).select(*keys, F.posexplode_outer("_done").alias("_p", "sentence"))
+    return rows.where("sentence IS NOT NULL").select(*keys, (F.col("_p") + 1).alias("pos"), "sentence")
 
 
 def first_and_rest(texts: DataFrame, keys: list[str], text: str, locale: str) -> DataFrame:

@@ -139,6 +139,7 @@ def nbest(pieces: DataFrame, keys: Sequence[str] = ("stream",)) -> DataFrame:
         )),
     )
     distinct = F.array_distinct(F.filter(texts, lambda t: t != ""))
-    return rows.select(*keys, F.posexplode(distinct).alias("_p", "text")).select(
+    found = rows.select(*keys, F.posexplode_outer(distinct).alias("_p", "text")).where("text IS NOT NULL")
+    return found.select(
         *keys, (F.col("_p") + 1).alias("rank"), "text"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE_CLASS, casefold
+from ..functions.text import SPACE_CLASS, bind, casefold
 from ..plans.match import BROADCAST_TERM_CHARS, PIECE_CHARS, find_terms, text_pieces
 from ..session import pinned
 
@@ -195,10 +195,16 @@ def nonoverlap_spans(spans: Column) -> Column:
             s["score"].alias("score"), s["reason"].alias("reason"),
         ))
     )
-    first = F.slice(ordered, 1, 1)
-    return F.aggregate(
-        F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), first,
-        lambda kept, s: F.when(s["start"] >= F.element_at(kept, -1)["end"], F.concat(kept, F.array(s))).otherwise(kept),
+
+    def keep(kept: Column, s: Column) -> Column:
+        clear = s["start"] >= F.element_at(kept, -1)["end"]
+        return F.when(clear, F.concat(kept, F.array(s))).otherwise(kept)
+
+    return bind(
+        ordered,
+        lambda row: F.aggregate(
+            F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), F.slice(row, 1, 1), keep
+        ),
     )
 
 

@@ -66,7 +66,8 @@ def read_cases(spark: SparkSession, path: str, mode: str = "builder") -> DataFra
     The loader also accepts ``id`` for ``case_id``.
     """
     whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = whole.select("file", F.posexplode(envelope_items(F.col("value"), mode)).alias("i", "text"))
+    rows = whole.select("file", F.posexplode_outer(envelope_items(F.col("value"), mode)).alias("i", "text"))
+    rows = rows.where("text IS NOT NULL")
     parsed = rows.select(
         "file", (F.col("i") + 1).cast("bigint").alias("input_pos"),
         F.from_json("text", RAW_RECORD).alias("r"), F.get_json_object("text", "$.id").alias("_id"),

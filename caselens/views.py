@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators.catalogue import normalize_cases, with_search_text
 from .plans.scan import Next, Sum, numbered, ordered_scan
+from .session import pinned
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,6 +93,15 @@ def part_cases(spark: SparkSession, sf: str) -> DataFrame:
     return with_search_text(keep_position(case_parts(spark, sf)))
 
 
+def part_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """``part_cases`` as a written catalogue table, for jobs that read it in several places."""
+    return pinned(part_cases(spark, sf))
+
+
+def doc_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    return pinned(doc_cases(spark, sf))
+
+
 QUERY_ROWS = (
     (1, "red plate"), (2, "Small Widget?"), (3, "推荐5个 economy"), (4, "hot ring promo"),
     (5, "large gear brand#2"), (6, "有哪些案例"), (7, "students 的 blue ring"), (8, "size 30"),

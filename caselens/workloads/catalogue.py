@@ -38,7 +38,7 @@ def scan_case_json(spark, sf):
         .otherwise(F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")))
     )
     rows = events_k(spark, sf).select(
-        "event_id", F.posexplode(envelope_items(text)).alias("_i", "_text")
+        "event_id", F.posexplode_outer(envelope_items(text)).alias("_i", "_text")
     )
     parsed = rows.select(
         "event_id", (F.col("_i") + 1).alias("input_pos"), F.from_json("_text", RAW_RECORD).alias("_r")

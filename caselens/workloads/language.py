@@ -8,7 +8,8 @@ from ..functions import language as lang
 from ..operators import language as op
 from ..operators import terms as tm
 from ..plans.match import find_terms
-from ..views import part_cases, spread, sql_with, table
+from ..session import pinned
+from ..views import part_cases, part_catalogue, spread, sql_with, table
 from .registry import query
 from .sqltext import SPACE, s_any
 
@@ -162,7 +163,7 @@ _RATIO = f"/*recursive*/ {_CANDS}, {_BLOCKS}"
 
 @query("term_similarity", sql_with("case_parts", "SELECT raw, canonical, round(base, 6) AS base FROM rated", _RATIO))
 def term_similarity(spark, sf):
-    vocabulary = tm.build_vocabulary(part_cases(spark, sf))
+    vocabulary = pinned(tm.build_vocabulary(part_catalogue(spark, sf)))
     candidates = tm.term_candidates(_raws(spark, sf), tm.vocabulary_forms(vocabulary, RUN))
     return tm.base_scores(candidates, vocabulary).select("raw", "canonical", F.round("base", 6).alias("base"))
 
@@ -248,7 +249,7 @@ sp AS (SELECT p.case_id, string_agg(substr(text, prev + 1, start - prev) || cano
 @query("term_correction", sql_with("case_parts", """
 SELECT case_id, text AS raw_text, CASE WHEN head IS NULL THEN text ELSE head || substr(text, fin + 1) END AS canonical_text, coalesce(spans, '') AS spans FROM t LEFT JOIN sp USING (case_id)""", _CORRECT))
 def term_correction(spark, sf):
-    cases = part_cases(spark, sf)
+    cases = part_catalogue(spark, sf)
     title = F.replace(F.replace(F.col("title"), F.lit("in"), F.lit("an")), F.lit("ge"), F.lit("je"))
     texts = cases.select(
         "case_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_query, requested_count, tokens
 from ..operators import search as op
 from ..plans.scan import top_rows
-from ..views import convo, part_cases, query_set, sql_with, table
+from ..views import convo, part_catalogue, part_cases, query_set, sql_with, table
 from .registry import query
 from .sqltext import s_any, s_count, s_fold, s_norm, s_query, s_tokens_cte
 
@@ -65,7 +65,7 @@ def _sql(body: str, extra: str = SCORED) -> str:
 
 
 def lexical_page(spark, sf):
-    return op.search(query_set(spark, sf), part_cases(spark, sf), limit=10, diverse=False)
+    return op.search(query_set(spark, sf), part_catalogue(spark, sf), limit=10, diverse=False)
 
 
 @query("lexical_search", _sql("""
@@ -78,13 +78,13 @@ def lexical_search(spark, sf):
 SELECT query_id, position, p.case_id, p.score, total FROM placed p JOIN (SELECT DISTINCT query_id, total FROM rk) USING (query_id)
 WHERE position <= 50""", SCORED.replace("q0 AS", "/*recursive*/ q0 AS", 1) + ",\n" + FOLD))
 def diversity_rerank(spark, sf):
-    return op.search(query_set(spark, sf), part_cases(spark, sf), limit=50)
+    return op.search(query_set(spark, sf), part_catalogue(spark, sf), limit=50)
 
 
 @query("paged_results", _sql("""
 SELECT query_id, rank AS position, case_id, score, total FROM rk WHERE rank > 25 AND rank <= 55"""))
 def paged_results(spark, sf):
-    return op.search(query_set(spark, sf), part_cases(spark, sf), offset=25, limit=30, diverse=False)
+    return op.search(query_set(spark, sf), part_catalogue(spark, sf), offset=25, limit=30, diverse=False)
 
 
 _BROWSE = """q0 AS (SELECT 1 AS query_id),
@@ -102,12 +102,12 @@ def catalogue_browse(spark, sf):
     blank = query_set(spark, sf).where(norm_query("query") == "").select(
         F.lit(1).alias("query_id"), F.lit("").alias("query")
     ).distinct()
-    return op.search(blank, part_cases(spark, sf), risk_level="低", entry_channel="app", limit=30)
+    return op.search(blank, part_catalogue(spark, sf), risk_level="低", entry_channel="app", limit=30)
 
 
 @query("implicit_category", _sql("SELECT query_id, implicit, residual FROM prep", PREPARED))
 def implicit_category(spark, sf):
-    names = op.category_vocabulary(part_cases(spark, sf))
+    names = op.category_vocabulary(part_catalogue(spark, sf))
     return op.prepare_queries(query_set(spark, sf), names).select("query_id", "implicit", "residual")
 
 
@@ -115,7 +115,7 @@ def implicit_category(spark, sf):
 SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS rank FROM (
   SELECT DISTINCT ccl2023_category AS name FROM case_parts UNION SELECT DISTINCT custom_subcategory FROM case_parts)"""))
 def category_vocab(spark, sf):
-    cases = part_cases(spark, sf)
+    cases = part_catalogue(spark, sf)
     declared = cases.select(F.col("custom_subcategory").alias("name"))
     names = op.category_vocabulary(cases, declared)
     from pyspark.sql import Window
@@ -178,7 +178,7 @@ _K = _K.replace("ctok AS", s_tokens_cte("q0", "query_id", "cleaned", "ct") + ",\
 @query("adaptive_topk", _sql("""
 SELECT query_id, CAST(k AS INT) AS k, rank AS position, case_id, score FROM kq JOIN rk USING (query_id) WHERE rank <= k""", _K))
 def adaptive_topk(spark, sf):
-    queries, cases = query_set(spark, sf), part_cases(spark, sf)
+    queries, cases = query_set(spark, sf), part_catalogue(spark, sf)
     widths = op.adaptive_k(queries, cases)
     page = op.search(queries, cases, limit=op.MAX_CANDIDATES, diverse=False)
     return page.join(widths, "query_id").where("position <= k").select(
@@ -199,7 +199,7 @@ names AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS i
 walk AS (SELECT id, query, {s_query('query')} AS txt, CAST(0 AS BIGINT) AS i FROM sq
   UNION ALL SELECT id, query, replace(txt, name, ' '), names.i FROM walk JOIN names ON names.i = walk.i + 1)"""))
 def scope_browse(spark, sf):
-    cases = part_cases(spark, sf)
+    cases = part_catalogue(spark, sf)
     names = op.category_vocabulary(cases, cases.select(F.col("custom_subcategory").alias("name")))
     pos = F.col("input_pos").cast("string")
     rows = cases.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 from ..operators import turns as op
 from ..operators.catalogue import evidence_blocks
-from ..plans.scan import top_rows
+from ..session import pinned
 from ..views import convo, doc_cases, part_cases, query_set, sql_with, table, turn_events
 from .catalogue import EVIDENCE_SQL
 from .registry import query
@@ -186,7 +186,7 @@ def _part_candidates(spark, sf):
     number = F.col("conv_id") * 5 + F.col("turn") + F.col("rank") * 11
     keyed = spots.withColumn("case_id", F.concat(F.lit("P-"), F.lpad(number.cast("string"), 7, "0")))
     cases = part_cases(spark, sf).select("case_id", "title", "custom_subcategory", "tags")
-    return keyed.join(cases, "case_id")
+    return pinned(keyed.join(cases, "case_id"))
 
 
 def _answers(spark, sf, candidates):

@@ -10,7 +10,7 @@ from ..operators import vectors as op
 from ..operators.catalogue import with_embedding_text
 from ..plans.scan import top_rows
 from ..sources.index import index_meta, valid_vectors
-from ..views import doc_cases, query_set, sql_with, table
+from ..views import doc_cases, doc_catalogue, query_set, sql_with, table
 from .catalogue import _EMBED
 from .registry import query
 from .search import SCORED
@@ -184,7 +184,7 @@ final AS (SELECT query_id, case_id, score, 'hybrid' AS mode FROM mixed WHERE sco
 SELECT query_id, case_id, score, mode, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM final) WHERE rank <= 30""",
     _HYBRID))
 def hybrid_search(spark, sf):
-    cases, vectors = doc_cases(spark, sf), _vectors(spark, sf).withColumnRenamed("vec_id", "input_pos")
+    cases, vectors = doc_catalogue(spark, sf), _vectors(spark, sf).withColumnRenamed("vec_id", "input_pos")
     hits = op.vector_search(_query_vectors(spark, sf), vectors, key="input_pos")
     semantic = hits.join(cases.select("input_pos", "case_id"), "input_pos").select("query_id", "case_id", "score")
     blended = so.hybrid_search(query_set(spark, sf), cases, semantic)
