@@ -53,7 +53,7 @@ def compare(spark, con, name: str, sf: str) -> tuple[bool, str]:
     left, right = _bag(frame.columns, rows), _bag(columns, expected)
     note = f"{len(rows)} rows {spent:.1f}s, sql {time.time() - begin:.1f}s"
     if left == right:
-        return len(rows) > 0, note
+        return True, note if rows else f"{note} (empty)"
     only_left, only_right = list((left - right).items()), list((right - left).items())
     return False, (
         f"{note} vs {len(expected)}; extra {len(only_left)} {only_left[:2]} "
