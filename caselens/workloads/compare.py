@@ -21,7 +21,7 @@ def _cell(value: object) -> object:
     if isinstance(value, bool):
         return value
     if isinstance(value, float):
-        return ("f", f"{value:.6f}")
+        return ("f", repr(value + 0.0))
     return value
 
 

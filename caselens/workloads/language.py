@@ -76,18 +76,17 @@ _CL = lang.CLOSERS.replace("'", "''")
 
 
 def _marked_sql(x: str) -> str:
-    mark = "chr(64976)"
+    mark, blank = "chr(64976)", SPACE[:-1]
     text = f"regexp_replace({x}, '(\\.{_CL}+)', '\\1' || {mark}, 'g')"
-    text = f"regexp_replace({text}, '\\.({SPACE[:-1]})', '.' || {mark} || '\\1', 'g')"
+    text = f"regexp_replace({text}, '\\.({blank})', '.' || {mark} || '\\1', 'g')"
     text = f"regexp_replace({text}, '\\.$', '.' || {mark})"
-    text = f"regexp_replace({text}, '({lang.HARD}{_CL}*)', '\\1' || {mark}, 'g')"
-    blank = SPACE[:-1]
     # a border after an abbreviation or initials is taken back
-    text = f"regexp_replace({text}, '((?:^|{blank}|' || {mark} || ')(?i:{lang.ABBREVIATIONS})\\.{_CL}*)' || {mark}, '\\1', 'g')"
-    return f"regexp_replace({text}, '((?:^|{blank})(?i:[a-z]\\.){{2,8}}{_CL}*)' || {mark}, '\\1', 'g')"
+    text = f"regexp_replace({text}, '((?:^|{blank})(?i:{lang.ABBREVIATIONS})\\.{_CL}*)' || {mark}, '\\1', 'g')"
+    text = f"regexp_replace({text}, '((?:^|{blank})(?i:[a-z]\\.){{2,8}}{_CL}*)' || {mark}, '\\1', 'g')"
+    return f"regexp_replace({text}, '({lang.HARD}{_CL}*)', '\\1' || {mark}, 'g')"
 
 
-_SENT = f"""parts AS (SELECT doc_id, string_split({_marked_sql('text').replace("'((?:^|" + SPACE[:-1] + "|' || chr(64976) || ')", "'((?:^|" + SPACE[:-1] + ")")}, chr(64976)) AS p FROM documents),
+_SENT = f"""parts AS (SELECT doc_id, string_split({_marked_sql('text')}, chr(64976)) AS p FROM documents),
 s AS (SELECT doc_id, unnest(p[:-2]) AS raw, generate_subscripts(p[:-2], 1) AS o FROM parts),
 t AS (SELECT doc_id, o, regexp_replace(raw, '{_STRIP}', '', 'g') AS sentence FROM s)"""
 
