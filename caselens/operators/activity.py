@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_speech
 from ..plans.scan import CHUNK_ROWS, Last, Max, Next, Sum, ordered_scan, ranked
 from ..session import pinned
+from .turns import joined_text, order_run
 
 # Time limits and thresholds.
 SESSION_TTL_US = 1800 * 1_000_000
@@ -47,9 +48,9 @@ def expire_sessions(
     )
     expired = (F.col(time) - F.col("_prev.t") >= ttl) & ~F.col("_prev.held")
     starts = F.when(F.col("_prev").isNull() | expired, 1).otherwise(0).cast("bigint")
-    return ordered_scan(
-        seen.withColumn("_new", starts), [key], order, {"session_no": Sum(F.col("_new"))}, rows
-    ).drop("_prev", "_new")
+    # a scan reads its input twice, so a scan over a scan starts from written rows
+    flagged = pinned(seen.withColumn("_new", starts).drop("_prev"))
+    return ordered_scan(flagged, [key], order, {"session_no": Sum(F.col("_new"))}, rows).drop("_new")
 
 
 def lru(sessions: DataFrame, key: str, last_seen: str, active: str, cap: int = MAX_SESSIONS) -> DataFrame:
@@ -62,7 +63,7 @@ def apply_generation(events: DataFrame, key: str, order: str, resets: list[str],
     """``generation`` per event and ``kept`` per result: a result counts only if nothing
     reset the batch since the latest start before it."""
     reset = F.when(F.col("type").isin(resets), 1).otherwise(0).cast("bigint")
-    numbered_rows = ordered_scan(events, [key], order, {"generation": Sum(reset)})
+    numbered_rows = pinned(ordered_scan(events, [key], order, {"generation": Sum(reset)}))
     begun = ordered_scan(
         numbered_rows, [key], order,
         {"_begun": Last(F.when(F.col("type").isin(starts), F.col("generation")))},
@@ -92,18 +93,18 @@ def commit_batches(utterances: DataFrame, key: str = "session_id", order: str =
     """
     open_until = ordered_scan(utterances, [key], order, {"_open": Max(F.col("end_us"))}, rows)
     starts = F.when(F.col("_open").isNull() | (F.col("start_us") > F.col("_open")), 1).otherwise(0)
-    placed = ordered_scan(
-        open_until.withColumn("_new", starts.cast("bigint")), [key], order,
-        {"batch": Sum(F.col("_new"))}, rows,
+    flagged = pinned(open_until.withColumn("_new", starts.cast("bigint")).drop("_open"))
+    placed = ordered_scan(flagged, [key], order, {"batch": Sum(F.col("_new"))}, rows)
+    spoken = placed.withColumn("_spoken", F.when(F.trim("text") != "", F.trim("text")))
+    runs = spoken.groupBy(key, "batch", order_run(order, rows).alias("_run")).agg(
+        F.max(order).alias("committed_id"), F.count(F.lit(1)).alias("utterances"),
+        joined_text(order, "_spoken", " ").alias("_part"),
+    )
+    text = joined_text("_run", "_part", " ")
+    return runs.groupBy(key, "batch").agg(
+        F.max("committed_id").alias("committed_id"), F.sum("utterances").alias("utterances"),
+        F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("rejected"),
     )
-    spoken = F.when(F.trim("text") != "", F.struct(F.col(order).alias("o"), F.trim("text").alias("t")))
-    return placed.groupBy(key, "batch").agg(
-        F.max(order).alias("committed_id"),
-        F.count(F.lit(1)).alias("utterances"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(spoken)), lambda x: x["t"]), " "
-        ).alias("text"),
-    ).withColumn("rejected", F.col("text") == "")
 
 
 def latest_revisions(partials: DataFrame, key: str = "session_id", order: str = "arrival", rows: int = CHUNK_ROWS) -> DataFrame:
@@ -145,7 +146,7 @@ def sustained_onsets(
     """``above_ms`` since the last quiet block and ``onset`` where it crosses ``required``."""
     loud = F.col(above) & (F.col(duration) > 0)
     spent = F.when(loud, F.col(duration)).otherwise(0)
-    summed = ordered_scan(blocks, [key], order, {"_sum": Sum(spent)}, rows)
+    summed = pinned(ordered_scan(blocks, [key], order, {"_sum": Sum(spent)}, rows))
     # the running sum only grows, so its value at the last quiet block is a running maximum
     based = ordered_scan(
         summed, [key], order, {"_base": Max(F.when(~loud, F.col("_sum")), inclusive=True)}, rows
@@ -170,7 +171,7 @@ def activity_segments(
     """
     seen = ordered_scan(events, [key], order, {"_prev": Last(F.col(time))}, rows)
     quiet = F.coalesce(F.col(time) - F.col("_prev") > gap, F.lit(True))
-    flagged = seen.withColumn("_head", quiet.cast("bigint")).drop("_prev")
+    flagged = pinned(seen.withColumn("_head", quiet.cast("bigint")).drop("_prev"))
     if cap is not None:
         flagged = _capped_heads(flagged, key, order, time, cap, rows)
     return ordered_scan(flagged, [key], order, {"segment": Sum(F.col("_head"))}, rows).drop("_head")
@@ -206,9 +207,11 @@ def _capped_heads(flagged: DataFrame, key: str, order: str, time: str, cap: int,
         )
         reached = grown
     heads = reached.select(key, F.col("_from").alias(order), F.lit(1).cast("bigint").alias("_mark"))
-    return placed.join(heads, [key, order], "left").withColumn(
-        "_head", F.coalesce("_mark", F.lit(0).cast("bigint"))
-    ).drop("_mark", "_run")
+    return pinned(
+        placed.join(heads, [key, order], "left")
+        .withColumn("_head", F.coalesce("_mark", F.lit(0).cast("bigint")))
+        .drop("_mark", "_run")
+    )
 
 
 def segment_table(segmented: DataFrame, key: str, time: str) -> DataFrame:

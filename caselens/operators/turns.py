@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_CLASS, casefold, line_text, norm, requested_count
 from ..plans.match import find_terms
-from ..plans.scan import Last, Sum, numbered, ordered_scan, top_rows
+from ..plans.scan import CHUNK_ROWS, Last, Sum, numbered, ordered_scan, top_rows
 from ..session import pinned
 
 # Limits, phrase lists and prompt texts.
@@ -534,11 +534,28 @@ def owned_events(
     )
 
 
+def joined_text(order: str, text: str, sep: str) -> Column:
+    """Aggregate: the non-NULL texts in order, NULL if there are none."""
+    listed = F.array_sort(F.collect_list(
+        F.when(F.col(text).isNotNull(), F.struct(F.col(order).alias("o"), F.col(text).alias("t")))
+    ))
+    return F.when(F.count(F.col(text)) > 0, F.array_join(F.transform(listed, lambda x: x["t"]), sep))
+
+
+def order_run(order: str, rows: int) -> Column:
+    return F.expr(f"`{order}` div {int(rows)}")
+
+
 def assemble_text(
-    pieces: DataFrame, keys: Sequence[str], order: str, text: str, sep: str = "", name: str = "text"
+    pieces: DataFrame, keys: Sequence[str], order: str, text: str, sep: str = "", name: str = "text",
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """One text per key, pieces in order. The text is one message and has to fit in a cell."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return pieces.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda x: x["t"]), sep).alias(name)
+    """One text per key, pieces in the integer ``order``. Runs of up to ``rows`` order values
+    are joined first, so a busy key is not sorted in one task; the finished text is one
+    message and has to fit in a cell."""
+    runs = pieces.groupBy(*keys, order_run(order, rows).alias("_run")).agg(
+        joined_text(order, text, sep).alias("_part")
+    )
+    return runs.groupBy(*keys).agg(
+        F.coalesce(joined_text("_run", "_part", sep), F.lit("")).alias(name)
     )

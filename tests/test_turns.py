@@ -175,3 +175,12 @@ def test_only_the_last_cancelled_turns_are_remembered(spark):
     assert last.accepted
     last = op.owned_events(events, "session_id", "pos", remembered=100).where("pos = 500").first()
     assert not last.accepted
+
+
+def test_text_assembly_in_runs(spark):
+    rows = [("a", i, f"t{i}") for i in range(25)] + [("b", 3, None), ("c", 1, ""), ("c", 9, "x")]
+    pieces = spark.createDataFrame(rows, "k string, n bigint, t string").repartition(3)
+    want = {"a": " ".join(f"t{i}" for i in range(25)), "b": "", "c": " x"}
+    for size in (4, 1 << 20):
+        got = {r.k: r.text for r in op.assemble_text(pieces, ["k"], "n", "t", " ", rows=size).collect()}
+        assert got == want
