@@ -55,7 +55,7 @@ def normalize_cases(raw: DataFrame, order: str | None = None, mode: str = "build
     ).drop("_position")
 
 
-def category_of(df: DataFrame | None = None) -> Column:
+def category_of() -> Column:
     return F.when(F.col("ccl2023_category") != "", F.col("ccl2023_category")).otherwise(
         F.col("custom_subcategory")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CLASS, casefold, line_text, norm, requested_count
+from ..functions.text import SPACE_CLASS, casefold, line_text, norm
 from ..plans.match import find_terms
 from ..plans.scan import CHUNK_ROWS, Last, Sum, numbered, ordered_scan, top_rows
 from ..session import pinned

@@ -11,7 +11,7 @@ from ..plans.match import find_terms
 from ..session import pinned
 from ..views import part_cases, part_catalogue, spread, sql_with, table
 from .registry import query
-from .sqltext import SPACE, s_any
+from .sqltext import SPACE
 
 _STRIP = f"^{SPACE}|{SPACE}$"
 

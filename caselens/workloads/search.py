@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_query, requested_count, tokens
 from ..operators import search as op
-from ..plans.scan import top_rows
 from ..views import convo, part_catalogue, part_cases, query_set, sql_with, table
 from .registry import query
-from .sqltext import s_any, s_count, s_fold, s_norm, s_query, s_tokens_cte
+from .sqltext import s_any, s_count, s_norm, s_query, s_tokens_cte
 
 CHANNELS = "lower(replace(entry_channels_raw, ';', ' '))"
 _FIELDS = "\nUNION ALL ".join(
@@ -118,8 +118,6 @@ def category_vocab(spark, sf):
     cases = part_catalogue(spark, sf)
     declared = cases.select(F.col("custom_subcategory").alias("name"))
     names = op.category_vocabulary(cases, declared)
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.desc(F.length("name")), F.asc("name"))
     return names.select("name", F.row_number().over(order).alias("rank"))
 
