@@ -50,3 +50,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
     model = fit_language_model(marked.where(~out))
     return identify(marked, model, carry=("held_out",))
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"))
