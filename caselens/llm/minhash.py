@@ -18,14 +18,18 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 #: 20 bands of 4 minima: a pair at 0.85 shares no band with probability (1 - 0.85**4)**20, under 1e-6.
 BANDS, ROWS = 20, 4
-#: Agreeing minima of 80 that a candidate needs; a pair at 0.85 has fewer with probability under 1e-6 (binomial).
-LEAST_AGREEING = 50
+#: Minima of a signature, of each of which 4 bits are kept, in 16 64-bit integers.
+MINIMA, SIGNS = 256, 16
+#: Agreeing minima that a candidate needs; a pair at 0.85 agrees in 220 of 256 and has fewer than this with probability under 1e-5.
+LEAST_AGREEING = 192
 #: Up to so many members all pairs of a bucket are candidates, which is a bounded number for each row.
 SMALL_BUCKET = 8
 
+_SIGN_COLUMNS = tuple(f"s{i}" for i in range(SIGNS))
+
 _random = np.random.default_rng(20240229)
-_FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +54,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def signatures(value: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Minima of multiply-shift hashes, a row of BANDS * ROWS for every set that isn't empty."""
+    """Minima of multiply-shift hashes, a row of MINIMA for every set that isn't empty."""
     first = (np.cumsum(count) - count)[count > 0]
-    out = np.zeros((len(first), BANDS * ROWS), np.uint32)
+    out = np.zeros((len(first), MINIMA), np.uint32)
     if len(first):
-        for k in range(BANDS * ROWS):
+        for k in range(MINIMA):
             out[:, k] = np.minimum.reduceat((value * _FACTORS[k] + _SHIFTS[k]) >> np.uint64(32), first)
     return out
 
@@ -70,22 +74,27 @@ def fingerprints(value: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def sign_texts(docs: DataFrame) -> DataFrame:
-    """(id, text) to (id, fp binary of 16, n long, sig binary or null for an empty set)."""
+    """(id, text) to (id, fp binary of 16, n long, bands binary, s0 to s15 long); bands is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 value, count = shingle_sets(data, offsets)
-                sig = iter(signatures(value, count))
+                minima = signatures(value, count)
+                signs = np.zeros((hi - lo, SIGNS), np.uint64)
+                nibble = (minima & np.uint32(15)).astype(np.uint64).reshape(-1, SIGNS, MINIMA // SIGNS)
+                signs[count > 0] = np.bitwise_or.reduce(nibble << (4 * np.arange(MINIMA // SIGNS)).astype(np.uint64), axis=2)
+                bands = iter(minima[:, : BANDS * ROWS])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo),
                     binary_rows(fingerprints(value, count).reshape(-1), np.full(hi - lo, 2)),
                     pa.array(count, pa.int64()),
-                    pa.array([next(sig).tobytes() if n else None for n in count], pa.binary()),
-                ], names=["id", "fp", "n", "sig"])
+                    pa.array([next(bands).tobytes() if n else None for n in count], pa.binary()),
+                    *(pa.array(signs[:, i].view(np.int64)) for i in range(SIGNS)),
+                ], names=["id", "fp", "n", "bands", *_SIGN_COLUMNS])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, fp binary, n long, sig binary")
+    return docs.mapInArrow(run, f"id {kind}, fp binary, n long, bands binary, " + ", ".join(f"{c} long" for c in _SIGN_COLUMNS))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -103,18 +112,15 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "fp binary, shingles binary")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose signatures agree often enough, as (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = [np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in batch.columns[2:]]
-            ok = pa.array((both[0] == both[1]).sum(axis=1) >= LEAST_AGREEING)
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], names=["a", "b"])
-
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+def _agreeing() -> F.Column:
+    """How many minima of two signatures s0_1, ... and s0_2, ... agree: 4-bit groups without a differing bit."""
+    differing = F.lit(0)
+    for c in _SIGN_COLUMNS:
+        x = F.col(f"{c}_1").bitwiseXOR(F.col(f"{c}_2"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(MINIMA) - differing
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -135,12 +141,9 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a binary, b binary")
 
 
-def _links(scratch: Scratch, candidates: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that pass the signature and then the full sets."""
-    sig = nodes.select("fp", "sig")
-    signed = candidates.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    likely = scratch.write(_agreeing(signed))
-    whole = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+def _links(scratch: Scratch, candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs that pass on the full sets."""
+    whole = candidates.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     return scratch.write(_confirmed(whole, percent))
 
 
@@ -190,11 +193,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = scratch.write(sign_texts(read))
     nodes = scratch.write(
-        signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SIGN_COLUMNS))
     )
     width = 4 * ROWS
-    bands = nodes.selectExpr("fp", "n", f"posexplode(transform(sequence(0, {BANDS - 1}), i -> substring(sig, i * {width} + 1, {width}))) AS (band, key)")
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    cut = f"posexplode(transform(sequence(0, {BANDS - 1}), i -> substring(bands, i * {width} + 1, {width}))) AS (band, key)"
+    bands = nodes.selectExpr("fp", "n", *_SIGN_COLUMNS, cut)
+    shared = nodes.selectExpr(cut).groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.write(bands.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")))
 
     # full sets of the classes that meet any other, read from one document of each
@@ -204,7 +208,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = full_sets(read.join(named, "id", "left_semi").union(nameless)).join(wanted, "fp", "left_semi")
     sets = scratch.write(sets.dropDuplicates(["fp"]))
 
-    links = _all_links(scratch, members, nodes, sets, percent)
+    links = _all_links(scratch, members, sets, percent)
     labels = connected(scratch, links)
     classes = nodes.select("fp", "id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     classes = scratch.write(classes)
@@ -218,7 +222,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _all_links(scratch: Scratch, members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links enough to connect every class with all that it can reach."""
 
     def fits(a: str, b: str) -> F.Column:
@@ -230,10 +234,12 @@ def _all_links(scratch: Scratch, members: DataFrame, nodes: DataFrame, sets: Dat
         condition = (x["bucket"] == y["bucket"]) & fits("n_1", "n_2")
         for c in more:
             condition &= c
+        # the signatures are compared in the join, so its result has the pairs that pass alone
+        condition &= _agreeing() >= LEAST_AGREEING
         return x.join(y, condition).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b")).distinct()
 
-    small = members.where(f"size <= {SMALL_BUCKET}").select("bucket", "fp", "n")
-    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "fp", "n")
+    small = members.where(f"size <= {SMALL_BUCKET}").select("bucket", "fp", "n", *_SIGN_COLUMNS)
+    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "fp", "n", *_SIGN_COLUMNS)
 
     # how many shingles of a class no other class of the large buckets has
     crowded = sets.join(large.select("fp").distinct(), "fp", "left_semi")
@@ -249,10 +255,10 @@ def _all_links(scratch: Scratch, members: DataFrame, nodes: DataFrame, sets: Dat
     large = scratch.write(large.join(own, "fp").withColumn("common", F.col("n") - F.col("own")).where(F.col("common") * 100 >= F.col("n") * percent).drop("own"))
 
     centre = large.groupBy("bucket").agg(F.min_by("fp", F.struct(-F.col("common") / F.col("n"), "fp")).alias("fp"))
-    centre = large.join(centre, ["bucket", "fp"], "left_semi").select("bucket", "fp", "n")
-    stars = pairs(centre, large.select("bucket", "fp", "n"), F.col("fp_1") != F.col("fp_2"))
+    centre = large.join(centre, ["bucket", "fp"], "left_semi").drop("common")
+    stars = pairs(centre, large.drop("common"), F.col("fp_1") != F.col("fp_2"))
     tried = scratch.write(pairs(small, small, F.col("fp_1") < F.col("fp_2")).union(stars).distinct())
-    first = _links(scratch, tried, nodes, sets, percent)
+    first = _links(scratch, tried, sets, percent)
 
     labels = connected(scratch, first)
     grouped = large.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -261,7 +267,7 @@ def _all_links(scratch: Scratch, members: DataFrame, nodes: DataFrame, sets: Dat
     rest = grouped.join(open_buckets, "bucket", "left_semi")
     most = F.least("common_1", "common_2")
     rest = pairs(rest, rest, F.col("fp_1") < F.col("fp_2"), F.col("label_1") != F.col("label_2"), most * 100 >= (F.col("n_1") + F.col("n_2") - most) * percent)
-    second = _links(scratch, rest.join(tried, ["a", "b"], "left_anti"), nodes, sets, percent)
+    second = _links(scratch, rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
     return first.union(second)
 
 
