@@ -64,3 +64,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunks import chunk_duplicates
+
+    return chunk_duplicates(table(spark, sf_dir, "documents"))
