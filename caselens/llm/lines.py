@@ -43,17 +43,22 @@ def word_ranks(docs: DataFrame) -> Column:
 
 def word_keys(line: Column, ranks: Column) -> Column:
     """A line's word set as sorted numbers, the rarest word first: rank, then 55 bits of the word's hash."""
-    key = F.transform(line_words(line), lambda w: F.shiftleft(F.get(ranks, _cell(w)).cast("long"), 55).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1))))
+    hashes = F.transform(line_words(line), lambda w: F.xxhash64(w))
+    key = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1))))
     return F.sort_array(F.array_distinct(key))
 
 
-def _fits(a: str, b: str) -> str:
-    return f"100 * {a} >= {PERCENT} * {b} AND 100 * {b} >= {PERCENT} * {a}"
+def _prefix_length(n: str) -> str:
+    """Sets that are similar share a word among so many first ones of each."""
+    return f"({n} - ({PERCENT} * {n} + 99) div 100 + 1)"
 
 
-def _enough_behind() -> str:
-    """Whether two sets can be similar that share the word at these places: it and words before and behind it, the positional filter."""
-    return f"{100 + PERCENT} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)"
+#: Whether sets x and y that share a word can be similar: by their lengths, by the word's places, and by how many
+#: words their prefixes can share at most (bits of x.bits and y.bits that differ are words of one prefix alone).
+_POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
+  AND {100 + PERCENT} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
+  AND {100 + PERCENT} * (({_prefix_length("x.n")} + {_prefix_length("y.n")} - bit_count(x.bits ^ y.bits)) div 2
+    + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)"""
 
 
 class LineJoin:
@@ -67,16 +72,17 @@ class LineJoin:
         named = self.read.where("id IS NOT NULL")
         each = named.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
         keyed = each.select("id", "version", "line", word_keys(F.col("content"), self.ranks).alias("k")).where(F.size("k") >= LEAST_WORDS)
-        prefix = F.expr(f"slice(k, 1, size(k) - ({PERCENT} * size(k) + 99) div 100 + 1)")
-        lines = keyed.select(
+        prefix = F.expr(f"slice(k, 1, {_prefix_length('size(k)')})")
+        lines = self.scratch.write(keyed.select(
             F.struct("id", "version", "line").alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix")
-        )
-        self.lines = self.scratch.write(lines)
-
-    def classes(self) -> DataFrame:
-        """The first line of every different word set, with its prefix."""
-        first = self.lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        return self.scratch.write(first.select("at", "n", "prefix"))
+        ))
+        #: The first line of every different word set, with its prefix.
+        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        self.classes = self.scratch.write(first.select("at", "n", "prefix", "h1", "h2"))
+        #: The other lines of every class.
+        lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
+        self.copies = self.scratch.write(lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at"))
+        self.scratch.drop(lines)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (later, earlier) of first lines whose whole word sets are similar enough."""
@@ -99,23 +105,24 @@ class LineJoin:
         word of their prefixes meet. Each is compared with the first of those it meets; one that
         this doesn't decide is compared with all earlier ones that the filters leave.
         """
-        classes = self.classes()
-        words = classes.select("at", "n", F.posexplode("prefix").alias("place", "word")).withColumn("pos", F.col("place") + 1).drop("place")
-        first = words.groupBy("word").agg(F.min(F.struct("at", "n", "pos")).alias("y"), F.count("*").alias("many")).where("many > 1")
-        met = words.join(first, "word")
-        star = met.select(F.struct("at", "n", "pos").alias("x"), "y").where(F.expr(f"x.at > y.at AND {_fits('x.n', 'y.n')} AND {_enough_behind()}"))
+        bits = F.expr("aggregate(prefix, 0L, (a, k) -> a | shiftleft(1L, CAST(k & 63 AS INT)))")
+        words = self.classes.select("at", "n", bits.alias("bits"), F.posexplode("prefix").alias("place", "word"))
+        words = words.select("word", "at", "n", "bits", (F.col("place") + 1).alias("pos"))
+        # a word that one prefix alone has is of no more use
+        several = self.scratch.write(words.groupBy("word").agg(F.count("*").alias("many")).where("many > 1"))
+        words = self.scratch.write(words.join(several, "word"))
+        self.scratch.drop(self.classes, several)
+        first = words.groupBy("word").agg(F.min(F.struct("at", "n", "bits", "pos")).alias("y"))
+        star = words.alias("x").join(first, "word").where(F.expr(f"x.at > y.at AND {_POSSIBLE}"))
         links = self.confirmed(star.select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct())
         decided = links.select(F.col("later").alias("at")).distinct()
-        crowded = first.where("many > 2").select("word")
-        open_ = words.join(crowded, "word", "left_semi").join(decided, "at", "left_anti").alias("x")
-        condition = F.expr(f"x.word = y.word AND x.at > y.at AND {_fits('x.n', 'y.n')} AND {_enough_behind()}")
-        rest = open_.join(words.join(crowded, "word", "left_semi").alias("y"), condition).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct()
+        crowded = words.where("many > 2")
+        open_ = crowded.join(decided, "at", "left_anti").alias("x")
+        condition = F.expr(f"x.word = y.word AND x.at > y.at AND {_POSSIBLE}")
+        rest = open_.join(crowded.alias("y"), condition).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct()
         more = self.confirmed(rest)
         later = decided.union(more.select("later")).distinct()
-        # later lines of every class, and the first lines of classes that come later than a similar one
-        lead = self.lines.groupBy("h1", "h2").agg(F.min("at").alias("lead"))
-        copies = self.lines.join(lead, ["h1", "h2"]).where("at <> lead").select("at")
-        return self.scratch.write(copies.union(later).select("at.*").distinct())
+        return self.scratch.write(self.copies.union(later).select("at.*").distinct())
 
 
 def _without(text: Column, gone: Column) -> Column:

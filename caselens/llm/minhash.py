@@ -197,7 +197,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     width = 4 * ROWS
     cut = f"posexplode(transform(sequence(0, {BANDS - 1}), i -> substring(bands, i * {width} + 1, {width}))) AS (band, key)"
-    bands = nodes.selectExpr("fp", "n", *_SIGN_COLUMNS, cut)
+    keys = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(bands, i * {width} + 1, {width}))) AS keys"
+    bands = nodes.selectExpr("fp", "n", *_SIGN_COLUMNS, keys, cut)
     shared = nodes.selectExpr(cut).groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.write(bands.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")))
 
@@ -228,7 +229,7 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
     def fits(a: str, b: str) -> F.Column:
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    def pairs(left: DataFrame, right: DataFrame, *more: F.Column) -> DataFrame:
+    def pairs(left: DataFrame, right: DataFrame, *more: F.Column, last: F.Column | None = None) -> DataFrame:
         x = left.select("bucket", *(F.col(c).alias(f"{c}_1") for c in left.columns if c != "bucket"))
         y = right.select("bucket", *(F.col(c).alias(f"{c}_2") for c in right.columns if c != "bucket"))
         condition = (x["bucket"] == y["bucket"]) & fits("n_1", "n_2")
@@ -236,10 +237,12 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
             condition &= c
         # the signatures are compared in the join, so its result has the pairs that pass alone
         condition &= _agreeing() >= LEAST_AGREEING
+        if last is not None:
+            condition &= last
         return x.join(y, condition).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b")).distinct()
 
     small = members.where(f"size <= {SMALL_BUCKET}").select("bucket", "fp", "n", *_SIGN_COLUMNS)
-    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "fp", "n", *_SIGN_COLUMNS)
+    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "band", "keys", "fp", "n", *_SIGN_COLUMNS)
 
     # how many shingles of a class no other class of the large buckets has
     crowded = sets.join(large.select("fp").distinct(), "fp", "left_semi")
@@ -255,8 +258,8 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
     large = scratch.write(large.join(own, "fp").withColumn("common", F.col("n") - F.col("own")).where(F.col("common") * 100 >= F.col("n") * percent).drop("own"))
 
     centre = large.groupBy("bucket").agg(F.min_by("fp", F.struct(-F.col("common") / F.col("n"), "fp")).alias("fp"))
-    centre = large.join(centre, ["bucket", "fp"], "left_semi").drop("common")
-    stars = pairs(centre, large.drop("common"), F.col("fp_1") != F.col("fp_2"))
+    centre = large.join(centre, ["bucket", "fp"], "left_semi").drop("common", "band", "keys")
+    stars = pairs(centre, large.drop("common", "band", "keys"), F.col("fp_1") != F.col("fp_2"))
     tried = scratch.write(pairs(small, small, F.col("fp_1") < F.col("fp_2")).union(stars).distinct())
     first = _links(scratch, tried, sets, percent)
 
@@ -266,7 +269,10 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
     open_buckets = grouped.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     rest = grouped.join(open_buckets, "bucket", "left_semi")
     most = F.least("common_1", "common_2")
-    rest = pairs(rest, rest, F.col("fp_1") < F.col("fp_2"), F.col("label_1") != F.col("label_2"), most * 100 >= (F.col("n_1") + F.col("n_2") - most) * percent)
+    # a pair that meets in several buckets is made in the first of them
+    again = F.exists(F.slice(F.zip_with("keys_1", "keys_2", lambda x, y: x == y), 1, F.col("band_1")), lambda x: x)
+    possible = most * 100 >= (F.col("n_1") + F.col("n_2") - most) * percent
+    rest = pairs(rest, rest, F.col("fp_1") < F.col("fp_2"), F.col("label_1") != F.col("label_2"), possible, last=~again)
     second = _links(scratch, rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
     return first.union(second)
 

@@ -67,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def longest_previous_factor(when: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
     """For suffixes in suffix order the longest prefix that an earlier suffix shares, 0 if it is under ``least``.
 
-    ``when`` says which suffix is earlier (smaller), ``lcp[i]`` how long a prefix suffix i
+    ``when`` says which suffix is earlier (smaller; equal ones are none), ``lcp[i]`` how long a prefix suffix i
     shares with suffix i - 1. The longest is shared with the nearest earlier suffix before or
     the nearest earlier one after in suffix order; both are found for all suffixes at once by
     following the answers of the suffixes passed over.
@@ -78,7 +78,7 @@ def longest_previous_factor(when: np.ndarray, lcp: np.ndarray, least: int = 1) -
         shared[:1] = 0
         while True:
             open_ = np.flatnonzero(shared > 0)
-            open_ = open_[when[to[open_]] > when[open_]]
+            open_ = open_[when[to[open_]] >= when[open_]]
             if not len(open_):
                 return shared
             over = to[open_]
@@ -202,8 +202,12 @@ def _sorted_spans(kind: str, contexts: DataFrame) -> DataFrame:
         # the anchor's place orders what lies at equal distance before it
         keys = pa.table({"id": table["id"].combine_chunks(), "spot": pa.array(at + offset)})
         order = pc.sort_indices(keys, [("id", "ascending"), ("spot", "ascending")]).to_numpy()
+        # rows that repeat a document give the same place, and neither is earlier
+        id_, spot = keys["id"].take(pa.array(order)).combine_chunks(), (at + offset)[order]
+        moved = np.ones(len(order), np.int64)
+        moved[1:] = (spot[1:] != spot[:-1]) | pc.not_equal(id_.slice(1), id_.slice(0, len(id_) - 1)).to_numpy(zero_copy_only=False)
         when = np.empty(len(order), np.int64)
-        when[order] = np.arange(len(order))
+        when[order] = np.cumsum(moved)
         which, string = repeated_strings(bucket, when, offset, count, context)
         begin = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (string[1:] != string[:-1] + 1)))) if len(which) else np.zeros(0, np.int64)
         end = string[np.append(begin[1:], len(which)) - 1] + LENGTH if len(which) else begin
