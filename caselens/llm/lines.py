@@ -54,31 +54,44 @@ def _prefix_length(n: str) -> str:
 
 
 #: Whether sets x and y that share a word can be similar: by their lengths, by the word's places, and by how many
-#: words their prefixes can share at most (bits of x.bits and y.bits that differ are words of one prefix alone).
+#: words their prefixes, and the whole sets, can share at most (bits that differ are words of one of the two alone).
 _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
   AND {100 + PERCENT} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
+  AND {100 + PERCENT} * ((x.n + y.n - bit_count(x.low ^ y.low) - bit_count(x.high ^ y.high)) div 2) >= {PERCENT} * (x.n + y.n)
   AND {100 + PERCENT} * (({_prefix_length("x.n")} + {_prefix_length("y.n")} - bit_count(x.bits ^ y.bits)) div 2
     + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)"""
 
 
+def _version(text: Column) -> Column:
+    """30 bits that tell apart texts which share an id; with a line's number they are its place."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFF))
+
+
+def _bits(words: str, condition: str = "true") -> Column:
+    """The sum set of 64 bits that words mark by their hash."""
+    return F.expr(f"aggregate({words}, 0L, (a, k) -> a | if({condition}, shiftleft(1L, CAST(k & 63 AS INT)), 0L))")
+
+
 class LineJoin:
     """The lines of documents, their classes of equal word sets, and which of them come later than a similar one."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.scratch = Scratch(docs.sparkSession)
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        self.read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+        self.read = docs.select(F.col(id_col).alias("id"), _version(text).alias("version"), text.alias("text"))
         self.ranks = word_ranks(self.read)
         named = self.read.where("id IS NOT NULL")
         each = named.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
         keyed = each.select("id", "version", "line", word_keys(F.col("content"), self.ranks).alias("k")).where(F.size("k") >= LEAST_WORDS)
         prefix = F.expr(f"slice(k, 1, {_prefix_length('size(k)')})")
+        place = (F.shiftleft("version", 32) + F.col("line")).alias("place")
         lines = self.scratch.write(keyed.select(
-            F.struct("id", "version", "line").alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix")
+            F.struct("id", place).alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"),
+            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"),
         ))
         #: The first line of every different word set, with its prefix.
-        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        self.classes = self.scratch.write(first.select("at", "n", "prefix", "h1", "h2"))
+        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high")))
+        self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "h1", "h2"))
         #: The other lines of every class.
         lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
         self.copies = self.scratch.write(lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at"))
@@ -88,12 +101,14 @@ class LineJoin:
         """Pairs (later, earlier) of first lines whose whole word sets are similar enough."""
         pairs = self.scratch.write(pairs)
         wanted = pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct()
-        by_doc = wanted.groupBy("at.id", "at.version").agg(F.collect_set("at.line").alias("wanted"))
+        line = F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        by_doc = wanted.groupBy("at.id", F.shiftright("at.place", 32).alias("version")).agg(F.collect_set(line).alias("wanted"))
         # the lines are cut out before their words are looked at again
         chosen = self.read.join(by_doc, ["id", "version"]).dropDuplicates(["id", "version"])
         content = F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(F.split("text", "\n", -1), i).alias("content")))
         cut = chosen.select("id", "version", F.explode(content).alias("c"))
-        sets = self.scratch.write(cut.select(F.struct("id", "version", "c.line").alias("at"), word_keys(F.col("c.content"), self.ranks).alias("k")))
+        place = (F.shiftleft("version", 32) + F.col("c.line")).alias("place")
+        sets = self.scratch.write(cut.select(F.struct("id", place).alias("at"), word_keys(F.col("c.content"), self.ranks).alias("k")))
         both = pairs.join(sets.toDF("later", "k1"), "later").join(sets.toDF("earlier", "k2"), "earlier")
         shared = F.size(F.array_intersect("k1", "k2"))
         return self.scratch.write(both.where(100 * shared >= PERCENT * (F.size("k1") + F.size("k2") - shared)).select("later", "earlier"))
@@ -105,14 +120,13 @@ class LineJoin:
         word of their prefixes meet. Each is compared with the first of those it meets; one that
         this doesn't decide is compared with all earlier ones that the filters leave.
         """
-        bits = F.expr("aggregate(prefix, 0L, (a, k) -> a | shiftleft(1L, CAST(k & 63 AS INT)))")
-        words = self.classes.select("at", "n", bits.alias("bits"), F.posexplode("prefix").alias("place", "word"))
-        words = words.select("word", "at", "n", "bits", (F.col("place") + 1).alias("pos"))
+        words = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", F.posexplode("prefix").alias("place", "word"))
+        words = words.select("word", "at", "n", "bits", "low", "high", (F.col("place") + 1).alias("pos"))
         # a word that one prefix alone has is of no more use
         several = self.scratch.write(words.groupBy("word").agg(F.count("*").alias("many")).where("many > 1"))
         words = self.scratch.write(words.join(several, "word"))
         self.scratch.drop(self.classes, several)
-        first = words.groupBy("word").agg(F.min(F.struct("at", "n", "bits", "pos")).alias("y"))
+        first = words.groupBy("word").agg(F.min(F.struct("at", "n", "bits", "low", "high", "pos")).alias("y"))
         star = words.alias("x").join(first, "word").where(F.expr(f"x.at > y.at AND {_POSSIBLE}"))
         links = self.confirmed(star.select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct())
         decided = links.select(F.col("later").alias("at")).distinct()
@@ -122,7 +136,9 @@ class LineJoin:
         rest = open_.join(crowded.alias("y"), condition).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct()
         more = self.confirmed(rest)
         later = decided.union(more.select("later")).distinct()
-        return self.scratch.write(self.copies.union(later).select("at.*").distinct())
+        return self.scratch.write(self.copies.union(later).distinct().select(
+            "at.id", F.shiftright("at.place", 32).alias("version"), F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")
+        ))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -136,7 +152,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     join = LineJoin(docs, id_col, text_col)
     gone = join.repeated().groupBy("id", "version").agg(F.collect_set("line").alias("gone")).select(F.struct("id", "version", "gone").alias("__gone"))
-    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    own = _version(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     met = docs.join(gone, (docs[id_col] == F.col("__gone.id")) & (own == F.col("__gone.version")), "left")
     kept = _without(docs[text_col], F.col("__gone.gone"))
     left = F.col("__gone").isNull() | kept.rlike(r"[^\x20\x09-\x0D]")
