@@ -26,8 +26,6 @@ SOUND_WEIGHT, SHAPE_WEIGHT = 0.52, 0.48
 CATEGORY_BONUS, CONTEXT_BONUS = 0.10, 0.12
 MIN_SCORE, MIN_MARGIN = 0.88, 0.12
 TRUSTED_KINDS = ("common", "category", "channel")
-# a rival this weak cannot come within the margin of an accepted score, bonuses included
-RIVAL_FLOOR = MIN_SCORE - MIN_MARGIN - CATEGORY_BONUS - CONTEXT_BONUS
 BUCKET = 32
 
 KeyFn = Callable[[Column], Column]
@@ -235,7 +233,9 @@ def correct_terms(
     windows = text_windows(spoken, keys, text, forms, run, key_fn is not None)
     free = pinned(exclude_spans(windows, exact_hits(spoken, keys, text, forms), keys, longest))
     measured = base_scores(term_candidates(free, forms, key_fn), entries, key_fn)
-    rated = pinned(measured.where(F.col("base") >= RIVAL_FLOOR)).withColumnRenamed("category", "_category")
+    # a rival this weak cannot come within the margin of an accepted score, bonuses included
+    floor = min_score - margin - CATEGORY_BONUS - CONTEXT_BONUS
+    rated = pinned(measured.where(F.col("base") >= floor)).withColumnRenamed("category", "_category")
 
     named = entries.select("canonical", "kind", F.col("forms").alias("_forms"))
     joined = (

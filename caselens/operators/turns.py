@@ -278,10 +278,16 @@ def select_digest(
     ranked: DataFrame, keys: Sequence[str], rank: str = "rank", requested: Column | None = None,
     budget: int = DIGEST_CHARS, cap: int = DIGEST_CAP,
 ) -> DataFrame:
-    """Entries of the short answer: by text budget, or by the number asked for."""
+    """Entries of the short answer: by text budget, or by the number asked for.
+
+    An entry costs the length of its summary, or of its ``content`` where the summary is empty.
+    """
     wanted = F.lit(None).cast("int") if requested is None else requested
     first = top_rows(ranked.withColumn("_wanted", wanted), keys, [F.asc(rank)], cap, "_rn")
-    cost = F.greatest(F.lit(80), F.least(F.length(norm("summary")), F.lit(180)))
+    said = F.col("summary")
+    if "content" in ranked.columns:
+        said = F.coalesce(F.nullif(said, F.lit("")), F.col("content"))
+    cost = F.greatest(F.lit(80), F.least(F.length(norm(said)), F.lit(180)))
     running = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     return (
         first.withColumn("spent", F.sum(cost).over(running))

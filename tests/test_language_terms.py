@@ -74,6 +74,13 @@ def kb(spark):
     return tm.build_vocabulary(normalize_cases(raw).join(raw.select("case_id", "input_pos"), "case_id"))
 
 
+def test_term_correction_follows_its_own_thresholds(spark):
+    vocabulary = kb(spark)
+    loose = tm.correct_terms(spark.createDataFrame([(1, "刷单反里")], "id int, text string"), vocabulary, ["id"], min_score=0.3, margin=0.0)
+    strict = tm.correct_terms(spark.createDataFrame([(1, "刷单反里")], "id int, text string"), vocabulary, ["id"])
+    assert loose.first().canonical_text == "刷单返利" and strict.first().canonical_text == "刷单反里"
+
+
 def test_term_correction_examples(spark):
     rows = [
         (1, "这是刷单反利骗局吗？", "刷单返利类", ["这是刷单返利骗局吗", "这是刷单反利骗局吗"], "zh", "这是刷单返利骗局吗？"),

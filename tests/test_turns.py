@@ -92,6 +92,13 @@ def test_digest_sizes(spark):
     assert {r.q: r["count"] for r in got} == {1: 4, 2: 6, 3: 2}
 
 
+def test_digest_counts_the_content_of_entries_without_summary(spark):
+    rows = [(1, i, "", "文" * 170) for i in range(1, 9)] + [(2, i, "短", "文" * 170) for i in range(1, 9)]
+    ranked = spark.createDataFrame(rows, "q int, rank int, summary string, content string")
+    got = op.select_digest(ranked, ["q"]).groupBy("q").count().collect()
+    assert {r.q: r["count"] for r in got} == {1: 4, 2: 6}
+
+
 def test_evidence_budget(spark):
     rows = [(1, 1, "x" * 6000), (1, 2, "y"), (2, 1, "a" * 3000), (2, 2, "b" * 2200), (2, 3, "c")]
     packed = op.pack_evidence(spark.createDataFrame(rows, "t int, rank int, block string"), ["t"])
