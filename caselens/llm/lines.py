@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 
@@ -15,18 +16,23 @@ PERCENT = 80
 #: A line of fewer different words is too short to judge and stays.
 LEAST_WORDS = 5
 #: Word counts are kept by hash in so many cells; words of one cell count together, which only changes the order.
-CELLS = 1 << 16
+CELLS = 1 << 18
+#: Prefix words are joined in so many passes over their hashes, so that a pass needs disk for its own part alone.
+PASSES = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_words(line: Column) -> Column:
     """Words of a line, separated by white space, A-Z lower-cased."""
-    return F.filter(F.split(F.translate(line, _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # lower() is quick, and does the same where no other letter has a lower case
+    others = line.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
+    quick = F.when((F.octet_length(line) == F.length(line)) | ~others, F.lower(line))
+    return F.array_remove(F.split(quick.otherwise(F.translate(line, _UPPER, _LOWER)), r"[\x20\x09-\x0D]+"), "")
 
 
 def _cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CELLS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def word_ranks(docs: DataFrame) -> Column:
@@ -34,7 +40,8 @@ def word_ranks(docs: DataFrame) -> Column:
 
     The ranks are a constant of CELLS small numbers, whatever the corpus holds.
     """
-    words = docs.select(F.explode(F.split(F.translate(F.col("text"), _UPPER, _LOWER), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("content"))
+    words = lines.select(F.explode(line_words(F.col("content"))).alias("w"))
     counts = {r["c"]: r["n"] for r in words.groupBy(_cell(F.col("w")).alias("c")).agg(F.count("*").alias("n")).collect()}
     # eighths of the binary logarithm
     ranks = [min(255, int(8 * math.log2(counts[c]) + 1)) if c in counts else 0 for c in range(CELLS)]
@@ -43,9 +50,10 @@ def word_ranks(docs: DataFrame) -> Column:
 
 def word_keys(line: Column, ranks: Column) -> Column:
     """A line's word set as sorted numbers, the rarest word first: rank, then 55 bits of the word's hash."""
-    hashes = F.transform(line_words(line), lambda w: F.xxhash64(w))
-    key = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(CELLS)).cast("int")).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1))))
-    return F.sort_array(F.array_distinct(key))
+    def key(word: Column) -> Column:
+        return F.shiftleft(F.get(ranks, _cell(word)).cast("long"), 55).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 55) - 1)))
+
+    return F.sort_array(F.array_distinct(F.transform(line_words(line), key)))
 
 
 def _prefix_length(n: str) -> str:
@@ -62,6 +70,11 @@ _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
     + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)"""
 
 
+#: Whether a shared word is the first that x and y share, as far as the two words before it tell. A pair always
+#: passes at its first one; one that shares several words in a row is made once for them.
+_FIRST_MEETING = " AND ".join(f"NOT (x.before{i} <=> y.before{j} AND x.before{i} IS NOT NULL)" for i in (1, 2) for j in (1, 2))
+
+
 def _version(text: Column) -> Column:
     """30 bits that tell apart texts which share an id; with a line's number they are its place."""
     return F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFF))
@@ -82,20 +95,22 @@ class LineJoin:
         self.ranks = word_ranks(self.read)
         named = self.read.where("id IS NOT NULL")
         each = named.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-        keyed = each.select("id", "version", "line", word_keys(F.col("content"), self.ranks).alias("k")).where(F.size("k") >= LEAST_WORDS)
+        keyed = each.select("id", "version", "line", word_keys(F.col("content"), self.ranks).alias("k"))
         prefix = F.expr(f"slice(k, 1, {_prefix_length('size(k)')})")
         place = (F.shiftleft("version", 32) + F.col("line")).alias("place")
         lines = self.scratch.write(keyed.select(
             F.struct("id", place).alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"),
             _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"),
         ))
+        # a filter before the writing would have all keys made twice
+        short, lines = lines, lines.where(F.col("n") >= LEAST_WORDS)
         #: The first line of every different word set, with its prefix.
         first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high")))
         self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "h1", "h2"))
         #: The other lines of every class.
         lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
         self.copies = self.scratch.write(lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at"))
-        self.scratch.drop(lines)
+        self.scratch.drop(short)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (later, earlier) of first lines whose whole word sets are similar enough."""
@@ -120,20 +135,35 @@ class LineJoin:
         word of their prefixes meet. Each is compared with the first of those it meets; one that
         this doesn't decide is compared with all earlier ones that the filters leave.
         """
-        words = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", F.posexplode("prefix").alias("place", "word"))
-        words = words.select("word", "at", "n", "bits", "low", "high", (F.col("place") + 1).alias("pos"))
-        # a word that one prefix alone has is of no more use
-        several = self.scratch.write(words.groupBy("word").agg(F.count("*").alias("many")).where("many > 1"))
-        words = self.scratch.write(words.join(several, "word"))
-        self.scratch.drop(self.classes, several)
-        first = words.groupBy("word").agg(F.min(F.struct("at", "n", "bits", "low", "high", "pos")).alias("y"))
-        star = words.alias("x").join(first, "word").where(F.expr(f"x.at > y.at AND {_POSSIBLE}"))
-        links = self.confirmed(star.select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct())
+        base = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", "prefix", F.posexplode("prefix").alias("place", "word"))
+        words = base.select(
+            "word", "at", "n", "bits", "low", "high", (F.col("place") + 1).alias("pos"),
+            *(F.get("prefix", F.col("place") - i).alias(f"before{i}") for i in (1, 2)),
+        )
+        possible = f"x.word = y.word AND x.at > y.at AND {_POSSIBLE}"
+
+        def met(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
+            pairs = x.alias("x").join(y.alias("y"), F.expr(condition)).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier"))
+            return self.scratch.write(pairs.distinct())
+
+        blocks, stars = [], []
+        for i in range(PASSES):
+            block = words.where(F.pmod("word", F.lit(PASSES)) == i)
+            # a word that one prefix alone has is of no more use
+            several = self.scratch.write(block.groupBy("word").agg(F.count("*").alias("many"), F.min("at").alias("lead")).where("many > 1"))
+            block = self.scratch.write(block.join(several, "word").withColumn("lead", F.col("at") == F.col("lead")))
+            self.scratch.drop(several)
+            stars.append(met(block, block.where("lead"), possible))
+            blocks.append(block)
+        self.scratch.drop(self.classes)
+        links = self.confirmed(functools.reduce(DataFrame.union, stars).distinct())
         decided = links.select(F.col("later").alias("at")).distinct()
-        crowded = words.where("many > 2")
-        open_ = crowded.join(decided, "at", "left_anti").alias("x")
-        condition = F.expr(f"x.word = y.word AND x.at > y.at AND {_POSSIBLE}")
-        rest = open_.join(crowded.alias("y"), condition).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier")).distinct()
+        rests = []
+        for block in blocks:
+            crowded = block.where("many > 2")
+            rests.append(met(crowded.join(decided, "at", "left_anti"), crowded.where("NOT lead"), f"{possible} AND {_FIRST_MEETING}"))
+            self.scratch.drop(block)
+        rest = functools.reduce(DataFrame.union, rests).distinct()
         more = self.confirmed(rest)
         later = decided.union(more.select("later")).distinct()
         return self.scratch.write(self.copies.union(later).distinct().select(
