@@ -16,7 +16,7 @@ PERCENT = 80
 #: A line of fewer different words is too short to judge and stays.
 LEAST_WORDS = 5
 #: Word counts are kept by hash in so many cells; words of one cell count together, which only changes the order.
-CELLS = 1 << 18
+CELLS = 1 << 16
 #: Prefix words are joined in so many passes over their hashes, so that a pass needs disk for its own part alone.
 PASSES = 4
 
