@@ -24,7 +24,7 @@ def envelope_items(payload: Column, mode: str = "builder") -> Column:
 
     The builder takes the first non-empty of items/records/list; the loader takes
     ``items`` if the key is there, otherwise ``case_items``. Entries that are no objects
-    are left out.
+    are left out. A text that is no JSON is an error, not an envelope without records.
     """
     clean = F.ltrim(F.regexp_replace(payload, "^\ufeff", ""))
     names = ("items", "records", "list", "case_items")
@@ -33,7 +33,11 @@ def envelope_items(payload: Column, mode: str = "builder") -> Column:
         listed = _first_filled(envelope["items"], envelope["records"], envelope["list"])
     else:
         listed = F.coalesce(envelope["items"], envelope["case_items"])
-    records = F.when(clean.startswith("["), F.from_json(clean, TEXTS)).when(clean.startswith("{"), listed)
+    unreadable = clean.isNotNull() & F.try_parse_json(clean).isNull()
+    records = (
+        F.when(unreadable, F.raise_error(F.lit("source is not valid JSON")).cast(TEXTS))
+        .when(clean.startswith("["), F.from_json(clean, TEXTS)).when(clean.startswith("{"), listed)
+    )
     if mode == "builder":
         records = records.otherwise(
             F.raise_error(F.lit("source must be a JSON object or array")).cast(TEXTS)

@@ -46,6 +46,14 @@ def test_a_scalar_document_is_an_error(spark, tmp_path):
         read_cases(spark, write(tmp_path / "x.json", 5)).collect()
 
 
+@pytest.mark.parametrize("mode", ["builder", "loader"])
+def test_a_broken_document_is_an_error(spark, tmp_path, mode):
+    path = tmp_path / "x.json"
+    path.write_text('{"items": [{"case_id": "FZ-001"}', encoding="utf-8")
+    with pytest.raises(Exception, match="not valid JSON"):
+        read_cases(spark, str(path), mode=mode).collect()
+
+
 def test_record_keeps_31_fields_in_order(spark, tmp_path):
     rows = op.normalize_cases(read_cases(spark, write(tmp_path / "a.json", [RECORD])))
     row = rows.first()
