@@ -295,6 +295,24 @@ def test_perplexity_is_modified_kneser_ney_and_rejects_noise(spark):
     assert (totals <= 1 + 1e-4).all() and totals.max() > 0.99
 
 
+def test_band_rejects_short_symbols_tables_and_gibberish(spark):
+    rng = random.Random(16)
+    parts = ["the", "ing", "and", "er", "th", "on"]
+
+    def prose(n):
+        return " ".join("".join(rng.choices(parts, k=2)) for _ in range(n))
+
+    rows = [(i, prose(60), "en") for i in range(150)] + [(200 + i, prose(12), "en") for i in range(20)]
+    rows += [(900, "$$$ %%% ### &&& *** <<< >>> $%$ %#% &*& #$# *%*", "en")]
+    rows += [(901, " | ".join(f"{rng.randrange(10**4)}" for _ in range(14)), "en")]
+    rows += [(902, " ".join("".join(rng.choices("qxzjkvwy", k=5)) for _ in range(12)), "en")]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(frame(spark, rows)).collect()}
+    planted = {900, 901, 902}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in planted)
+    assert sum(r["kept"] for i, r in got.items() if i not in planted) >= 166
+
+
 EMPTY = {
     "suffixes": lambda d, s: suffixes.remove_repeats(d),
     "chunks": lambda d, s: chunks.chunk_duplicates(d),
