@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,12 @@ from .words import windows, words_of
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: 20 bands of 4 minima: a pair at 0.85 shares no band with probability (1 - 0.85**4)**20, under 1e-6.
-BANDS, ROWS = 20, 4
+#: Minima of a band. A pair at the threshold shares no band with a probability of at most UNMET: 20 bands at 0.85, 28 at 0.80.
+ROWS, UNMET = 4, 5e-7
 #: Minima of a signature, of each of which 4 bits are kept, in 16 64-bit integers.
 MINIMA, SIGNS = 256, 16
-#: Agreeing minima that a candidate needs; a pair at 0.85 agrees in 220 of 256 and has fewer than this with probability under 1e-5.
-LEAST_AGREEING = 192
+#: A pair at the threshold agrees in fewer minima than a candidate needs with a probability of at most this: 192 of 256 at 0.85, 177 at 0.80.
+DISAGREEING = 1.2e-6
 #: Up to so many members all pairs of a bucket are candidates, which is a bounded number for each row.
 SMALL_BUCKET = 8
 
@@ -32,6 +33,28 @@ _FACTORS = _random.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2)
 _SHIFTS = _random.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
+def bands_needed(percent: int) -> int:
+    """Bands of ROWS minima that a pair at the threshold needs to meet."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"a threshold of {percent} %")
+    unmet = 1 - (percent / 100) ** ROWS
+    bands = math.ceil(math.log(UNMET) / math.log(unmet)) if unmet else 1
+    if bands * ROWS > MINIMA:
+        raise ValueError(f"{MINIMA} minima are too few for a threshold of {percent} %")
+    return bands
+
+
+def least_agreeing(percent: int) -> int:
+    """Agreeing minima, in their 4 bits, that a candidate needs; one in 16 agrees by chance."""
+    agree = percent / 100 + (1 - percent / 100) / 16
+    fewer = 0.0
+    for k in range(MINIMA):
+        fewer += math.comb(MINIMA, k) * agree**k * (1 - agree) ** (MINIMA - k)
+        if fewer > DISAGREEING:
+            return k
+    return MINIMA
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingles of all rows, sorted within each row, and the number of each row."""
     words = words_of(data, offsets, lower=True)
@@ -73,7 +96,7 @@ def fingerprints(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign_texts(docs: DataFrame) -> DataFrame:
+def sign_texts(docs: DataFrame, n_bands: int) -> DataFrame:
     """(id, text) to (id, fp binary of 16, n long, bands binary, s0 to s15 long); bands is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +107,7 @@ def sign_texts(docs: DataFrame) -> DataFrame:
                 signs = np.zeros((hi - lo, SIGNS), np.uint64)
                 nibble = (minima & np.uint32(15)).astype(np.uint64).reshape(-1, SIGNS, MINIMA // SIGNS)
                 signs[count > 0] = np.bitwise_or.reduce(nibble << (4 * np.arange(MINIMA // SIGNS)).astype(np.uint64), axis=2)
-                bands = iter(minima[:, : BANDS * ROWS])
+                bands = iter(minima[:, : n_bands * ROWS])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo),
                     binary_rows(fingerprints(value, count).reshape(-1), np.full(hi - lo, 2)),
@@ -191,13 +214,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.write(sign_texts(read))
+    n_bands = bands_needed(percent)
+    signed = scratch.write(sign_texts(read, n_bands))
     nodes = scratch.write(
         signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SIGN_COLUMNS))
     )
     width = 4 * ROWS
-    cut = f"posexplode(transform(sequence(0, {BANDS - 1}), i -> substring(bands, i * {width} + 1, {width}))) AS (band, key)"
-    keys = f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(bands, i * {width} + 1, {width}))) AS keys"
+    cut = f"posexplode(transform(sequence(0, {n_bands - 1}), i -> substring(bands, i * {width} + 1, {width}))) AS (band, key)"
+    keys = f"transform(sequence(0, {n_bands - 1}), i -> xxhash64(substring(bands, i * {width} + 1, {width}))) AS keys"
     bands = nodes.selectExpr("fp", "n", *_SIGN_COLUMNS, keys, cut)
     shared = nodes.selectExpr(cut).groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.write(bands.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")))
@@ -236,7 +260,7 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
         for c in more:
             condition &= c
         # the signatures are compared in the join, so its result has the pairs that pass alone
-        condition &= _agreeing() >= LEAST_AGREEING
+        condition &= _agreeing() >= least_agreeing(percent)
         if last is not None:
             condition &= last
         return x.join(y, condition).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b")).distinct()

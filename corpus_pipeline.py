@@ -17,6 +17,8 @@ from caselens.llm.store import Scratch
 LEAST_LANGUAGE_SCORE = 0.5
 #: The vocabulary of the token ids, a file that every executor has.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Near copies share at least so many hundredths of their shingles.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that of the smallest id (operator 6)."""
-    kept = near_components(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_components(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

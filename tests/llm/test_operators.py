@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -216,6 +217,16 @@ def test_near_components_equal_brute_force(spark, texts, monkeypatch, small):
     assert sorted((tuple(r) for r in minhash.near_components(frame(spark, rows)).collect()), key=key) == sorted(want, key=key)
 
 
+def test_signatures_miss_as_little_at_any_threshold():
+    assert (minhash.bands_needed(85), minhash.least_agreeing(85)) == (20, 192)
+    for percent in (80, 85, 90):
+        agree = percent / 100 + (1 - percent / 100) / 16
+        fewer = sum(math.comb(256, k) * agree**k * (1 - agree) ** (256 - k) for k in range(minhash.least_agreeing(percent)))
+        assert fewer < 1e-5 and (1 - (percent / 100) ** 4) ** minhash.bands_needed(percent) < 1e-6
+    with pytest.raises(ValueError):
+        minhash.bands_needed(50)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (200, 201)]

@@ -42,3 +42,21 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
     # the repeated line of the last document is gone
     assert got[105] < len(re.findall(r"\S+", rows[-1][1])) * 8
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_stage_drops_a_copy_at_081(spark):
+    def shingles(text):
+        words = text.split(" ")
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(104)]
+        # 81 of 100 shingles are in both: the first 85 words are the same
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:85]))]
+        # under the threshold: 79 of 100
+        rows += [(10 * k + 2, " ".join(f"u{w}" for w in words)), (10 * k + 3, " ".join(f"u{w}" for w in words[:83]))]
+    sets = {i: shingles(t) for i, t in rows}
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) == 0.81 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) == 0.79
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _ in rows if i % 10 != 1)
