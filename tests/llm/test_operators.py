@@ -273,6 +273,79 @@ def test_license_rules_follow_their_order(spark):
     assert got[None] == (1, 1, 1, "All-Rights-Reserved", "proprietary")
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licenses_are_read_with_lines_joined(spark):
+    def flat(text):
+        return "\n".join(" ".join(block.replace("#", " ").split()) for block in re.split(r"\n[# ]*\n", text))
+
+    texts = {
+        1: (MIT, "MIT", 1), 2: (APACHE, "Apache-2.0", 2), 3: (BSD2, "BSD-2-Clause", 1), 4: (BSD3, "BSD-3-Clause", 1), 5: (GPL2, "GPL-2.0", 1),
+        6: ("Some code.\nThis file is licensed under the MIT License\nand more", "MIT", 1), 7: ("x = 1 // SPDX-License-Identifier: MIT\n", "", 0),
+        8: ("/*\n * SPDX-License-Identifier: LGPL-2.1-or-later\n */", "LGPL-2.1", 1), 9: (GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of"), "LGPL-2.1", 1),
+        10: ("The text is available under CC BY-SA 4.0.", "CC-BY-SA-4.0", 1), 11: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 1),
+        12: ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", "Unlicense", 1),
+        13: (MIT.replace("MIT License", "Plain words") + APACHE, "Apache-2.0,MIT", 3), 14: ("Not a licensed thing; see under the tree.\n\n\n\n", "", 0),
+    }
+    rows = [(i, t, "en") for i, (t, _, _) in texts.items()] + [(100 + i, flat(t), "en") for i, (t, _, _) in texts.items() if i < 6]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {i: texts[i % 100][1:] for i, _, _ in rows}
+    known = {r["doc_id"]: r["n_known"] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert (known[1], known[2], known[4], known[5]) == (known[101], known[102], known[104], known[105]) == (2, 4, 4, 2)
+
+
 def test_quality_rules_equal_brute_force(spark, texts):
     rows = [*texts, (700, "one two three four five six " * 5, "en"), (701, "#a $b | % & <c> *\nsame line here\nsame line here\n \n ", "en"), (None, "x y", "en")]
     got = quality.quality_verdicts(frame(spark, rows)).collect()
