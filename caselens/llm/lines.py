@@ -13,8 +13,10 @@ from .store import Scratch
 
 #: Lines with Jaccard of at least PERCENT / 100 between their word sets are duplicates.
 PERCENT = 80
-#: A line of fewer different words is too short to judge and stays.
+#: A line of fewer different words is too short to judge by its words.
 LEAST_WORDS = 5
+#: Where such lines are compared whole, those of fewer characters, without needless space, stay: "Yes", "}", "* * *".
+LEAST_CHARS = 10
 #: Word counts are kept by hash in so many cells; words of one cell count together, which only changes the order.
 CELLS = 1 << 16
 #: Prefix words are joined in so many passes over their hashes, so that a pass needs disk for its own part alone.
@@ -86,21 +88,31 @@ def _bits(words: str, condition: str = "true") -> Column:
 
 
 class LineJoin:
-    """The lines of documents, their classes of equal word sets, and which of them come later than a similar one."""
+    """The lines of documents, their classes of equal word sets, and which of them come later than a similar one.
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    With ``short_chars``, lines of fewer than LEAST_WORDS different words are copies if they
+    equal an earlier one, A-Z lower-cased and white space of any length as one space, and
+    have at least so many characters then. This holds for any script, spaced or not.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, short_chars: int | None = None):
         self.scratch = Scratch(docs.sparkSession)
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.read = docs.select(F.col(id_col).alias("id"), _version(text).alias("version"), text.alias("text"))
         self.ranks = word_ranks(self.read)
         named = self.read.where("id IS NOT NULL")
         each = named.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-        keyed = each.select("id", "version", "line", word_keys(F.col("content"), self.ranks).alias("k"))
+        keyed = each.select("id", "version", "line", "content", word_keys(F.col("content"), self.ranks).alias("k"))
+        if short_chars is not None:
+            squeezed = F.array_join(line_words(F.col("content")), " ")
+            judged = (F.size("k") < LEAST_WORDS) & (F.length("content") >= short_chars)
+            digest = F.when(judged, F.when(F.length(squeezed) >= short_chars, F.unhex(F.md5(squeezed.cast("binary")))))
+            keyed = keyed.withColumn("whole", digest)
         prefix = F.expr(f"slice(k, 1, {_prefix_length('size(k)')})")
         place = (F.shiftleft("version", 32) + F.col("line")).alias("place")
         lines = self.scratch.write(keyed.select(
             F.struct("id", place).alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"),
-            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"),
+            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"), *([] if short_chars is None else [F.col("whole")]),
         ))
         # a filter before the writing would have all keys made twice
         short, lines = lines, lines.where(F.col("n") >= LEAST_WORDS)
@@ -109,7 +121,12 @@ class LineJoin:
         self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "h1", "h2"))
         #: The other lines of every class.
         lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
-        self.copies = self.scratch.write(lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at"))
+        copies = lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at")
+        if short_chars is not None:
+            whole = short.where("whole IS NOT NULL").select("whole", "at")
+            first = whole.groupBy("whole").agg(F.min("at").alias("lead"), F.count("*").alias("many")).where("many > 1")
+            copies = copies.union(whole.join(first, "whole").where("at <> lead").select("at"))
+        self.copies = self.scratch.write(copies)
         self.scratch.drop(short)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -175,12 +192,12 @@ def _without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_chars: int | None = LEAST_CHARS) -> DataFrame:
     """The documents, all columns, without the lines that line_duplicates() removes; one whose words all go is dropped.
 
-    The cases are those of line_duplicates(); a null text stays null.
+    The cases are those of line_duplicates(), with exact copies of short lines removed too; a null text stays null.
     """
-    join = LineJoin(docs, id_col, text_col)
+    join = LineJoin(docs, id_col, text_col, short_chars)
     gone = join.repeated().groupBy("id", "version").agg(F.collect_set("line").alias("gone")).select(F.struct("id", "version", "gone").alias("__gone"))
     own = _version(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     met = docs.join(gone, (docs[id_col] == F.col("__gone.id")) & (own == F.col("__gone.version")), "left")
@@ -189,18 +206,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return met.where(left).select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def line_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, short_chars: int | None = None
+) -> DataFrame:
     """One row per document: id, n_lines, n_removed, n_kept_chars, kept_sha256 of the lines left, and with ``with_text`` those lines as text.
 
     A line goes if an earlier line, of a smaller id or above it in its document, has a word
     set with a Jaccard of at least PERCENT / 100 to its own; lines are judged on the input.
-    Lines of fewer than LEAST_WORDS different words stay. Equal lines tie to the first. A
+    Lines of fewer than LEAST_WORDS different words stay; with ``short_chars`` only the first
+    of those that are equal, and those of fewer characters. Equal lines tie to the first. A
     null text is one empty line. Rows with one id and one text are one document and are
     reported alike; different texts of one id are ordered by a hash. Rows with a null id stay
     whole and remove nothing elsewhere. An empty table gives an empty one; other columns are
     left out.
     """
-    join = LineJoin(docs, id_col, text_col)
+    join = LineJoin(docs, id_col, text_col, short_chars)
     gone = join.repeated().groupBy("id", "version").agg(F.collect_set("line").alias("gone"))
     found = join.read.join(gone, ["id", "version"], "left")
     out = found.select("id", "text", "gone", _without(F.col("text"), F.col("gone")).alias("kept"))

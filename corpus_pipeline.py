@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that an earlier line is similar to, and documents of which nothing is left (operator 8)."""
+    """Remove lines that an earlier line is similar to, short ones that equal an earlier one, and documents of which nothing is left (operator 8)."""
     return drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

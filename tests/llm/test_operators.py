@@ -260,6 +260,24 @@ def test_lines_equal_brute_force(spark, texts):
     assert all(r["text"] == want[r["doc_id"]] if r["doc_id"] is not None else r["n_removed"] == 0 for r in got)
 
 
+def test_short_lines_go_when_they_equal_an_earlier_one(spark):
+    rows = [
+        (1, "All rights reserved.\n今天天气很好我们去公园散步吧\nYes\nbuy now buy now buy now", "en"),
+        (2, "ALL  rights reserved.\nYes\nnow buy now buy now buy\nown line here", "en"),
+        (3, "今天天气很好我们去公园散步吧\nbuy now buy now buy now\nบรรทัดนี้ซ้ำกันทุกหน้า", "zh"), (4, "บรรทัดนี้ซ้ำกันทุกหน้า\nบรรทัดนี้ซ้ำกันทุกหน้า\n\n \nAll rights reserved!", "th"),
+        (5, None, "en"), (None, "All rights reserved.", "en"), (6, "All rights reserved.", "en"),
+    ]
+    docs = frame(spark, rows)
+    want = {
+        1: rows[0][1], 2: "Yes\nnow buy now buy now buy\nown line here", 3: "บรรทัดนี้ซ้ำกันทุกหน้า", 4: "\n \nAll rights reserved!",
+        None: "All rights reserved.",
+    }
+    got = {r["doc_id"]: r["text"] for r in lines.line_duplicates(docs, with_text=True, short_chars=lines.LEAST_CHARS).collect()}
+    assert got == want | {5: "", 6: ""}
+    # as the pipeline's stage calls it
+    assert {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs).collect()} == want | {5: None}
+
+
 def test_license_rules_follow_their_order(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."
     notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
