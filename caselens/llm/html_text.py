@@ -41,6 +41,28 @@ LABELLED = (
     (5, 0.00, 6, 1.00, 1, 0.00, 3, 1, 1),
     (11, 0.00, 100, 0.00, 80, 0.00, 3, 1, 1),
     (8, 1.00, 4, 1.00, 70, 0.00, 3, 1, 1),
+    # lists of links, share bars and linked adverts inside an article element
+    (1, 1.00, 1, 1.00, 1, 1.00, 3, 0, 0),
+    (2, 1.00, 80, 0.00, 2, 1.00, 3, 0, 0),
+    (3, 1.00, 3, 1.00, 60, 0.00, 3, 0, 0),
+    (5, 1.00, 6, 1.00, 5, 1.00, 3, 0, 0),
+    (7, 1.00, 8, 1.00, 40, 0.00, 3, 0, 0),
+    (9, 1.00, 50, 0.00, 8, 1.00, 3, 0, 0),
+    (14, 0.95, 12, 1.00, 10, 0.90, 3, 0, 0),
+    (6, 1.00, 2, 0.00, 7, 1.00, 3, 0, 0),
+    (5, 1.00, 5, 1.00, 0, 0.00, 3, 0, 0),
+    (4, 1.00, 31, 0.00, 4, 1.00, 3, 0, 0),
+    (4, 1.00, 4, 1.00, 4, 1.00, 3, 0, 0),
+    (4, 1.00, 4, 1.00, 31, 0.00, 3, 0, 0),
+    # what stands around them
+    (31, 0.00, 4, 1.00, 0, 0.00, 3, 0, 1),
+    (30, 0.00, 31, 0.00, 4, 1.00, 3, 0, 1),
+    (40, 0.00, 4, 1.00, 35, 0.00, 3, 0, 1),
+    (12, 0.00, 13, 0.00, 32, 0.00, 3, 0, 1),
+    (15, 0.00, 51, 0.00, 0, 0.00, 3, 0, 1),
+    (56, 0.00, 10, 0.00, 13, 0.00, 3, 0, 1),
+    (10, 0.00, 23, 0.00, 56, 0.00, 3, 0, 1),
+    (5, 0.00, 0, 0.00, 31, 0.00, 3, 1, 1),
     # outside the article of a page that has one
     (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0),
     (8, 0.00, 1, 1.00, 6, 0.00, 1, 0, 0),
@@ -49,6 +71,11 @@ LABELLED = (
     (6, 0.00, 80, 0.00, 2, 1.00, 1, 1, 0),
     (3, 0.00, 1, 1.00, 5, 0.50, 1, 1, 0),
     (15, 0.40, 9, 0.00, 1, 1.00, 1, 0, 0),
+    (20, 0.00, 90, 0.00, 45, 0.00, 1, 0, 0),
+    (50, 0.00, 60, 0.00, 70, 0.00, 1, 0, 0),
+    (3, 1.00, 1, 1.00, 60, 0.00, 1, 0, 0),
+    (8, 0.00, 0, 0.00, 100, 0.00, 1, 0, 0),
+    (30, 0.00, 40, 0.00, 35, 0.00, 1, 0, 0),
     # page furniture: menus, headers, footers, sidebars, notices, adverts, forms, comments
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0),
     (2, 1.00, 0, 0.00, 2, 1.00, 0, 0, 0),
@@ -63,6 +90,15 @@ LABELLED = (
     (4, 0.00, 1, 1.00, 6, 1.00, 0, 1, 0),
     (3, 0.00, 90, 0.00, 25, 0.00, 0, 1, 0),
     (20, 1.00, 15, 1.00, 18, 1.00, 0, 0, 0),
+    (15, 0.00, 51, 0.00, 0, 0.00, 0, 0, 0),
+    (13, 0.00, 56, 0.00, 0, 0.00, 0, 0, 0),
+    (25, 0.00, 30, 0.00, 0, 0.00, 0, 0, 0),
+    (9, 0.30, 120, 0.00, 0, 0.00, 0, 0, 0),
+    (60, 0.00, 90, 0.00, 40, 0.00, 0, 0, 0),
+    (50, 0.00, 35, 0.00, 60, 0.00, 0, 0, 0),
+    (8, 0.00, 40, 0.00, 45, 0.00, 0, 0, 0),
+    (3, 1.00, 2, 1.00, 50, 0.00, 0, 0, 0),
+    (7, 0.00, 0, 0.00, 80, 0.00, 0, 0, 0),
     # pages without an article element: running text against short and linked blocks
     (140, 0.00, 90, 0.00, 100, 0.02, 2, 0, 1),
     (70, 0.05, 8, 0.00, 55, 0.00, 2, 0, 1),
@@ -76,7 +112,24 @@ LABELLED = (
     (4, 0.00, 75, 0.00, 66, 0.00, 2, 1, 1),
     (9, 0.00, 7, 0.00, 45, 0.05, 2, 1, 1),
     (5, 0.00, 0, 0.00, 38, 0.00, 2, 1, 1),
+    (31, 0.00, 0, 0.00, 31, 0.00, 2, 0, 1),
+    (30, 0.00, 31, 0.00, 4, 1.00, 2, 0, 1),
+    (45, 0.00, 0, 0.00, 20, 0.00, 2, 0, 1),
+    (25, 0.00, 3, 1.00, 30, 0.00, 2, 0, 1),
+    (60, 0.00, 40, 0.00, 0, 0.00, 2, 0, 1),
+    (90, 0.00, 100, 0.00, 0, 0.00, 2, 0, 1),
+    (50, 0.02, 45, 0.00, 2, 1.00, 2, 0, 1),
+    (28, 0.00, 12, 0.00, 26, 0.00, 2, 0, 1),
+    (35, 0.10, 5, 0.00, 3, 1.00, 2, 0, 1),
+    (55, 0.00, 4, 1.00, 2, 1.00, 2, 0, 1),
     (1, 1.00, 2, 1.00, 1, 1.00, 2, 0, 0),
+    (4, 1.00, 30, 0.00, 4, 1.00, 2, 0, 0),
+    (4, 1.00, 4, 1.00, 4, 1.00, 2, 0, 0),
+    (4, 1.00, 4, 1.00, 0, 0.00, 2, 0, 0),
+    (4, 1.00, 0, 0.00, 30, 0.00, 2, 0, 0),
+    (6, 1.00, 60, 0.00, 5, 1.00, 2, 0, 0),
+    (10, 1.00, 8, 1.00, 40, 0.00, 2, 0, 0),
+    (6, 0.00, 3, 1.00, 4, 1.00, 2, 0, 0),
     (3, 1.00, 1, 1.00, 90, 0.00, 2, 0, 0),
     (12, 0.90, 10, 0.80, 14, 1.00, 2, 0, 0),
     (40, 0.80, 3, 1.00, 30, 0.90, 2, 0, 0),
@@ -114,7 +167,12 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>?|<[!?/][^>]*+>?""", re.S
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: In any attribute: the bare hidden attribute, or a style that shows nothing.
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/?$)|(?:^|\s)aria-hidden\s*=\s*["']?true|(?:^|\s)style\s*=\s*(?:"[^"]*?|'[^']*?|[^\s"']*?)\bdisplay\s*:\s*none""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+#: A class with one of these words first, or one of those last, says how a page is laid out. Fixed values.
+STATE_FIRST = frozenset("can has hide is js no not show with without".split())
+STATE_LAST = frozenset("active closed collapsed disabled enabled expanded fixed free hidden layout open opened page sticky visible".split())
 
 
 @dataclass
@@ -127,15 +185,22 @@ class Block:
     heading: bool = False
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+def _hidden(attributes: str) -> bool:
+    found = _HIDDEN.search(attributes)
+    # the word hidden inside a value is not the attribute
+    return bool(found) and (found.group().strip().lower() != "hidden" or bool(_HIDDEN.search(_QUOTED.sub('""', attributes))))
+
+
+def _role(attributes: str) -> bool:
+    return any(n.lower() == "role" and set("".join(v).lower().split()) & FURNITURE_ROLES for n, *v in _ATTRIBUTE.findall(attributes))
+
+
+def _named(attributes: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-        if words & (FURNITURE_ROLES if name.lower() == "role" else FURNITURE_NAMES):
-            return True
+        for token in "".join(values).split() if name.lower() != "role" else ():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            if set(words) & FURNITURE_NAMES and words[0] not in STATE_FIRST and words[-1] not in STATE_LAST:
+                return True
     return False
 
 
@@ -143,7 +208,9 @@ def text_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without silent elements."""
     found: list[Block] = []
     block = Block()
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, silent, furniture, article: each with what encloses it
+    # tag, silent, furniture, article: each with what encloses it. Furniture is 2 by what an element is, 1 by its name,
+    # as names are also given to wrappers of whole pages: an article or main element in one is not furniture.
+    stack: list[tuple[str, bool, int, bool]] = []
     linked = False
 
     def close() -> None:
@@ -153,13 +220,13 @@ def text_blocks(page: str) -> list[Block]:
         block = Block()
 
     def say(raw: str) -> None:
-        _, silent, furniture, article = stack[-1] if stack else ("", False, False, False)
+        _, silent, furniture, article = stack[-1] if stack else ("", False, 0, False)
         if silent or not raw:
             return
         text = html.unescape(raw)
         words = len(text.split())
         if words and not block.words:
-            block.in_article, block.furniture = article, furniture
+            block.in_article, block.furniture = article, furniture > 0
             block.heading = any(tag in HEADINGS for tag, *_ in stack[-4:])
         block.parts.append(text)
         block.words += words
@@ -201,14 +268,15 @@ def text_blocks(page: str) -> list[Block]:
                 stack.pop()
             elif tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
                 stack.pop()
-            _, silent, furniture, article = stack[-1] if stack else ("", False, False, False)
+            _, silent, furniture, article = stack[-1] if stack else ("", False, 0, False)
             page_level = tag in ("html", "body", "article", "main")
-            stack.append((
-                tag,
-                silent or tag in SILENT_TAGS,
-                furniture or tag in FURNITURE_TAGS or (tag == "header" and not article) or (not page_level and _marked(attributes)),
-                article or tag in ("article", "main"),
-            ))
+            if tag in ("article", "main") and furniture == 1:
+                furniture = 0
+            if tag in FURNITURE_TAGS - {"form"} or (not page_level and (_hidden(attributes) or _role(attributes))):
+                furniture = 2
+            elif tag == "form" or (tag == "header" and not article) or (tag not in ("html", "body", "main") and _named(attributes)):
+                furniture = max(furniture, 1)
+            stack.append((tag, silent or tag in SILENT_TAGS, furniture, article or tag in ("article", "main")))
     close()
     return found
 

@@ -144,6 +144,29 @@ def test_pages_give_the_article_alone(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_pages_keep_articles_in_named_wrappers_and_drop_link_lists(spark):
+    tree = html_text.train_tree(spark)
+    long = "The committee met again and agreed on a plan for the coming year after a long talk about what it would cost and who would pay for it in the end."
+    links = "".join(f'<li><a href="/{i}">Other story number {i}</a></li>' for i in range(6))
+    article = f"<article><h1>A headline of some words</h1><p>{long}</p><p>{long}</p></article>"
+    want = f"A headline of some words\n\n{long}\n\n{long}"
+    for wrapper in (
+        'class="has-sidebar"', 'class="page header-fixed"', 'style="overflow:hidden"', 'class="with-sidebar no-comments"', 'id="sidebar-wrapper"',
+        'data-note="is hidden here"', 'class="visually hidden-xs"',
+    ):
+        assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><div {wrapper}>{article}</div></body>", tree) == want, wrapper
+    assert html_text.main_text(f"<body><form id=f><main>{article}</main></form></body>", tree) == want
+    for hider in ("hidden", 'style="color:red; display: none"', 'hidden=""', 'aria-hidden="true"'):
+        assert html_text.main_text(f"<body><div {hider}>{article}</div></body>", tree) == "", hider
+    assert html_text.main_text(f"<body><aside>{article}</aside></body>", tree) == ""
+    # unmarked links inside the article go, a linked block between paragraphs stays
+    inside = article.replace("</article>", f"<ul>{links}</ul><p>{long}</p></article>")
+    assert html_text.main_text(f"<body>{inside}</body>", tree) == f"{want}\n\n{long}"
+    # a page without an article element
+    plain = f"<body><div><p>{long}</p><p>{long}</p></div><ul>{links}</ul></body>"
+    assert html_text.main_text(plain, tree) == f"{long}\n\n{long}"
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(2)
     parts = {"en": ["the", "ing", "and", "th"], "de": ["sch", "ung", "ein", "ü"], "fr": ["eau", "ou", "é", "tion"]}
