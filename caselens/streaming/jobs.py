@@ -95,8 +95,13 @@ def answers_stream(events: DataFrame) -> DataFrame:
     return _stateful(events, ["session_id", "turn_no"], p.AnswerAssembly(), p.ANSWER_OUT)
 
 
-def capped_segment_stream(events: DataFrame, gap: int, cap: int) -> DataFrame:
-    return _stateful(events, ["session_id"], p.CappedSegments(gap, cap), p.SEGMENT_OUT)
+def capped_segment_stream(events: DataFrame, gap: int, cap: int, delay: str | None = None) -> DataFrame:
+    """``events``: session_id, pos, t_us, and with ``delay`` ts. Without it the last segment of
+    a session stays open; with it every segment comes out once the watermark has passed it."""
+    if delay is None:
+        return _stateful(events, ["session_id"], p.CappedSegments(gap, cap), p.SEGMENT_OUT)
+    timed = events.withWatermark("ts", delay)
+    return _stateful(timed, ["session_id"], p.CappedSegments(gap, cap, timed=True), p.SEGMENT_OUT, "EventTime")
 
 
 def segment_stream(events: DataFrame, gap: str, delay: str) -> DataFrame:

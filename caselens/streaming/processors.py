@@ -221,12 +221,14 @@ class AnswerAssembly(StatefulProcessor):
 
 class CappedSegments(StatefulProcessor):
     """Segments closed by silence or by the length cap; a segment is emitted when the next
-    one starts."""
+    one starts. With ``timed`` an event-time timer emits it as soon as no event can join it
+    any more, and drops the state."""
 
-    def __init__(self, gap: int, cap: int) -> None:
-        self.gap, self.cap = gap, cap
+    def __init__(self, gap: int, cap: int, timed: bool = False) -> None:
+        self.gap, self.cap, self.timed = gap, cap, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("segment", "start bigint, last bigint, blocks bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -239,8 +241,17 @@ class CappedSegments(StatefulProcessor):
                 blocks = 0
             start, last, blocks = (start if blocks else now), now, blocks + 1
         self.state.update((start, last, blocks))
+        if self.timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-min(last + self.gap + 1, start + self.cap) // 1000))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "start", "end", "blocks"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, last, blocks = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(key[0], start, last, blocks)], columns=["session_id", "start", "end", "blocks"])
+
     def close(self) -> None:
         pass

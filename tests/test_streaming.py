@@ -52,6 +52,19 @@ def test_capped_segments_stream_equals_batch(spark):
     )
 
 
+def test_timed_capped_segments_give_the_last_one_too(spark):
+    s = 1_000_000
+    rows = [(k, n, 10**9 + (n * 9 + n // 5 * 4 * k + n // 13 * 11) * s) for k in (1, 2) for n in range(40)] + [(3, 5, 10**9 + 50 * s)]
+    schema = "session_id bigint, pos bigint, t_us bigint"
+    batch = segment_table(
+        activity_segments(spark.createDataFrame(rows, schema), "session_id", "pos", "t_us", 15 * s, cap=50 * s), "session_id", "t_us"
+    ).collect()
+    # a later event of another session moves the watermark on
+    stream = replay(spark, [*rows, (9, 40, 10**9 + 9000 * s)], schema, "pos", 3).withColumn("ts", F.timestamp_micros("t_us"))
+    out = jobs.run_to_table(jobs.capped_segment_stream(stream, 15 * s, 50 * s, "1 second"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted((r.session_id, r.start, r.end, r.blocks) for r in batch)
+
+
 def test_attempts_time_out(spark):
     s = 1_000_000
     schema = "k bigint, t_us bigint"
