@@ -162,3 +162,16 @@ FROM s LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)
 
 
 ORACLES["op9_license_scan"] = _license_sql()
+
+
+#: The vocabulary whose tokens are counted, a parameter of the operator.
+COUNTED_VOCABULARY = "byte_bpe_50k.json"
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_machine import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_VOCABULARY))
