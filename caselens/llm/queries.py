@@ -175,3 +175,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_machine import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED_VOCABULARY))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import run_table
+
+    return run_table(table(spark, sf_dir, "documents"), periodic_tails=True)
