@@ -182,3 +182,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic import run_table
 
     return run_table(table(spark, sf_dir, "documents"), periodic_tails=True)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"), shorten=31)
