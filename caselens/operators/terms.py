@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE_CLASS, bind, casefold
-from ..plans.match import BROADCAST_TERM_CHARS, PIECE_CHARS, find_terms, text_pieces
+from ..plans.match import FLUSH_ROWS, find_terms
 from ..session import pinned
 
 # Common terms, weights and acceptance limits.
@@ -134,32 +136,54 @@ def base_scores(candidates: DataFrame, vocabulary: DataFrame, key_fn: KeyFn | No
 
 def text_windows(texts: DataFrame, keys: list[str], text: str, forms: DataFrame, run: str, all_sizes: bool) -> DataFrame:
     """(keys, start, raw): substrings inside runs that a vocabulary length and first
-    character allow (every vocabulary length with ``all_sizes``). ``start`` is 0-based."""
-    usable = forms.where("size >= 2")
-    stats = usable.agg(F.max("size"), F.sum("size")).first()
-    longest, total = int(stats[0] or 0), int(stats[1] or 0)
-    anchors = usable.groupBy("first").agg(F.array_sort(F.collect_set("size")).alias("_lens"))
-    if all_sizes:
-        sizes = usable.select(F.lit(1).alias("_one"), "size").distinct().groupBy("_one").agg(
-            F.array_sort(F.collect_set("size")).alias("_lens")
-        )
-    if total <= BROADCAST_TERM_CHARS:
-        anchors = F.broadcast(anchors)
-    pieces = text_pieces(texts, keys, text, longest)
-    spots = pieces.select(
-        *keys, "_piece",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE_CHARS), F.length("_piece.body")))).alias("_at"),
-    ).withColumn("first", F.substring(F.col("_piece.body"), F.col("_at"), F.lit(1)))
-    if all_sizes:
-        sized = spots.withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")
-    else:
-        sized = spots.join(anchors, "first")
-    return (
-        sized.select(*keys, "_piece", "_at", F.explode("_lens").alias("_len"))
-        .withColumn("raw", F.substring(F.col("_piece.body"), F.col("_at"), F.col("_len")))
-        .where((F.length("raw") == F.col("_len")) & F.col("raw").rlike(f"^(?:{run})$"))
-        .select(*keys, (F.col("_piece.base") + F.col("_at") - 1).alias("start"), "raw")
-    )
+    character allow (every vocabulary length with ``all_sizes``). ``start`` is 0-based.
+
+    ``run`` is a repeated class of characters. The lengths that each first character goes
+    with are shipped, at most the characters of the class times the vocabulary's lengths.
+    """
+    pairs = forms.where("size >= 2").select(F.lit("") if all_sizes else "first", "size").distinct().collect()
+    lengths: dict[str, list[int]] = {}
+    for first, size in sorted(map(tuple, pairs)):
+        lengths.setdefault(first, []).append(size)
+    shipped = texts.sparkSession.sparkContext.broadcast(lengths)
+    # the class is written as the JVM reads it
+    pattern = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", run)
+    schema = T.StructType([
+        *[texts.schema[name] for name in keys], T.StructField("start", T.IntegerType()), T.StructField("raw", T.StringType())
+    ])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, sizes = re.compile(pattern), shipped.value
+        always = sizes.get("", ())
+        for batch in batches:
+            rows: list[int] = []
+            places: list[int] = []
+            words: list[str] = []
+
+            def made(batch: pa.RecordBatch = batch, rows: list = rows, places: list = places, words: list = words) -> pa.RecordBatch:
+                taken = pa.array(rows, pa.int32())
+                out = [batch.column(i).take(taken) for i in range(len(keys))] + [pa.array(places, pa.int32()), pa.array(words, pa.string())]
+                for each in (rows, places, words):
+                    each.clear()
+                return pa.RecordBatch.from_arrays(out, names=[*keys, "start", "raw"])
+
+            for row, body in enumerate(batch.column(len(keys))):
+                body = body.as_py() or ""
+                for span in runs.finditer(body):
+                    stop = span.end()
+                    for at in range(span.start(), stop):
+                        for size in always or sizes.get(body[at], ()):
+                            if at + size > stop:
+                                break
+                            rows.append(row)
+                            places.append(at)
+                            words.append(body[at : at + size])
+                    if len(rows) >= FLUSH_ROWS:
+                        yield made()
+            if rows:
+                yield made()
+
+    return texts.select(*keys, F.col(text).alias("_scanned")).mapInArrow(windows, schema)
 
 
 def exclude_spans(windows: DataFrame, exact: DataFrame, keys: list[str], longest: int) -> DataFrame:

@@ -189,6 +189,23 @@ def _doc_windows(spark, sf):
     )
 
 
+@query("vocabulary_places", """
+WITH t AS (SELECT DISTINCT split_part(text, chr(10), 1) AS term FROM documents WHERE split_part(text, chr(10), 1) <> ''),
+h AS (SELECT doc_id, term, instr(text, term) AS place FROM documents JOIN t ON contains(text, term))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(place) AS BIGINT) AS place_sum, CAST(max(length(term)) AS BIGINT) AS longest
+FROM h GROUP BY doc_id""")
+def vocabulary_places(spark, sf):
+    """The first lines of all documents, where each occurs first in all documents."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    lines = docs.select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("term"))
+    hits = find_terms(docs, ["doc_id"], "text", lines)
+    each = hits.groupBy("doc_id", "term").agg(F.min("pos").alias("place"))
+    return each.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("place").alias("place_sum"),
+        F.max(F.length("term")).cast("bigint").alias("longest"),
+    )
+
+
 @query("span_exclusion", sql_with("case_parts", """
 SELECT doc_id, start, raw FROM win w WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = w.doc_id AND w.start < h.r AND w.start + 4 > h.l)""", _SPAN))
 def span_exclusion(spark, sf):

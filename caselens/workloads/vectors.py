@@ -83,6 +83,17 @@ def vector_topk(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("vector_neighbours", f"""WITH {_VEC}, p AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(generate_series(1, len(a.e)), lambda i: a.e[i] * b.e[i])) AS score FROM u a, u b WHERE a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, score, rank FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM p WHERE score >= 0.15) WHERE rank <= 5""")
+def vector_neighbours(spark, sf):
+    """The five nearest others of every vector: all rows ask, against all rows."""
+    vectors = _vectors(spark, sf)
+    # a vector finds itself too, so one more is asked for; what rounds alike is ordered by id
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = op.vector_search(asked, vectors, key="vec_id", round_to=6, k=6).where("query_id <> vec_id").drop("rank")
+    return top_rows(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5)
+
+
 @query("vector_semi_join", """SELECT vec_id FROM embeddings
 WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND vec_id IN (SELECT doc_id FROM labels)""")
 def vector_semi_join(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import (
     activity_segments, commit_batches, expire_sessions, latest_revisions, resample_linear, sustained_onsets,
 )
+from caselens.plans import match
 from caselens.plans.match import find_terms
 from caselens.plans.scan import Last, Max, Next, Sum, ordered_scan, ranked, top_rows
 
@@ -72,11 +73,11 @@ def test_find_terms_both_ways_match_brute_force(spark):
     )
     t = spark.createDataFrame(texts, "id int, text string")
     d = spark.createDataFrame([(w,) for w in words], "term string")
-    for shipped in (1 << 20, 0):
-        got = find_terms(t, ["id"], "text", d, shipped_chars=shipped)
+    for shard in (1 << 20, 40, 1):
+        got = find_terms(t, ["id"], "text", d, shard_chars=shard)
         assert got.columns == ["id", "pos", "term"]
         assert sorted(map(tuple, got.collect())) == expected
-        once = find_terms(t, ["id"], "text", d, first_only=True, shipped_chars=shipped)
+        once = find_terms(t, ["id"], "text", d, first_only=True, shard_chars=shard)
         firsts = {(i, w) for i, _, w in expected}
         assert {(r.id, r.term) for r in once.collect()} == firsts
 
@@ -84,8 +85,37 @@ def test_find_terms_both_ways_match_brute_force(spark):
 def test_find_terms_without_terms(spark):
     t = spark.createDataFrame([(1, "abc")], "id int, text string")
     d = spark.createDataFrame([("",)], "term string")
-    for shipped in (1 << 20, -1):
-        assert find_terms(t, ["id"], "text", d, shipped_chars=shipped).count() == 0
+    for shard in (1 << 20, -1):
+        assert find_terms(t, ["id"], "text", d, shard_chars=shard).count() == 0
+
+
+def test_long_terms_widen_the_pieces_of_their_own_shard_alone(spark, monkeypatch):
+    rng = random.Random(12)
+    long_text = "".join(rng.choice("abcdefgh ") for _ in range(30000))
+    texts = [(0, long_text), (1, long_text[:9000] * 2), (2, None), (3, ""), (4, "a" * 20000)]
+    words = {long_text[i : i + 7] for i in range(0, 30000, 37)} | {long_text[3000:7000], long_text[8190:12400], "a" * 4000, "x" * 50}
+    routed = []
+
+    def salted(held, asked, *args):
+        routed.append(asked.selectExpr("sum(length(body))", "count(*)").first())
+        return own(held, asked, *args)
+
+    own = match.salted
+    monkeypatch.setattr(match, "salted", salted)
+    t, d = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(w,) for w in words], "term string")
+    got = find_terms(t, ["id"], "text", d, shard_chars=2500)
+    where = sorted((i, p + 1, w) for i, x in texts if x for w in words for p in range(len(x)) if x.startswith(w, p))
+    assert sorted(map(tuple, got.collect())) == where
+    # nine shards: rows are pieces, not characters
+    assert routed[0][1] < 200 and routed[0][0] < 20 * sum(len(x or "") for _, x in texts)
+
+
+def test_terms_of_one_gram_are_split_over_shards(spark):
+    words = [f"qqq{i:05d}" for i in range(300)]
+    texts = [(i, " ".join(words[i::7])) for i in range(7)]
+    t, d = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(w,) for w in words] + [("qq",)], "term string")
+    got = find_terms(t, ["id"], "text", d, shard_chars=100)
+    assert sorted(map(tuple, got.collect())) == sorted((i, p + 1, w) for i, x in texts for w in [*words, "qq"] for p in range(len(x)) if x.startswith(w, p))
 
 
 def test_small_chunks_do_not_change_the_event_jobs(spark):
