@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import multi_values, norm
 from ..operators import catalogue as op
 from ..operators.search import facet_filter
-from ..sources.cases import RAW_RECORD, envelope_items, typed_records
+from ..sources.cases import parse_envelopes
 from ..views import case_docs, doc_cases, events_k, part_cases, sql_with, table
 from .registry import query
 from .sqltext import s_norm
@@ -37,15 +37,9 @@ def scan_case_json(spark, sf):
         .when(kind == 2, F.concat(F.lit('\ufeff{"schema_version":4,"list":['), second, F.lit("]}")))
         .otherwise(F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")))
     )
-    rows = events_k(spark, sf).select(
-        "event_id", F.posexplode_outer(envelope_items(text)).alias("_i", "_text")
-    )
-    parsed = rows.select(
-        "event_id", (F.col("_i") + 1).alias("input_pos"), F.from_json("_text", RAW_RECORD).alias("_r")
-    )
-    cases = typed_records(parsed, "_r", "event_id", "input_pos")
+    cases = parse_envelopes(events_k(spark, sf).select("event_id", text.alias("envelope")), "event_id", "envelope")
     return cases.select(
-        "event_id", "input_pos", "case_id", "title", F.coalesce("summary", F.lit("")).alias("summary")
+        "event_id", F.col("input_pos").cast("int").alias("input_pos"), "case_id", "title", F.coalesce("summary", F.lit("")).alias("summary")
     )
 
 

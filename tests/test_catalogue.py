@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,7 +101,88 @@ def test_case_lines_keep_bad_lines_apart(spark, tmp_path):
     path = tmp_path / "cases.jsonl"
     path.write_text(json.dumps(RECORD, ensure_ascii=False) + "\n{broken\n", encoding="utf-8")
     rows = read_case_lines(spark, str(path)).cache()
-    assert rows.where("_corrupt_record IS NOT NULL").count() == 1
+    assert [r.input_pos for r in rows.where("_corrupt_record IS NOT NULL").collect()] == [2]
+
+
+def test_records_that_are_no_array_and_entries_that_are_no_objects_are_errors_to_the_builder(spark, tmp_path):
+    for payload in ({"items": {"a": 1}}, {"items": "text"}, {"items": [], "records": 5}):
+        with pytest.raises(ValueError, match="must be an array"):
+            read_cases(spark, write(tmp_path / "x.json", payload)).collect()
+    for entry in ("text", None, 5, ["x"]):
+        with pytest.raises(ValueError, match="record 2 is no JSON object"):
+            read_cases(spark, write(tmp_path / "x.json", {"list": [RECORD, entry]})).collect()
+    assert read_cases(spark, write(tmp_path / "x.json", {"items": {}, "list": [RECORD]})).count() == 1
+    for payload in ({"items": {"a": 1}, "case_items": [RECORD]}, {"items": "text"}, {"records": [RECORD]}):
+        assert read_cases(spark, write(tmp_path / "x.json", payload), mode="loader").count() == 0
+    with pytest.raises(ValueError, match="must be an array"):
+        read_cases(spark, write(tmp_path / "x.json", {"items": None}), mode="loader").collect()
+
+
+def test_truth_values_and_numbers_are_written_as_each_mode_writes_them(spark, tmp_path):
+    record = {"case_id": 0, "id": "L", "title": True, "summary": False, "loss_occurred": 0, "remark": 1.50, "publish_date": 1e22, "victim_group": 0.0001,
+              "tags": [True, None, 0, 1.0], "loss_type": False, "law_basis_ids": 12}
+    path = write(tmp_path / "t.json", [record])
+    row = op.normalize_cases(read_cases(spark, path)).first()
+    assert (row.case_id, row.title, row.summary, row.loss_occurred, row.remark, row.publish_date, row.victim_group) == ("0", "True", "False", "0", "1.5", "1e+22", "0.0001")
+    assert (row.tags, row.loss_type, row.law_basis_ids) == (["True", "0", "1.0"], ["False"], ["12"])
+    row = op.normalize_cases(read_cases(spark, path, mode="loader"), mode="loader").first()
+    assert (row.case_id, row.title, row.summary, row.loss_occurred) == ("", "True", "", "")
+    assert (row.tags, row.loss_type, row.law_basis_ids) == (["True", "None", "0", "1.0"], ["False"], ["12"])
+
+
+def hard_records(n):
+    rng = random.Random(n)
+    texts = ['a "quoted" }', "{[", "]}}", "\\", 'x\\"}', "line\n}", "中文}", "}" * 30, ""]
+    return [{**RECORD, "case_id": f"R{i}", "title": rng.choice(texts), "remark": "".join(rng.choice(texts) for _ in range(5)), "nested": {"a": [{"b": rng.choice(texts)}, {}]}} for i in range(n)]
+
+
+@pytest.mark.parametrize("bom", [False, True])
+def test_a_large_array_is_cut_behind_its_records(spark, tmp_path, bom):
+    records = hard_records(300)
+    want = [(r["case_id"], r["title"], r["remark"]) for r in records]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "24k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        envelopes = {
+            "a": records, "b": {"source": {"name": "}", "x": {"y": [{}]}}, "records": [], "items": records, "list": [{}], "end": 1},
+            "c": {"case_items": [{"case_id": "no"}], "items": records, "categories": [{"id": 1}, {"id": 2}]},
+        }
+        for name, modes in {"b": ("builder",)}.items() if bom else {"a": ("loader",), "b": ("builder", "loader"), "c": ("builder",)}.items():
+            path = write(tmp_path / f"{name}.json", envelopes[name], bom)
+            for mode in modes:
+                rows = read_cases(spark, path, mode, whole_bytes=0)
+                got = rows.orderBy("input_pos").select("input_pos", "case_id", "title", "remark").collect()
+                assert [tuple(r)[1:] for r in got] == [(a, b or None if mode == "loader" else b, c or None if mode == "loader" else c) for a, b, c in want], (name, mode)
+                assert [r.input_pos for r in got] == list(range(1, 301))
+        tasks = spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions()
+        assert tasks > 5
+        mixed = write(tmp_path / "m.json", [1, *records[:3], "}", None, [{}], *records[3:6], {}, 7], bom)
+        got = read_cases(spark, mixed, "loader", whole_bytes=0).orderBy("input_pos").collect()
+        assert [(r.input_pos, r.case_id) for r in got] == [*((i, r["case_id"]) for i, r in zip((2, 3, 4, 8, 9, 10), records, strict=False)), (11, None)]
+        with pytest.raises(ValueError, match="record 1 is no JSON object"):
+            read_cases(spark, mixed, whole_bytes=0)
+        for text in ('[{"a":1},', '[{"a":1}}', '{"items":[{"a":"}]}', '[{"a":1}] x', '[{"a":}]'):
+            (tmp_path / "bad.json").write_text(text, encoding="utf-8")
+            with pytest.raises(Exception, match="not valid JSON"):
+                read_cases(spark, str(tmp_path / "bad.json"), whole_bytes=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_are_numbered_like_the_envelope_over_many_blocks(spark, tmp_path):
+    records = hard_records(400)
+    lines = "".join(json.dumps(r, ensure_ascii=False) + ("\n \n" if i % 7 == 0 else "\n") for i, r in enumerate(records))
+    (tmp_path / "l.jsonl").write_text(lines, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "24k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = read_case_lines(spark, str(tmp_path / "l.jsonl")).orderBy("input_pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = read_cases(spark, write(tmp_path / "l.json", records)).orderBy("input_pos").collect()
+    assert [(r.input_pos, r.case_id, r.title, r.tags) for r in got] == [(r.input_pos, r.case_id, r.title, r.tags) for r in whole]
 
 
 def test_facets_order(spark):
