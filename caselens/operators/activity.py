@@ -41,15 +41,14 @@ def expire_sessions(
     active: Column | None = None, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``session_no`` per key: a pause of at least ``ttl`` starts a new session unless a
-    turn is still active during it (``active``: state left by the row before)."""
-    held = F.lit(False) if active is None else active
-    seen = ordered_scan(
-        events, [key], order, {"_prev": Last(F.struct(F.col(time).alias("t"), held.alias("held")))}, rows
-    )
-    expired = (F.col(time) - F.col("_prev.t") >= ttl) & ~F.col("_prev.held")
+    turn is still active during it. ``active``: true in a row that begins a turn, false in
+    one that ends it, null in others, which leave things as they are."""
+    held = F.lit(None).cast("boolean") if active is None else active
+    seen = ordered_scan(events, [key], order, {"_prev": Last(F.col(time)), "_held": Last(held)}, rows)
+    expired = (F.col(time) - F.col("_prev") >= ttl) & ~F.coalesce("_held", F.lit(False))
     starts = F.when(F.col("_prev").isNull() | expired, 1).otherwise(0).cast("bigint")
     # a scan reads its input twice, so a scan over a scan starts from written rows
-    flagged = pinned(seen.withColumn("_new", starts).drop("_prev"))
+    flagged = pinned(seen.withColumn("_new", starts).drop("_prev", "_held"))
     return ordered_scan(flagged, [key], order, {"session_no": Sum(F.col("_new"))}, rows).drop("_new")
 
 

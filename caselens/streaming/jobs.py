@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import has_speech
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, pinned
 from . import processors as p
 
+#: Rows of a replayed file, and how long a silent key's state is kept, in micros.
+FILE_ROWS = 1 << 17
+IDLE_US = 60 * 24 * 3600 * 1_000_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,16 +23,29 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def stage_log(log: DataFrame, order: str, slices: int = 3) -> str:
-    """Write a log as files in arrival order, a fixed number of slices, for replay."""
+def stage_log(log: DataFrame, order: str, slices: int = 3, file_rows: int = FILE_ROWS) -> tuple[str, int]:
+    """Write a log in arrival order for replay: (folder, files of a slice).
+
+    Slices hold about equally many rows, in files of about ``file_rows`` that many tasks write.
+    Every slice has the same number of files, so a trigger of so many takes one slice.
+    """
     path = f"{ensure_checkpoint_dir(log.sparkSession)}/log-{uuid.uuid4().hex}"
-    low, high = log.agg(F.min(order), F.max(order)).first()
-    width = ((high or 0) - (low or 0)) // slices + 1
-    for i in range(slices):
-        begin = (low or 0) + i * width
-        part = log.where((F.col(order) >= begin) & (F.col(order) < begin + width))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    log = pinned(log)
+    cuts = log.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)] or [0.5], 10000)).first()[0] or []
+    cuts = sorted(set(cuts)) if slices > 1 else []
+    bounds = [None, *cuts, None]
+    place = sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0))
+    sizes = [r["count"] for r in log.groupBy(place.alias("slice")).count().collect()]
+    files = max(1, min(sizes, default=0) // file_rows)
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = log
+        if low is not None:
+            part = part.where(F.col(order) > low)
+        if high is not None:
+            part = part.where(F.col(order) <= high)
+        # dealt in turn, so no file stays empty
+        part.repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
 def open_log(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -71,28 +87,35 @@ def _stateful(events: DataFrame, keys: list[str], processor, out: str, time_mode
     )
 
 
-def session_stream(events: DataFrame, ttl: int, delay: str = "1 hour") -> DataFrame:
-    """``events``: session_id, pos, t_us, ts, type, turn_no."""
+def _ending(events: DataFrame, keys: list[str], make, out: str, idle: int | None, delay: str, mode: str = "Append") -> DataFrame:
+    """With ``idle`` events carry ts and t_us, and a key's state ends so long after its last one."""
+    if idle is None:
+        return _stateful(events, keys, make(None), out, mode=mode)
+    return _stateful(events.withWatermark("ts", delay), keys, make(idle), out, "EventTime", mode)
+
+
+def session_stream(events: DataFrame, ttl: int, delay: str = "1 hour", idle: int | None = IDLE_US) -> DataFrame:
+    """``events``: session_id, pos, t_us, ts, type, turn_no. A session is known by ``opened``, the event it began with."""
     timed = events.withWatermark("ts", delay)
-    return _stateful(timed, ["session_id"], p.SessionStore(ttl), p.SESSION_OUT, "EventTime")
+    return _stateful(timed, ["session_id"], p.SessionStore(ttl, idle=idle), p.SESSION_OUT, "EventTime")
 
 
-def revision_stream(partials: DataFrame) -> DataFrame:
-    return _stateful(partials, ["session_id"], p.RevisionFilter(), p.REVISION_OUT)
+def revision_stream(partials: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
+    return _ending(partials, ["session_id"], p.RevisionFilter, p.REVISION_OUT, idle, delay)
 
 
-def commit_stream(events: DataFrame) -> DataFrame:
+def commit_stream(events: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
     """``events``: session_id, utterance_id, kind, kind_order, t_us, text."""
-    return _stateful(events, ["session_id"], p.BatchCommit(), p.COMMIT_OUT)
+    return _ending(events, ["session_id"], p.BatchCommit, p.COMMIT_OUT, idle, delay)
 
 
-def transcript_stream(pieces: DataFrame) -> DataFrame:
-    return _stateful(pieces, ["stream"], p.Transcript(), p.TRANSCRIPT_OUT, mode="Update")
+def transcript_stream(pieces: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
+    return _ending(pieces, ["stream"], p.Transcript, p.TRANSCRIPT_OUT, idle, delay, "Update")
 
 
-def answers_stream(events: DataFrame) -> DataFrame:
+def answers_stream(events: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
     """``events``: session_id, turn_no, pos, type, delta."""
-    return _stateful(events, ["session_id", "turn_no"], p.AnswerAssembly(), p.ANSWER_OUT)
+    return _ending(events, ["session_id", "turn_no"], p.AnswerAssembly, p.ANSWER_OUT, idle, delay)
 
 
 def capped_segment_stream(events: DataFrame, gap: int, cap: int, delay: str | None = None) -> DataFrame:
@@ -133,18 +156,9 @@ def barge_in_stream(onsets: DataFrame, partials: DataFrame, keys: list[str], wit
     return left.join(right, same).select(*[F.col(f"o.{k}") for k in keys], "onset_ts", "partial_ts")
 
 
-def attempt_stream(starts: DataFrame, deltas: DataFrame, keys: list[str], timeout: str, delay: str) -> DataFrame:
-    """Attempts joined with their first outputs; a start whose time limit has passed comes
-    out with a NULL ``delta_ts``. ``starts``: keys, start_ts; ``deltas``: keys, delta_ts."""
-    left = starts.withWatermark("start_ts", delay).alias("s")
-    right = deltas.withWatermark("delta_ts", delay).alias("d")
-    same = F.expr(
-        " AND ".join([
-            *[f"s.{k} = d.{k}" for k in keys],
-            "d.delta_ts >= s.start_ts", f"d.delta_ts <= s.start_ts + INTERVAL {timeout}",
-        ])
-    )
-    return left.join(right, same, "leftOuter").select(
-        *[F.col(f"s.{k}") for k in keys], "start_ts", "delta_ts",
-        F.when(F.col("delta_ts").isNull(), "first_token_timeout").otherwise("answered").alias("outcome"),
-    )
+def attempt_stream(events: DataFrame, keys: list[str], timeout: int, delay: str, attempts: int = 2) -> DataFrame:
+    """(keys, attempt, start_us, outcome, retried) of every attempt, once it is settled.
+    ``events``: keys, attempt, kind (start, delta, end), kind_order, t_us, ts, text."""
+    names = {f.name: f.dataType.simpleString() for f in events.schema}
+    out = ", ".join(f"{k} {names[k]}" for k in keys) + ", attempt int, start_us bigint, outcome string, retried boolean"
+    return _stateful(events.withWatermark("ts", delay), keys, p.Attempts(keys, timeout, attempts), out, "EventTime")

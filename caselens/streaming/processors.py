@@ -9,7 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SESSION_OUT = "session_id bigint, pos bigint, session_no bigint, history bigint, superseded bigint"
+SESSION_OUT = "session_id bigint, pos bigint, opened bigint, history bigint, superseded bigint"
 REVISION_OUT = "session_id bigint, arrival bigint, utterance_id int, revision int, accepted boolean"
 COMMIT_OUT = "session_id bigint, generation bigint, committed_id bigint, utterances bigint, text string, rejected boolean"
 TRANSCRIPT_OUT = "stream bigint, arrival bigint, text string, language string"
@@ -25,28 +25,73 @@ def in_order(rows: Iterator[pd.DataFrame], *order: str) -> Iterator[Any]:
     return pd.concat(frames).sort_values(list(order), kind="stable").itertuples(index=False)
 
 
-class SessionStore(StatefulProcessor):
-    """Session number, bounded history size and superseded turn per event. A session
-    expires after ``ttl`` micros of silence unless a turn is active; an event-time timer
-    drops the state of a silent session."""
+class Ending(StatefulProcessor):
+    """A processor whose state of a key ends: once the watermark is ``idle`` micros past the
+    key's last event, a timer clears all of it. Without ``idle`` a key is kept for good, which
+    only a bounded set of keys allows. Events carry their time as ``t_us``."""
 
-    def __init__(self, ttl: int, max_turns: int = 20) -> None:
-        self.ttl, self.max_turns = ttl, max_turns
+    def __init__(self, idle: int | None = None) -> None:
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState(
-            "session", "session_no bigint, last_seen bigint, active bigint, alive boolean"
-        )
+        self.states = self.opened(handle)
+
+    def opened(self, handle: StatefulProcessorHandle) -> list:
+        """Open the states; all that is returned is cleared when the key ends."""
+        raise NotImplementedError
+
+    def rest(self, last: int, wait: int | None = None) -> None:
+        """Have the only timer of the key fire ``wait`` (or ``idle``) micros after ``last``."""
+        wait = self.idle if wait is None else wait
+        if wait is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(last + wait) // 1000))
+
+    def end(self) -> None:
+        for state in self.states:
+            state.clear()
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.states:
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _latest(events: list) -> int:
+    return max(int(event.t_us) for event in events)
+
+
+class SessionStore(Ending):
+    """The event that opened the session, bounded history size and superseded turn per event.
+    A session expires after ``ttl`` micros of silence unless a turn is active; an event-time
+    timer then drops its state. One with an active turn is kept until the turn ends, but for
+    no longer than ``idle`` micros of silence."""
+
+    def __init__(self, ttl: int, max_turns: int = 20, idle: int | None = None) -> None:
+        super().__init__(ttl)
+        self.ttl, self.max_turns, self.longest = ttl, max_turns, idle
+
+    def opened(self, handle: StatefulProcessorHandle) -> list:
+        self.state = handle.getValueState("session", "opened bigint, last_seen bigint, active bigint")
         self.turns = handle.getListState("turns", "turn_no bigint, pos bigint")
+        return [self.state, self.turns]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        number, seen, active, alive = self.state.get() if self.state.exists() else (0, 0, -1, False)
+        first, seen, active = self.state.get() if self.state.exists() else (None, 0, -1)
         history = [tuple(t) for t in self.turns.get()]
         out = []
         for event in in_order(rows, "pos"):
-            if not alive or (event.t_us - seen >= self.ttl and active < 0):
-                number, history, alive = number + 1, [], True
+            if first is None or (event.t_us - seen >= self.ttl and active < 0):
+                first, history = int(event.pos), []
             replaced = -1
             if event.type == "turn.started":
                 replaced, active = active, int(event.turn_no)
@@ -55,42 +100,38 @@ class SessionStore(StatefulProcessor):
                     history = [*history, (int(event.turn_no), int(event.pos))][-self.max_turns :]
                 active = -1
             seen = int(event.t_us)
-            out.append((key[0], event.pos, number, len(history), replaced))
-        self.state.update((number, seen, active, alive))
-        self.turns.put(history) if history else self.turns.clear()
-        self._rearm(seen)
+            out.append((key[0], event.pos, first, len(history), replaced))
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "pos", "session_no", "history", "superseded"])
-
-    def _rearm(self, seen: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((seen + self.ttl) // 1000)
+            self.state.update((first, seen, active))
+            self.turns.put(history) if history else self.turns.clear()
+            self.rest(seen)
+            yield pd.DataFrame(out, columns=["session_id", "pos", "opened", "history", "superseded"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number, seen, active, _alive = self.state.get()
+        _first, seen, active = self.state.get()
         if active >= 0:
-            # an active session never expires; look again later
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.ttl // 1000)
-        else:
-            self.state.update((number, seen, active, False))
-            self.turns.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+            # an active session does not expire by silence of ttl
+            if self.longest is None:
+                return iter(())
+            last = -(-(seen + self.longest) // 1000)
+            if timerValues.getCurrentWatermarkInMs() < last:
+                self.handle.registerTimer(last)
+                return iter(())
+        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
 
-class RevisionFilter(StatefulProcessor):
+class RevisionFilter(Ending):
     """Marks every partial as accepted or stale."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle: StatefulProcessorHandle) -> list:
         self.state = handle.getValueState("best", "utterance_id int, revision int, closed int")
+        return [self.state]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         best_id, best_revision, closed = self.state.get() if self.state.exists() else (0, -1, 0)
         out = []
-        for event in in_order(rows, "arrival"):
+        events = list(in_order(rows, "arrival"))
+        for event in events:
             utterance, revision = int(event.utterance_id), int(event.revision)
             newer = (utterance, revision) > (best_id, best_revision)
             accepted = utterance > 0 and utterance > closed and newer
@@ -99,30 +140,31 @@ class RevisionFilter(StatefulProcessor):
             if event.is_final and utterance > closed:
                 closed = utterance
             out.append((key[0], event.arrival, utterance, revision, accepted))
-        self.state.update((best_id, best_revision, closed))
         if out:
+            self.state.update((best_id, best_revision, closed))
+            if self.idle is not None:
+                self.rest(_latest(events))
             yield pd.DataFrame(out, columns=["session_id", "arrival", "utterance_id", "revision", "accepted"])
 
-    def close(self) -> None:
-        pass
-
 
-class BatchCommit(StatefulProcessor):
+class BatchCommit(Ending):
     """Commits a batch when no utterance is open or pending. ``kind``: start, final, or
     reset (typed text, interrupt, cancel), which raises the generation and drops the batch;
     finals of an older generation are ignored."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle: StatefulProcessorHandle) -> list:
         self.texts = handle.getMapState("texts", "utterance_id bigint", "text string")
         self.open = handle.getMapState("open", "utterance_id bigint", "generation bigint")
         self.generation = handle.getValueState("generation", "generation bigint")
+        return [self.texts, self.open, self.generation]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         generation = self.generation.get()[0] if self.generation.exists() else 0
         texts = {k[0]: v[0] for k, v in self.texts.iterator()}
         pending = {k[0]: v[0] for k, v in self.open.iterator()}
         out = []
-        for event in in_order(rows, "t_us", "kind_order", "utterance_id"):
+        events = list(in_order(rows, "t_us", "kind_order", "utterance_id"))
+        for event in events:
             utterance = int(event.utterance_id)
             if event.kind == "reset":
                 generation += 1
@@ -138,6 +180,8 @@ class BatchCommit(StatefulProcessor):
         self.generation.update((generation,))
         self._store(self.texts, texts)
         self._store(self.open, pending)
+        if events and self.idle is not None:
+            self.rest(_latest(events))
         if out:
             yield pd.DataFrame(
                 out, columns=["session_id", "generation", "committed_id", "utterances", "text", "rejected"]
@@ -149,22 +193,23 @@ class BatchCommit(StatefulProcessor):
         for name, value in values.items():
             state.updateValue((name,), (value,))
 
-    def close(self) -> None:
-        pass
-
 
-class Transcript(StatefulProcessor):
+class Transcript(Ending):
     """Current transcript of one utterance after range replacements, once per trigger."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle: StatefulProcessorHandle) -> list:
         self.pieces = handle.getMapState("pieces", "sn int", "text string")
         self.tags = handle.getMapState("tags", "sn int", "language string, placed bigint")
+        return [self.pieces, self.tags]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pieces = {k[0]: v[0] for k, v in self.pieces.iterator()}
         tags = {k[0]: tuple(v) for k, v in self.tags.iterator()}
         last = -1
-        for event in in_order(rows, "arrival"):
+        events = list(in_order(rows, "arrival"))
+        if not events:
+            return
+        for event in events:
             last = int(event.arrival)
             if event.pgs == "rpl" and not pd.isna(event.rg_start):
                 for number in range(int(event.rg_start), int(event.rg_end) + 1):
@@ -179,6 +224,8 @@ class Transcript(StatefulProcessor):
         self.tags.clear()
         for number, value in tags.items():
             self.tags.updateValue((number,), value)
+        if self.idle is not None:
+            self.rest(_latest(events))
         counts: dict[str, list[int]] = {}
         for tag, placed in sorted(tags.values(), key=lambda t: t[1]):
             counts.setdefault(tag, [0, placed])[0] += 1
@@ -186,22 +233,23 @@ class Transcript(StatefulProcessor):
         text = "".join(pieces[number] for number in sorted(pieces)).strip()
         yield pd.DataFrame([(key[0], last, text, language)], columns=["stream", "arrival", "text", "language"])
 
-    def close(self) -> None:
-        pass
-
 
-class AnswerAssembly(StatefulProcessor):
+class AnswerAssembly(Ending):
     """Collects the deltas of a turn and emits the answer at its first terminal event."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def opened(self, handle: StatefulProcessorHandle) -> list:
         self.deltas = handle.getListState("deltas", "text string")
         self.done = handle.getValueState("done", "done boolean")
+        return [self.deltas, self.done]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = list(in_order(rows, "pos"))
+        if events and self.idle is not None:
+            self.rest(_latest(events))
         if self.done.exists():
             return
         parts = [t[0] for t in self.deltas.get()]
-        for event in in_order(rows, "pos"):
+        for event in events:
             if event.type in FINAL_TYPES:
                 self.deltas.clear()
                 self.done.update((True,))
@@ -215,21 +263,19 @@ class AnswerAssembly(StatefulProcessor):
         if parts:
             self.deltas.put([(p,) for p in parts])
 
-    def close(self) -> None:
-        pass
 
-
-class CappedSegments(StatefulProcessor):
+class CappedSegments(Ending):
     """Segments closed by silence or by the length cap; a segment is emitted when the next
     one starts. With ``timed`` an event-time timer emits it as soon as no event can join it
     any more, and drops the state."""
 
     def __init__(self, gap: int, cap: int, timed: bool = False) -> None:
-        self.gap, self.cap, self.timed = gap, cap, timed
+        super().__init__(gap if timed else None)
+        self.gap, self.cap = gap, cap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def opened(self, handle: StatefulProcessorHandle) -> list:
         self.state = handle.getValueState("segment", "start bigint, last bigint, blocks bigint")
+        return [self.state]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         start, last, blocks = self.state.get() if self.state.exists() else (0, 0, 0)
@@ -241,10 +287,8 @@ class CappedSegments(StatefulProcessor):
                 blocks = 0
             start, last, blocks = (start if blocks else now), now, blocks + 1
         self.state.update((start, last, blocks))
-        if self.timed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(-(-min(last + self.gap + 1, start + self.cap) // 1000))
+        if self.idle is not None:
+            self.rest(min(last + self.gap + 1, start + self.cap), 0)
         if out:
             yield pd.DataFrame(out, columns=["session_id", "start", "end", "blocks"])
 
@@ -253,5 +297,52 @@ class CappedSegments(StatefulProcessor):
         self.state.clear()
         yield pd.DataFrame([(key[0], start, last, blocks)], columns=["session_id", "start", "end", "blocks"])
 
-    def close(self) -> None:
-        pass
+
+class Attempts(Ending):
+    """Outcome of each attempt of a request: ``completed`` if an output with text comes within
+    ``timeout`` micros of its start, ``empty_stream`` if it ends before without one, otherwise
+    ``first_token_timeout``, settled by a timer where nothing more comes. Only an attempt that
+    has put nothing out is retried, and at most ``attempts`` (1 or 2) are made.
+
+    ``kind``: start, delta or end. A settled attempt leaves no state; its later events are ignored.
+    """
+
+    def __init__(self, names: list[str], timeout: int, attempts: int) -> None:
+        super().__init__(timeout)
+        self.names, self.timeout, self.attempts = names, timeout, min(max(attempts, 1), 2)
+
+    def opened(self, handle: StatefulProcessorHandle) -> list:
+        self.state = handle.getValueState("attempt", "attempt int, start bigint")
+        return [self.state]
+
+    def _settled(self, key, attempt: int, start: int, outcome: str) -> tuple:
+        return (*key, attempt, start, outcome, outcome != "completed" and attempt < self.attempts)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*self.names, "attempt", "start_us", "outcome", "retried"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = tuple(self.state.get()) if self.state.exists() else None
+        out = []
+        for event in in_order(rows, "t_us", "kind_order", "attempt"):
+            now = int(event.t_us)
+            if event.kind == "start":
+                if waiting is not None:
+                    out.append(self._settled(key, *waiting, "first_token_timeout"))
+                waiting = int(event.attempt), now
+            elif waiting is not None and int(event.attempt) == waiting[0] and (event.kind == "end" or event.text):
+                outcome = "completed" if event.kind == "delta" else "empty_stream"
+                out.append(self._settled(key, *waiting, outcome if now - waiting[1] <= self.timeout else "first_token_timeout"))
+                waiting = None
+        if waiting is None:
+            self.end()
+        else:
+            self.state.update(waiting)
+            self.rest(waiting[1], self.timeout + 1)
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = tuple(self.state.get())
+        self.state.clear()
+        yield self._frame([self._settled(key, *waiting, "first_token_timeout")])

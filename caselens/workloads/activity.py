@@ -38,11 +38,12 @@ def turn_supersession(spark, sf):
 
 @query("session_expiry", sql_with("turn_events", f"""
 SELECT session_id, pos, CAST(sum(CASE WHEN p IS NULL OR (t_us - p >= {6 * HOUR} AND NOT held) THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos) AS BIGINT) AS session_no
-FROM (SELECT *, lag(t_us) OVER w AS p, lag(type) OVER w = 'turn.started' AS held FROM turn_events WINDOW w AS (PARTITION BY session_id ORDER BY pos))"""))
+FROM (SELECT *, lag(t_us) OVER (PARTITION BY session_id ORDER BY pos) AS p, coalesce(last_value(CASE WHEN type <> 'response.text.delta' THEN type END IGNORE NULLS) OVER w = 'turn.started', false) AS held
+  FROM turn_events WINDOW w AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def session_expiry(spark, sf):
-    rows = op.expire_sessions(
-        turn_events(spark, sf), "session_id", "pos", "t_us", 6 * HOUR, active=F.col("type") == "turn.started"
-    )
+    # outputs of a turn neither begin nor end it
+    active = F.when(F.col("type") != "response.text.delta", F.col("type") == "turn.started")
+    rows = op.expire_sessions(turn_events(spark, sf), "session_id", "pos", "t_us", 6 * HOUR, active=active)
     return rows.select("session_id", "pos", "session_no")
 
 

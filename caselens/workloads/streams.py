@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.scan import numbered
+from ..operators.activity import FIRST_OUTPUT_US
+from ..plans.scan import Sum, numbered, ordered_scan
 from ..streaming import jobs
 from ..views import activity, asr_log, events_k, micros, partials, sql_with, turn_events, utterances
 from .activity import HOUR, _LEFT, _MARK_PARTIALS, _numbered_events
@@ -12,13 +13,22 @@ from .registry import query
 
 
 def _replay(spark, log, order, slices=3):
-    return jobs.open_log(spark, jobs.stage_log(log, order, slices), log.schema)
+    path, files = jobs.stage_log(log, order, slices)
+    return jobs.open_log(spark, path, log.schema, files)
 
 
 def _timed(log):
     return log.withColumn("ts", F.timestamp_micros("t_us"))
 
 
+def _with_beat(log, key, order, after):
+    """A last event of nobody, so much later that the watermark passes all others."""
+    last = log.agg(F.max("t_us").alias("t"), F.max(order).alias("o"))
+    values = {key: F.lit(-1), "t_us": F.col("t") + after} | ({order: F.col("o") + after} if order != "t_us" else {})
+    beat = last.where("t IS NOT NULL").select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema])
+    return log.unionByName(beat)
+
+
 _STORE = f"""held AS (SELECT *, coalesce(last_value(CASE WHEN type <> 'response.text.delta' THEN type END IGNORE NULLS) OVER w, '') = 'turn.started' AS held,
   last_value(CASE WHEN type <> 'response.text.delta' THEN type END IGNORE NULLS) OVER b = 'turn.started' AS was, last_value(CASE WHEN type = 'turn.started' THEN turn_no END IGNORE NULLS) OVER b AS prior, lag(t_us) OVER (PARTITION BY session_id ORDER BY pos) AS p
   FROM turn_events WINDOW w AS (PARTITION BY session_id ORDER BY pos), b AS (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -30,7 +40,9 @@ SELECT session_id, pos, session_no, least(20, count(*) FILTER (type = 'turn.comp
   CASE WHEN type = 'turn.started' AND coalesce(was, false) THEN prior ELSE -1 END AS superseded FROM sess""", _STORE))
 def stream_session_store(spark, sf):
     log = _timed(turn_events(spark, sf).select("session_id", "pos", "t_us", "type", "turn_no"))
-    return jobs.run_to_table(jobs.session_stream(_replay(spark, log, "pos"), 6 * HOUR))
+    out = jobs.run_to_table(jobs.session_stream(_replay(spark, log, "pos"), 6 * HOUR))
+    first = out.withColumn("_new", (F.col("pos") == F.col("opened")).cast("bigint"))
+    return ordered_scan(first, ["session_id"], "pos", {"session_no": Sum(F.col("_new"))}).select("session_id", "pos", "session_no", "history", "superseded")
 
 
 @query("stream_revision_filter", sql_with("partials", """
@@ -38,7 +50,7 @@ SELECT session_id, arrival, utterance_id, revision, utterance_id > 0 AND (b IS N
 FROM (SELECT *, max(CASE WHEN utterance_id > 0 THEN utterance_id * 1000 + revision END) OVER w AS b, max(CASE WHEN is_final AND utterance_id > 0 THEN utterance_id END) OVER w AS c
   FROM partials WINDOW w AS (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))
 def stream_revision_filter(spark, sf):
-    return jobs.run_to_table(jobs.revision_stream(_replay(spark, partials(spark, sf), "arrival")))
+    return jobs.run_to_table(jobs.revision_stream(_replay(spark, _timed(partials(spark, sf)), "arrival"), jobs.IDLE_US))
 
 
 @query("stream_utterance_commit", sql_with("utterances", """
@@ -54,14 +66,14 @@ def stream_utterance_commit(spark, sf):
             F.struct(F.lit("final").alias("kind"), F.lit(1).alias("kind_order"), F.col("end_us").alias("t_us"), F.col("text").alias("text")),
         )),
     )
-    committed = jobs.run_to_table(jobs.commit_stream(_replay(spark, log, "t_us")))
+    committed = jobs.run_to_table(jobs.commit_stream(_replay(spark, _timed(log), "t_us"), jobs.IDLE_US))
     return committed.select("session_id", "committed_id", "utterances", "text", "rejected")
 
 
 @query("stream_transcript", sql_with("asr_log", """
 SELECT stream, string_agg(word, '' ORDER BY sn) AS text FROM alive GROUP BY 1""", _LEFT))
 def stream_transcript(spark, sf):
-    latest = jobs.run_to_table(jobs.transcript_stream(_replay(spark, asr_log(spark, sf), "arrival")), "update")
+    latest = jobs.run_to_table(jobs.transcript_stream(_replay(spark, _timed(asr_log(spark, sf)), "t_us"), jobs.IDLE_US), "update")
     return latest.groupBy("stream").agg(F.max_by("text", "arrival").alias("text"))
 
 
@@ -72,34 +84,31 @@ FROM turn_events t JOIN (SELECT session_id, turn_no, min(pos) AS f FROM turn_eve
   ON x.session_id = t.session_id AND x.turn_no = t.turn_no GROUP BY 1, 2"""))
 def stream_answers(spark, sf):
     log = turn_events(spark, sf).select(
-        "session_id", "turn_no", "pos", "type", F.concat(F.lit("d"), F.col("k").cast("string")).alias("delta")
+        "session_id", "turn_no", "pos", "t_us", "type", F.concat(F.lit("d"), F.col("k").cast("string")).alias("delta")
     )
-    return jobs.run_to_table(jobs.answers_stream(_replay(spark, log, "pos")))
+    return jobs.run_to_table(jobs.answers_stream(_replay(spark, _timed(log), "pos"), jobs.IDLE_US))
 
 
-# the last segment of a session is still open when the replay ends
 @query("stream_capped_segments", sql_with("activity", """
-SELECT session_id, start, "end", blocks FROM (SELECT *, max(segment) OVER (PARTITION BY session_id) AS top FROM (
-  SELECT session_id, segment, min(t_us) AS start, max(t_us) AS "end", count(*) AS blocks FROM walk GROUP BY 1, 2)) WHERE segment < top""", f"""/*recursive*/
+SELECT session_id, min(t_us) AS start, max(t_us) AS "end", count(*) AS blocks FROM walk GROUP BY session_id, segment""", f"""/*recursive*/
 r AS (SELECT session_id, t_us, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS rn FROM activity),
 walk AS (SELECT session_id, t_us, rn, t_us AS seg_start, CAST(1 AS BIGINT) AS segment FROM r WHERE rn = 1
   UNION ALL SELECT r.session_id, r.t_us, r.rn, CASE WHEN r.t_us - w.t_us > {12 * HOUR} OR r.t_us - w.seg_start >= {20 * HOUR} THEN r.t_us ELSE w.seg_start END,
     w.segment + CASE WHEN r.t_us - w.t_us > {12 * HOUR} OR r.t_us - w.seg_start >= {20 * HOUR} THEN 1 ELSE 0 END
   FROM walk w JOIN r ON r.session_id = w.session_id AND r.rn = w.rn + 1)"""))
 def stream_capped_segments(spark, sf):
-    log = activity(spark, sf).select("session_id", "pos", "t_us")
-    return jobs.run_to_table(jobs.capped_segment_stream(_replay(spark, log, "pos"), 12 * HOUR, 20 * HOUR))
+    log = _with_beat(activity(spark, sf).select("session_id", "pos", "t_us"), "session_id", "pos", 48 * HOUR)
+    stream = jobs.capped_segment_stream(_replay(spark, _timed(log), "pos"), 12 * HOUR, 20 * HOUR, "1 hour")
+    return jobs.run_to_table(stream).where("session_id <> -1")
 
 
-# a window is out once the watermark, one hour behind the newest event, has passed it
 @query("stream_segments", sql_with("activity", f"""
 SELECT session_id, min(t_us) AS start, max(t_us) AS "end", count(*) AS blocks FROM (
   SELECT *, sum(CASE WHEN p IS NULL OR t_us - p >= {6 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos) AS segment
-  FROM (SELECT *, lag(t_us) OVER (PARTITION BY session_id ORDER BY pos) AS p FROM activity)) GROUP BY session_id, segment
-HAVING max(t_us) + {6 * HOUR} <= (SELECT (max(t_us) // 1000) * 1000 - {HOUR} FROM activity)"""))
+  FROM (SELECT *, lag(t_us) OVER (PARTITION BY session_id ORDER BY pos) AS p FROM activity)) GROUP BY session_id, segment"""))
 def stream_segments(spark, sf):
-    log = _timed(activity(spark, sf).select("session_id", "pos", "t_us"))
-    return jobs.run_to_table(jobs.segment_stream(_replay(spark, log, "pos"), "6 hours", "1 hour"))
+    log = _timed(_with_beat(activity(spark, sf).select("session_id", "pos", "t_us"), "session_id", "pos", 48 * HOUR))
+    return jobs.run_to_table(jobs.segment_stream(_replay(spark, log, "pos"), "6 hours", "1 hour")).where("session_id <> -1")
 
 
 @query("stream_event_dedup", sql_with("turn_events", "SELECT session_id, turn_no, seq, type, t_us FROM turn_events"))
@@ -136,19 +145,25 @@ def stream_barge_in(spark, sf):
     )
 
 
-# starts whose limit lies before the final watermark are settled; later ones are still open
-@query("stream_attempts", sql_with("ev", f"""
-SELECT event_id, t_us AS start_us, CASE WHEN hit THEN 'answered' ELSE 'first_token_timeout' END AS outcome
-FROM (SELECT *, k % 5 <> 0 AND CAST(floor(value * 500000) AS BIGINT) <= 8000000 AS hit FROM ev)
-WHERE hit OR t_us + 8000000 < (SELECT least(max(t_us), max(CASE WHEN k % 5 <> 0 THEN t_us + CAST(floor(value * 500000) AS BIGINT) END)) - {HOUR} FROM ev)"""))
+@query("stream_attempts", sql_with("ev", """
+SELECT session_id, utterance_id, attempt, start_us, outcome, outcome <> 'completed' AND attempt < 2 AS retried FROM (
+  SELECT session_id, utterance_id, t_us AS start_us, 1 + k % 2 AS attempt, CASE WHEN k % 5 <> 0 AND CAST(floor(value * 500000) AS BIGINT) <= 8000000 THEN 'completed'
+    WHEN k % 5 = 0 AND CAST(floor(value * 400000) AS BIGINT) <= 8000000 THEN 'empty_stream' ELSE 'first_token_timeout' END AS outcome FROM u)""", _MARK_PARTIALS))
 def stream_attempts(spark, sf):
-    rows = events_k(spark, sf).select("event_id", micros().alias("t_us"), "k", "value")
-    starts = rows.select("event_id", F.timestamp_micros("t_us").alias("start_ts"), "t_us")
-    deltas = rows.where("k % 5 <> 0").select(
-        "event_id", (F.col("t_us") + F.floor(F.col("value") * 500000)).alias("t_us")
-    ).withColumn("delta_ts", F.timestamp_micros("t_us"))
-    joined = jobs.attempt_stream(
-        _replay(spark, starts, "t_us").drop("t_us"), _replay(spark, deltas, "t_us").drop("t_us"),
-        ["event_id"], "8 SECONDS", "1 hour",
+    rows = _numbered_events(spark, sf)
+    silent = F.col("k") % 5 == 0
+    spoke = F.col("t_us") + F.floor(F.col("value") * 500000)
+
+    def event(kind, order, t_us, text):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("kind_order"), t_us.alias("t_us"), text.alias("text"))
+
+    log = rows.select(
+        "session_id", "utterance_id", (1 + F.col("k") % 2).cast("int").alias("attempt"),
+        F.inline(F.array(
+            event("start", 0, F.col("t_us"), F.lit("")),
+            event("delta", 1, spoke, F.when(silent, "").otherwise(F.col("event_type"))),
+            event("end", 2, F.when(silent, F.col("t_us") + F.floor(F.col("value") * 400000)).otherwise(spoke + 1), F.lit("")),
+        )),
     )
-    return jobs.run_to_table(joined).select("event_id", F.unix_micros("start_ts").alias("start_us"), "outcome")
+    stream = _replay(spark, _timed(_with_beat(log, "session_id", "t_us", 2 * HOUR)), "t_us")
+    return jobs.run_to_table(jobs.attempt_stream(stream, ["session_id", "utterance_id"], FIRST_OUTPUT_US, "1 hour"))

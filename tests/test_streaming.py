@@ -1,14 +1,28 @@
 """Streams replayed in several triggers give what the batch form gives."""
 
+import random
+import uuid
+
 from pyspark.sql import functions as F
 
-from caselens.operators.activity import activity_segments, segment_table
+from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
+from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
 
 
 def replay(spark, rows, schema, order, slices):
     log = spark.createDataFrame(rows, schema)
-    return jobs.open_log(spark, jobs.stage_log(log, order, slices), log.schema)
+    path, files = jobs.stage_log(log, order, slices)
+    return jobs.open_log(spark, path, log.schema, files)
+
+
+def left_states(spark, stream, names):
+    """Rows of the named states when the stream has nothing more to read."""
+    base = f"{ensure_checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    jobs.start(stream, f"{base}/table", f"{base}/state").awaitTermination()
+    table = spark.read.schema(stream.schema).parquet(f"{base}/table")
+    read = lambda n: spark.read.format("statestore").option("path", f"{base}/state").option("stateVarName", n).load().count()
+    return table, [read(n) for n in names]
 
 
 def test_commit_drops_older_generations_and_keeps_late_finals(spark):
@@ -34,8 +48,8 @@ def test_silent_sessions_lose_their_state_unless_active(spark):
     stream = replay(spark, log, "session_id bigint, pos bigint, t_us bigint, type string, turn_no bigint", "t_us", 3)
     timed = stream.withColumn("ts", F.timestamp_micros("t_us"))
     out = jobs.run_to_table(jobs.session_stream(timed, 60_000_000, "1 second")).collect()
-    assert {(r.session_id, r.pos): (r.session_no, r.history) for r in out} == {
-        (1, 1): (1, 0), (1, 2): (1, 1), (1, 3): (2, 0), (2, 4): (1, 0), (2, 5): (1, 1),
+    assert {(r.session_id, r.pos): (r.opened, r.history) for r in out} == {
+        (1, 1): (1, 0), (1, 2): (1, 1), (1, 3): (3, 0), (2, 4): (4, 0), (2, 5): (4, 1),
     }
 
 
@@ -65,11 +79,77 @@ def test_timed_capped_segments_give_the_last_one_too(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted((r.session_id, r.start, r.end, r.blocks) for r in batch)
 
 
-def test_attempts_time_out(spark):
+def test_state_ends_once_the_watermark_has_passed(spark):
+    s = 1_000_000
+    beat = 10**9 + 9000 * s
+    revisions = [(1, 1, 1, 0, False, 10**9), (1, 2, 1, 1, True, 10**9 + s), (2, 3, 1, 0, False, 10**9 + 2 * s), (9, 4, 1, 0, True, beat), (9, 5, 1, 1, True, beat + 9000 * s)]
+    schema = "session_id bigint, arrival bigint, utterance_id int, revision int, is_final boolean, t_us bigint"
+    timed = lambda rows, schema, order: replay(spark, rows, schema, order, 3).withColumn("ts", F.timestamp_micros("t_us"))
+    kept, left = left_states(spark, jobs.revision_stream(timed(revisions, schema, "arrival"), idle=60 * s, delay="1 second"), ["best"])
+    # the last event's own key is the only one left
+    assert kept.count() == 5 and left == [1]
+    utterances = [(1, 1, "start", 0, 10**9, ""), (1, 2, "start", 0, 10**9 + s, ""), (1, 2, "final", 1, 10**9 + 2 * s, "a"), (9, 1, "start", 0, beat, "")]
+    schema = "session_id bigint, utterance_id bigint, kind string, kind_order int, t_us bigint, text string"
+    _, left = left_states(spark, jobs.commit_stream(timed(utterances, schema, "t_us"), 60 * s, "1 second"), ["texts", "open", "generation"])
+    assert left == [0, 1, 1]
+    answers = [(1, 1, 1, 10**9, "response.text.delta", "a"), (1, 1, 2, 10**9 + s, "turn.completed", ""), (1, 2, 3, 10**9 + s, "response.text.delta", "b"), (9, 1, 4, beat, "turn.failed", "")]
+    schema = "session_id bigint, turn_no bigint, pos bigint, t_us bigint, type string, delta string"
+    out, left = left_states(spark, jobs.answers_stream(timed(answers, schema, "pos"), 60 * s, "1 second"), ["deltas", "done"])
+    assert sorted((r.session_id, r.turn_no, r.answer) for r in out.collect()) == [(1, 1, "a"), (9, 1, "")] and left == [0, 1]
+    sessions = [(1, 1, 10**9, "turn.started", 1), (1, 2, 10**9 + s, "turn.completed", 1), (2, 3, 10**9 + 2 * s, "turn.started", 1), (9, 4, beat, "turn.failed", 1)]
+    schema = "session_id bigint, pos bigint, t_us bigint, type string, turn_no bigint"
+    for idle, held in ((10**12, 2), (600 * s, 1)):
+        _, left = left_states(spark, jobs.session_stream(timed(sessions, schema, "pos"), 60 * s, "1 second", idle), ["session", "turns"])
+        # a session with an active turn is kept, but not for ever
+        assert left == [held, 0]
+    segments = [(1, 1, 10**9), (1, 2, 10**9 + s), (9, 3, beat)]
+    out, left = left_states(spark, jobs.capped_segment_stream(timed(segments, "session_id bigint, pos bigint, t_us bigint", "pos"), 15 * s, 50 * s, "1 second"), ["segment"])
+    assert [tuple(r) for r in out.collect()] == [(1, 10**9, 10**9 + s, 2)] and left == [1]
+
+
+def test_transcripts_end(spark):
     s = 1_000_000
-    schema = "k bigint, t_us bigint"
-    starts = replay(spark, [(1, s), (2, s), (3, 2 * s), (4, 400 * s)], schema, "t_us", 2).select("k", F.timestamp_micros("t_us").alias("start_ts"))
-    deltas = replay(spark, [(1, 5 * s), (2, 10 * s), (5, 400 * s)], schema, "t_us", 2).select("k", F.timestamp_micros("t_us").alias("delta_ts"))
-    out = jobs.run_to_table(jobs.attempt_stream(starts, deltas, ["k"], "8 SECONDS", "1 second"))
-    got = {r.k: r.outcome for r in out.collect()}
-    assert got == {1: "answered", 2: "first_token_timeout", 3: "first_token_timeout"}
+    rows = [(1, 1, 1, "a", "en", "apd", None, None, 10**9), (1, 2, 2, "b", "en", "rpl", 1, 1, 10**9 + s), (9, 3, 1, "z", "", "apd", None, None, 10**9 + 9000 * s)]
+    schema = "stream bigint, arrival bigint, sn int, word string, lg string, pgs string, rg_start int, rg_end int, t_us bigint"
+    stream = replay(spark, rows, schema, "t_us", 2).withColumn("ts", F.timestamp_micros("t_us"))
+    out = jobs.run_to_table(jobs.transcript_stream(stream, 60 * s, "1 second"), "update")
+    last = {r.stream: r.text for r in out.groupBy("stream").agg(F.max_by("text", "arrival").alias("text")).collect()}
+    assert last == {1: "b", 9: "z"}
+
+
+def test_attempts_are_settled_like_the_batch(spark):
+    s = 1_000_000
+    rng = random.Random(8)
+    rows, starts, deltas = [], [], []
+    for k in range(40):
+        at = 10**9 + rng.randrange(100) * s
+        for attempt in (1, 2)[: rng.randrange(1, 3)]:
+            first, ends = rng.choice([None, 2 * s, 8 * s, 9 * s, 30 * s]), rng.choice([None, 3 * s, 8 * s, 20 * s, 40 * s])
+            if first is not None and ends is not None and ends < first:
+                ends = first + s
+            rows.append((k, attempt, "start", 0, at, ""))
+            rows.append((k, attempt, "delta", 1, at + s, ""))
+            rows += [(k, attempt, "delta", 1, at + first, "x"), (k, attempt, "delta", 1, at + first + s, "y")] if first is not None else []
+            rows += [(k, attempt, "end", 2, at + ends, "")] if ends is not None else []
+            starts.append((k, attempt, at, None if ends is None else at + ends))
+            deltas += [(k, attempt, at + first, "x")] if first is not None else []
+            at += 60 * s
+    schema = "k bigint, attempt int, kind string, kind_order int, t_us bigint, text string"
+    batch = attempt_outcomes(
+        spark.createDataFrame(starts, "k bigint, attempt int, start_us bigint, end_us bigint"),
+        spark.createDataFrame(deltas, "k bigint, attempt int, t_us bigint, text string"), ["k"],
+    ).collect()
+    want = sorted((r.k, r.attempt, r.start_us, r.outcome, r.retried) for r in batch)
+    assert {w[3] for w in want} == {"completed", "first_token_timeout", "empty_stream"}
+    for slices in (1, 4):
+        stream = replay(spark, [*rows, (-1, 1, "beat", 0, 10**9 + 9000 * s, "")], schema, "t_us", slices).withColumn("ts", F.timestamp_micros("t_us"))
+        out, left = left_states(spark, jobs.attempt_stream(stream, ["k"], 8 * s, "1 second"), ["attempt"])
+        assert sorted(map(tuple, out.collect())) == want and left == [0]
+
+
+def test_slices_of_a_log_have_equally_many_files(spark):
+    log = spark.range(1000).selectExpr("id % 7 AS k", "id AS pos")
+    path, files = jobs.stage_log(log, "pos", 3, file_rows=100)
+    assert files == 3
+    names = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), "pos").groupBy("f").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).collect()
+    assert len(names) == 9 and sorted(sum(r.a <= x <= r.b for r in names) for x in (100, 500, 900)) == [3, 3, 3]
