@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +26,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+@functools.cache
+def _package_archive() -> str:
+    folder = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="caselens-package-"), "caselens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for base, _, names in sorted(os.walk(folder)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(base, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(folder)))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application: their Arrow functions import it,
+    and they need not have been started from its folder."""
+    context = spark.sparkContext
+    if not getattr(context, "_caselens_shipped", False):
+        context.addPyFile(_package_archive())
+        context._caselens_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names; fall back to a scratch one in tests."""
     context = spark.sparkContext
