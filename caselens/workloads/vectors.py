@@ -13,8 +13,8 @@ from ..sources.index import index_meta, valid_vectors
 from ..views import doc_cases, doc_catalogue, query_set, sql_with, table
 from .catalogue import _EMBED
 from .registry import query
-from .search import SCORED
-from .sqltext import s_norm
+from .search import FOLD, SCORED
+from .sqltext import s_norm, s_query, s_tokens_cte
 
 _VEC = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
@@ -200,3 +200,63 @@ def hybrid_search(spark, sf):
     semantic = hits.join(cases.select("input_pos", "case_id"), "input_pos").select("query_id", "case_id", "score")
     blended = so.hybrid_search(query_set(spark, sf), cases, semantic)
     return top_rows(blended, ["query_id"], [F.desc("score"), F.asc("case_id")], 30)
+
+
+# every question of the conversations asks, in part as a word, three words or nothing, with facets and pages of its own
+_ASK = """CASE (conv_id + turn // 2) % 4 WHEN 0 THEN '' WHEN 1 THEN split_part(text, ' ', 1) WHEN 2 THEN regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') ELSE text END"""
+_FULL = f"""/*recursive*/ dc AS (SELECT doc_cases.*, lang FROM doc_cases JOIN documents ON doc_id = input_pos),
+{_VEC},
+req AS (SELECT conv_id * 100 + turn AS query_id, {_ASK} AS query, CASE conv_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE '' END AS category,
+  CASE WHEN conv_id % 7 = 0 THEN '高' ELSE '' END AS risk, CASE WHEN conv_id % 6 = 0 THEN 'src1' ELSE '' END AS channel, CASE WHEN conv_id % 9 = 0 THEN 'short' ELSE '' END AS victim,
+  (conv_id * 7 + turn) % 400 AS vec, CASE conv_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END AS lim, CAST(turn AS INT) AS off FROM conversations WHERE role = 'user'),
+q0 AS (SELECT *, {s_query('query')} AS cleaned FROM req),
+cats AS (SELECT DISTINCT ccl2023_category AS name FROM doc_cases WHERE ccl2023_category <> ''),
+imp AS (SELECT query_id, name FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) AS rn
+  FROM q0 JOIN cats ON category = '' AND contains(cleaned, name)) WHERE rn = 1),
+prep AS (SELECT q0.*, CASE WHEN category = '' THEN coalesce(name, '') ELSE category END AS cat,
+  CASE WHEN name IS NULL THEN cleaned ELSE trim(replace(cleaned, name, ' ')) END AS residual FROM q0 LEFT JOIN imp USING (query_id)),
+{s_tokens_cte("(SELECT query_id, " + s_query('residual') + " AS rq FROM prep)", "query_id", "rq")},
+ntok AS (SELECT query_id, count(*) AS n FROM tok GROUP BY 1),
+use_tok AS (SELECT t.query_id, token FROM tok t JOIN ntok USING (query_id) WHERE length(token) >= 2 OR n <= 1),
+f AS ({_DOC_FIELDS}),
+parts AS (SELECT query_id, case_id, CASE WHEN v = residual THEN w * 100 ELSE w * 62 END AS c FROM prep JOIN f ON residual <> '' AND contains(v, residual)
+  UNION ALL SELECT query_id, case_id, CASE WHEN field = 'content' THEN w * 28 ELSE w * 42 END FROM use_tok JOIN f ON contains(v, token)),
+lex AS (SELECT query_id, case_id, CAST(sum(c) AS DOUBLE) / 100 AS score FROM parts GROUP BY 1, 2),
+scope AS (SELECT query_id, case_id, input_pos, residual, replace(lower(title), 'ß', 'ss') AS t, custom_subcategory AS sub,
+    CASE WHEN victim_group = '' THEN '未知人群' ELSE lower(victim_group) END AS victim, ccl2023_category AS cat
+  FROM prep JOIN dc ON (cat = '' OR contains(ccl2023_category, cat)) AND (risk = '' OR risk_level = risk)
+    AND (channel = '' OR contains(lower(entry_channels_raw), channel)) AND (prep.victim = '' OR contains(lower(victim_group), prep.victim))),
+cand AS (SELECT query_id, case_id, score FROM lex JOIN scope USING (query_id, case_id) WHERE residual <> ''),
+best AS (SELECT query_id, max(score) AS lm FROM cand GROUP BY 1),
+shut AS (SELECT query_id FROM best WHERE lm >= 8),
+sem AS (SELECT s.query_id, case_id, list_sum(list_transform(generate_series(1, len(u.e)), lambda i: u.e[i] * x.e[i])) AS score
+  FROM scope s JOIN prep USING (query_id) JOIN u ON u.vec_id = s.input_pos JOIN u x ON x.vec_id = prep.vec WHERE s.residual <> '' AND s.query_id NOT IN (SELECT query_id FROM shut)),
+sem2 AS (SELECT * FROM sem WHERE score >= 0.15),
+sb AS (SELECT query_id, max(score) AS sm FROM sem2 GROUP BY 1),
+mixed AS (SELECT query_id, case_id, round(0.3::DOUBLE * coalesce(c.score, 0) / coalesce(nullif(lm, 0), 1) + 0.7::DOUBLE * coalesce(s.score, 0) / coalesce(nullif(sm, 0), 1), 6) AS score
+  FROM (SELECT * FROM cand WHERE query_id IN (SELECT query_id FROM sb)) c FULL JOIN sem2 s USING (query_id, case_id) LEFT JOIN best USING (query_id) JOIN sb USING (query_id)),
+hits AS (SELECT query_id, case_id, score, 'hybrid' AS mode FROM mixed WHERE score >= 0.08
+  UNION ALL SELECT query_id, case_id, score, 'lexical' FROM cand WHERE score >= 8 AND query_id NOT IN (SELECT query_id FROM sb)
+  UNION ALL SELECT query_id, case_id, 0.0::DOUBLE, 'browse' FROM scope WHERE residual = ''),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t, case_id) AS rank, count(*) OVER (PARTITION BY query_id) AS total
+  FROM hits JOIN scope USING (query_id, case_id)),
+{FOLD.replace("/*recursive*/ ", "")}"""
+
+
+@query("search_full", sql_with("doc_cases", """
+SELECT p.query_id, p.position, p.case_id, p.score, m.mode, m.total FROM placed p JOIN (SELECT DISTINCT query_id, mode, total FROM rk) m USING (query_id) JOIN req r USING (query_id)
+WHERE p.position > r.off AND p.position <= r.off + r.lim""", _FULL))
+def search_full(spark, sf):
+    """All questions of the conversations, each with its own facets and page, by text, by vector or by browsing."""
+    ask = f"""CASE pmod(conv_id + turn div 2, 4) WHEN 0 THEN '' WHEN 1 THEN split_part(text, ' ', 1)
+        WHEN 2 THEN regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+', 0) ELSE text END"""
+    rows = table(spark, sf, "conversations").where("role = 'user'").selectExpr(
+        "conv_id * 100 + turn AS query_id", f"{ask} AS query", "CASE conv_id % 5 WHEN 0 THEN ' en ' WHEN 1 THEN 'fr' END AS category",
+        "CASE WHEN conv_id % 7 = 0 THEN '高' ELSE '' END AS risk_level", "CASE WHEN conv_id % 6 = 0 THEN 'SRC1' ELSE '' END AS entry_channel",
+        "CASE WHEN conv_id % 9 = 0 THEN 'Short' END AS victim_group", "(conv_id * 7 + turn) % 400 AS vec_id",
+        "CASE conv_id % 3 WHEN 0 THEN -5 WHEN 1 THEN 10 ELSE 500 END AS limit", "CAST(turn AS INT) AS offset",
+    )
+    asked = rows.join(_vectors(spark, sf).select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left")
+    cases = doc_catalogue(spark, sf)
+    vectors = _vectors(spark, sf).withColumnRenamed("vec_id", "input_pos").join(cases.select("input_pos", "case_id"), "input_pos").select("case_id", "embedding")
+    return so.search_requests(asked, cases, vectors=vectors, service=True)
