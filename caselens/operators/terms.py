@@ -35,8 +35,10 @@ KeyFn = Callable[[Column], Column]
 
 @F.pandas_udf(T.DoubleType())
 def block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two short texts."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
+    """Matching-block ratio of two short texts, or of two lists element by element."""
+    return pd.Series([
+        SequenceMatcher(None, *(x if isinstance(x, str) else list(x) for x in pair)).ratio() for pair in zip(left, right)
+    ])
 
 
 def _squeezed(text: Column) -> Column:
@@ -115,7 +117,11 @@ def term_candidates(raws: DataFrame, forms: DataFrame, key_fn: KeyFn | None = No
 
 
 def base_scores(candidates: DataFrame, vocabulary: DataFrame, key_fn: KeyFn | None = None) -> DataFrame:
-    """Adds ``base``, the sound and shape similarity of the entry's closest form."""
+    """Adds ``base``, the sound and shape similarity of the entry's closest form.
+
+    A ``key_fn`` that gives an array of syllables has sounds compared syllable by syllable, so
+    two that differ share nothing; one that gives a text has them compared by letters.
+    """
     key = key_fn or (lambda text: text)
     forms = vocabulary.select("canonical", "kind", F.explode("forms").alias("form"))
     pairs = candidates.join(forms, ["canonical", "kind"])

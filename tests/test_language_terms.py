@@ -2,6 +2,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from caselens.functions import language as lang
@@ -98,6 +99,22 @@ def test_term_correction_examples(spark):
     assert [s.canonical for s in got[1].spans] == ["刷单返利"] and got[2].spans is None
 
 
+def test_sounds_are_compared_by_syllable_where_the_key_is_a_list(spark):
+    spoken = {"重提": "chong ti", "传递": "chuan di", "传地": "chuan di", "船提": "chuan ti"}
+    said = F.create_map(*[F.lit(x) for pair in spoken.items() for x in pair])
+    pairs = spark.createDataFrame([("重提", "传递", "title", ""), ("传地", "传递", "title", ""), ("船提", "传递", "title", "")], "raw string, canonical string, kind string, category string")
+    entries = spark.createDataFrame([("传递", "title", ["传递"])], "canonical string, kind string, forms array<string>")
+    by_list = {r.raw: r.base for r in tm.base_scores(pairs, entries, lambda t: F.split(F.element_at(said, t), " ")).collect()}
+    by_text = {r.raw: r.base for r in tm.base_scores(pairs, entries, lambda t: F.element_at(said, t)).collect()}
+    shape = {"重提": 0.0, "传地": 0.48 * 0.5, "船提": 0.0}
+    assert by_list == {"重提": 0.0, "传地": 0.52 + shape["传地"], "船提": 0.52 * 0.5}
+    assert by_text["重提"] == pytest.approx(0.52 * SequenceMatcher(None, "chong ti", "chuan di").ratio()) and by_text["重提"] > 0.2
+    # an equal list of syllables makes a candidate
+    forms = tm.vocabulary_forms(entries.selectExpr("canonical", "kind", "'' AS category", "forms", "struct(1L AS _o, 0 AS slot) AS place"))
+    found = tm.term_candidates(pairs.select("raw"), forms, lambda t: F.split(F.element_at(said, t), " ")).collect()
+    assert {r.raw for r in found if r.canonical == "传递"} == {"传地"}
+
+
 def brute(text, category, context, entries):
     forms = [f for e in entries for f in e["forms"] if re.fullmatch("[a-d]+", f)]
     exact = [(p, p + len(f)) for f in forms for p in range(len(text)) if text.startswith(f, p)]
