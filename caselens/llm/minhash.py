@@ -173,31 +173,46 @@ def _links(scratch: Scratch, candidates: DataFrame, sets: DataFrame, percent: in
 def connected(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Components of an edge list (a, b): (node, label), the label being the least node that can be reached.
 
-    Large-star and small-star alternate until a round changes nothing. Each is a grouping
+    Large-star and small-star alternate until every edge leads to a node that leads nowhere,
+    so that each component is a star around its least node. Each is a grouping
     for the least neighbour and a join back, so no task holds all neighbours of a node. An
     edge list without rows gives no nodes; loops and repeated edges are harmless.
     """
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
+        roots = now.select(F.col("v").alias("u")).distinct()
+        if now.join(roots, "u", "left_semi").isEmpty():
+            # a node of two edges would still be between two roots
+            if now.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+                break
         # large star: every larger neighbour of a node is linked to the least node around
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.write(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours are linked to the least of them
-        large = scratch.write(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = scratch.write(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(large, now)
         now = after
-        if state == before:
-            break
-        before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
 
 
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links between labelled or other nodes: the components of the labels alone are made anew."""
+    links = scratch.write(links)
+    if links.isEmpty():
+        return labels
+    known = labels.toDF("node", "label")
+    ends = links.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left")
+    contracted = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = connected(scratch, contracted).toDF("label", "top")
+    # a node without a label is its own, and may be a label of the contracted graph
+    moved = known.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    new = over.join(known.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    return moved.union(new)
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach), kept.
 
@@ -219,27 +234,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.write(
         signed.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in _SIGN_COLUMNS))
     )
+    # the rows that find who meets whom carry nothing else
     width = 4 * ROWS
-    cut = f"posexplode(transform(sequence(0, {n_bands - 1}), i -> substring(bands, i * {width} + 1, {width}))) AS (band, key)"
-    keys = f"transform(sequence(0, {n_bands - 1}), i -> xxhash64(substring(bands, i * {width} + 1, {width}))) AS keys"
-    bands = nodes.selectExpr("fp", "n", *_SIGN_COLUMNS, keys, cut)
-    shared = nodes.selectExpr(cut).groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.write(bands.join(shared, ["band", "key"]).withColumn("bucket", F.xxhash64("band", "key")))
+    keys = f"transform(sequence(0, {n_bands - 1}), i -> xxhash64(i, substring(bands, i * {width} + 1, {width})))"
+    cut = f"posexplode({keys}) AS (band, bucket)"
+    shared = nodes.selectExpr(cut).groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.write(nodes.selectExpr("fp", cut).join(shared, "bucket"))
 
-    # full sets of the classes that meet any other, read from one document of each
+    # what belongs to the classes that meet any other; their full sets are read from one document of each
     wanted = members.select("fp").distinct()
-    named = nodes.join(wanted, "fp", "left_semi").select("id").distinct()
+    signs = scratch.write(nodes.join(wanted, "fp", "left_semi").selectExpr("fp", "id", "n", *_SIGN_COLUMNS, f"{keys} AS keys"))
+    named = signs.select("id").distinct()
     nameless = read.where("id IS NULL")
-    sets = full_sets(read.join(named, "id", "left_semi").union(nameless)).join(wanted, "fp", "left_semi")
+    sets = full_sets(read.join(named, "id", "left_semi").union(nameless)).join(signs.select("fp"), "fp", "left_semi")
     sets = scratch.write(sets.dropDuplicates(["fp"]))
 
-    links = _all_links(scratch, members, sets, percent)
-    labels = connected(scratch, links)
+    labels = _all_labels(scratch, members, signs, sets, percent)
     classes = nodes.select("fp", "id").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     classes = scratch.write(classes)
     least = classes.groupBy("label").agg(F.min("id").alias("component"))
     named = scratch.write(classes.join(least, "label").select("fp", "component"))
-    scratch.drop(members, sets, classes)
+    scratch.drop(members, signs, sets, classes)
     own = signed.select("id", "fp", "n").join(named, "fp", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return own.select(
@@ -247,15 +262,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links enough to connect every class with all that it can reach."""
+def _all_labels(scratch: Scratch, members: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the classes that are linked with any other, after links enough to connect every class with all that it can reach."""
 
     def fits(a: str, b: str) -> F.Column:
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
+    alike = fits("n_1", "n_2") & (_agreeing() >= least_agreeing(percent))
+
+    def sided(rows: DataFrame, side: int, *but: str) -> DataFrame:
+        return rows.select(*but, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in but))
+
     def pairs(left: DataFrame, right: DataFrame, *more: F.Column, last: F.Column | None = None) -> DataFrame:
-        x = left.select("bucket", *(F.col(c).alias(f"{c}_1") for c in left.columns if c != "bucket"))
-        y = right.select("bucket", *(F.col(c).alias(f"{c}_2") for c in right.columns if c != "bucket"))
+        x, y = sided(left, 1, "bucket"), sided(right, 2, "bucket")
         condition = (x["bucket"] == y["bucket"]) & fits("n_1", "n_2")
         for c in more:
             condition &= c
@@ -265,8 +284,15 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
             condition &= last
         return x.join(y, condition).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b")).distinct()
 
-    small = members.where(f"size <= {SMALL_BUCKET}").select("bucket", "fp", "n", *_SIGN_COLUMNS)
-    large = members.where(f"size > {SMALL_BUCKET}").select("bucket", "band", "keys", "fp", "n", *_SIGN_COLUMNS)
+    compared = signs.select("fp", "n", *_SIGN_COLUMNS)
+    # pairs of a small bucket are few; each is made once before its signatures are fetched
+    few = members.where(f"size <= {SMALL_BUCKET}").select("bucket", "fp")
+    met = sided(few, 1, "bucket").join(sided(few, 2, "bucket"), "bucket").where("fp_1 < fp_2").select("fp_1", "fp_2").distinct()
+    small = met.join(sided(compared, 1), "fp_1").join(sided(compared, 2), "fp_2").where(alike).select(F.col("fp_1").alias("a"), F.col("fp_2").alias("b"))
+    many = scratch.write(members.where(f"size > {SMALL_BUCKET}").select("bucket", "band", "fp"))
+    if many.isEmpty():
+        return connected(scratch, _links(scratch, scratch.write(small), sets, percent))
+    large = many.join(signs.select("fp", "n", "keys", *_SIGN_COLUMNS), "fp")
 
     # how many shingles of a class no other class of the large buckets has
     crowded = sets.join(large.select("fp").distinct(), "fp", "left_semi")
@@ -284,21 +310,23 @@ def _all_links(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: i
     centre = large.groupBy("bucket").agg(F.min_by("fp", F.struct(-F.col("common") / F.col("n"), "fp")).alias("fp"))
     centre = large.join(centre, ["bucket", "fp"], "left_semi").drop("common", "band", "keys")
     stars = pairs(centre, large.drop("common", "band", "keys"), F.col("fp_1") != F.col("fp_2"))
-    tried = scratch.write(pairs(small, small, F.col("fp_1") < F.col("fp_2")).union(stars).distinct())
+    tried = scratch.write(small.union(stars).distinct())
     first = _links(scratch, tried, sets, percent)
 
-    labels = connected(scratch, first)
+    labels = scratch.write(connected(scratch, first))
     grouped = large.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     grouped = scratch.write(grouped)
     open_buckets = grouped.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = grouped.join(open_buckets, "bucket", "left_semi")
+    rest = scratch.write(grouped.join(open_buckets, "bucket", "left_semi"))
+    if rest.isEmpty():
+        return labels
     most = F.least("common_1", "common_2")
     # a pair that meets in several buckets is made in the first of them
     again = F.exists(F.slice(F.zip_with("keys_1", "keys_2", lambda x, y: x == y), 1, F.col("band_1")), lambda x: x)
     possible = most * 100 >= (F.col("n_1") + F.col("n_2") - most) * percent
     rest = pairs(rest, rest, F.col("fp_1") < F.col("fp_2"), F.col("label_1") != F.col("label_2"), possible, last=~again)
     second = _links(scratch, rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    return first.union(second)
+    return _merged(scratch, labels, second)
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
