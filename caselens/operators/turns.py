@@ -94,6 +94,10 @@ PROMPTS = {
 TERMINAL_TYPES = ("turn.completed", "turn.failed", "turn.cancelled")
 
 
+# Fixed value: what a prompt says where the search found nothing.
+NO_CANDIDATES = "未检索到匹配资料。涉及具体事实时请说明资料库暂无对应条目。"
+
+
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     found = F.lit(False)
     for phrase in phrases:
@@ -192,7 +196,8 @@ def retrieval_basis(
     domain: Sequence[str] = DOMAIN_TERMS, foreign: dict[str, Sequence[str]] = FOREIGN_TERMS,
     actions: Sequence[str] = BROWSE_ACTIONS, objects: Sequence[str] = BROWSE_OBJECTS,
 ) -> DataFrame:
-    """``basis``: the first signal that allows retrieval, or none."""
+    """``basis``: the first signal that allows retrieval, or none. Of turns with a ``route``, a
+    short reply (pause or continuation) is a conversation_reply whatever else it holds."""
     asked = turns.withColumn("_text", casefold(norm(text)))
     forms = asked.select("_text").distinct()
     order = F.when(F.col("kind") == "item_name", 1).when(F.col("kind") == "category", 2).otherwise(3)
@@ -207,8 +212,10 @@ def retrieval_basis(
     for code, terms in foreign.items():
         foreign_hit = foreign_hit | ((locale == code) & contains_any(folded, terms))
     category = norm("category") if "category" in turns.columns else F.lit("")
+    short = F.col("route").isin("pause", "continuation") if "route" in turns.columns else F.lit(False)
     basis = (
-        F.when(category != "", "ui_category")
+        F.when(short, "conversation_reply")
+        .when(category != "", "ui_category")
         .when(folded == "", "none")
         .when(F.col("_p") == 1, "item_name")
         .when(F.col("_p") == 2, "category")
@@ -448,16 +455,19 @@ def byte_budget_terms(
 
 def prompt_rows(
     turns: DataFrame, evidence: DataFrame, key: str, order: str, *, system: str, no_evidence: str,
-    evidence_intro: str, continuation: str, pause: str, closing: str,
+    evidence_intro: str, continuation: str, pause: str, closing: str, no_candidates: str = NO_CANDIDATES,
 ) -> DataFrame:
     """(key, order, ord, role, content) of the grounded prompt of every turn.
 
-    ``turns``: key, order, question, answer, mode, basis. ``evidence``: key, order, context.
-    History reaches at most five turns forward, so each turn is copied to its next five
-    instead of joining a conversation with itself.
+    ``turns``: key, order, question, answer, mode, basis, and if some did not complete,
+    ``completed``; those are no history. ``evidence``: key, order, context; a turn that looked
+    for evidence and has none is told so. History reaches at most five turns forward, so each
+    turn is copied to its next five instead of joining a conversation with itself.
     """
-    placed = numbered(turns, [key], order, "_n")
-    past = placed.select(
+    done = F.coalesce(F.col("completed"), F.lit(False)) if "completed" in turns.columns else F.lit(True)
+    before = Sum(done.cast("bigint"), inclusive=False)
+    placed = ordered_scan(turns, [key], order, {"_n": before}).withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
+    past = placed.where(done).select(
         key, F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + CONTEXT_TURNS)).alias("_for"),
         "_n", F.col("question").alias("_q"), F.substring("answer", 1, ANSWER_CHARS).alias("_a"),
     )
@@ -476,7 +486,7 @@ def prompt_rows(
     )
     grounded = turns.join(evidence, [key, order], "left")
     context = F.when(F.col("basis") == "none", F.lit(no_evidence)).otherwise(
-        F.concat(F.lit(evidence_intro), F.coalesce("context", F.lit("")))
+        F.concat(F.lit(evidence_intro), F.coalesce("context", F.lit(no_candidates)))
     )
     note = F.when(F.col("mode") == "continuation", continuation).when(F.col("mode") == "pause", pause)
     fixed = grounded.select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "search", "vectors", "turns", "activity", "language", "streams")
+MODULES = ("catalogue", "search", "vectors", "turns", "activity", "language", "assist", "streams")
 
 
 def load_all() -> None:

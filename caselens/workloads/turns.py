@@ -297,7 +297,7 @@ SELECT conv_id, turn, ord, role, content FROM (
   SELECT conv_id, turn, 1 AS ord, 'system' AS role, 'S' AS content FROM t
   UNION ALL SELECT b.conv_id, b.turn, 2 + (5 - (b.n - a.n)) * 2, 'user', a.question FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.n - a.n BETWEEN 1 AND 5
   UNION ALL SELECT b.conv_id, b.turn, 3 + (5 - (b.n - a.n)) * 2, 'assistant', substr(a.answer, 1, 500) FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.n - a.n BETWEEN 1 AND 5
-  UNION ALL SELECT conv_id, turn, 20, 'system', CASE WHEN length(question) % 3 = 0 THEN 'no evidence' ELSE 'evidence: ' || coalesce(ids, '') END FROM t LEFT JOIN e USING (conv_id, turn)
+  UNION ALL SELECT conv_id, turn, 20, 'system', CASE WHEN length(question) % 3 = 0 THEN 'no evidence' ELSE 'evidence: ' || coalesce(ids, '未检索到匹配资料。涉及具体事实时请说明资料库暂无对应条目。') END FROM t LEFT JOIN e USING (conv_id, turn)
   UNION ALL SELECT conv_id, turn, 21, 'system', CASE length(question) % 4 WHEN 0 THEN 'go on from the last answer' ELSE 'stay short' END FROM t WHERE length(question) % 4 < 2
   UNION ALL SELECT conv_id, turn, 22, 'system', 'the next row is the user' FROM t
   UNION ALL SELECT conv_id, turn, 23, 'user', question FROM t)""", f"""{_PACK},

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from caselens.operators import turns as op
-from caselens.operators.catalogue import normalize_cases
+from caselens.operators.assist import grounded_turns
+from caselens.operators.catalogue import normalize_cases, with_search_text
+from caselens.operators.turns import NO_CANDIDATES
 
 
 def test_routing(spark):
@@ -191,3 +193,39 @@ def test_text_assembly_in_runs(spark):
     for size in (4, 1 << 20):
         got = {r.k: r.text for r in op.assemble_text(pieces, ["k"], "n", "t", " ", rows=size).collect()}
         assert got == want
+
+
+def test_whole_turns_are_grounded_in_what_the_search_finds(spark):
+    rows = [
+        ("FZ-001", "冒充客服退款并诱导共享屏幕", "冒充电商物流客服类", "电话", "网购用户"), ("FZ-002", "刷单返利后要求垫资", "刷单返利类", "微信", "学生"),
+        *[(f"FZ-{i:03d}", f"贷款骗局第{i}种", "贷款类", "短信", "上班族") for i in range(10, 40)],
+    ]
+    raw = spark.createDataFrame(
+        [(i, t, c, "高", [ch], v, f"{t}的摘要", "信号", "建议", "来源") for i, t, c, ch, v in rows],
+        "case_id string, title string, ccl2023_category string, risk_level string, entry_channels array<string>, victim_group string, summary string, risk_signals string, prevention_advice string, source_name string",
+    )
+    cases = with_search_text(normalize_cases(raw)).cache()
+    turns = [
+        (1, "你好", "你好。", "", True), (2, "冒充客服退款并诱导共享屏幕是怎么回事", "这是骗局。", "", True), (3, "好的。", "还有……", "", False), (4, "今天天气如何", "……", "", True),
+        (5, "贷款类有哪些案例", "一些。", "", True), (6, "", "", "贷款类", False), (7, "刷单返利类", "……", "贷款类", True), (8, "x" * 5000, "", "", False),
+    ]
+    asked = spark.createDataFrame([("s", *t) for t in turns], "sid string, n bigint, question string, answer string, category string, completed boolean")
+    texts = {"system": "S", "no_evidence": "N", "evidence_intro": "E:", "continuation": "C", "pause": "P", "closing": "Z"}
+    candidates, prompts = grounded_turns(asked, cases, "sid", "n", texts)
+    got = {}
+    for r in candidates.orderBy("n", "rank").collect():
+        got.setdefault(r.n, []).append((r.rank, r.case_id, r.total))
+    assert got[2][0][:2] == (1, "FZ-001") and 1 not in got and 3 not in got and 4 not in got and 8 not in got and 6 not in got
+    # a named scope larger than a page is shown from a place that session and turn choose
+    assert [r[0] for r in got[5]] == list(range(1, len(got[5]) + 1)) and len(got[5]) == 12 and got[5][0][2] == 30
+    whole, _ = grounded_turns(asked.where("n = 5").withColumn("n", F.lit(77)), cases, "sid", "n", texts)
+    assert [r.case_id for r in whole.orderBy("rank").collect()] != [c for _, c, _ in got[5]]
+    assert 7 not in got
+    said = {}
+    for r in prompts.orderBy("n", "ord").collect():
+        said.setdefault(r.n, []).append((r.role, r.content))
+    assert set(said) == {2, 3, 4, 5, 7}
+    assert ("system", "N") in said[4] and ("system", "E:" + NO_CANDIDATES) in said[7] and ("system", "E:" + NO_CANDIDATES) in said[3]
+    assert any(c.startswith("E:[FZ-001]") for _, c in said[2])
+    # the turn that did not complete is no history, the greeting is
+    assert [c for r, c in said[5] if r == "user"] == ["你好", "冒充客服退款并诱导共享屏幕是怎么回事", "今天天气如何", "贷款类有哪些案例"]
