@@ -24,6 +24,7 @@ LOADER_KEYS = ("items", "case_items")
 
 _GAP = re.compile(r"[\s,]*")
 _RECORD = [T.StructField(n, TEXTS if n in MULTI_VALUE_FIELDS else T.StringType()) for n in CORE_FIELDS] + [T.StructField("_id", T.StringType())]
+_FIELDS = frozenset(CORE_FIELDS)
 _ARROW_TYPES = {f.name: pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.string() for f in _RECORD}
 
 
@@ -111,7 +112,7 @@ def json_events(text: str, depth: int, listed: bool, last: bool) -> Iterator[tup
 _EVENT = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("unit", T.LongType()), T.StructField("ord", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("truthy", T.BooleanType()),
-    T.StructField("type", T.StringType()), *_RECORD,
+    T.StructField("type", T.StringType()), T.StructField("raw", T.StringType()), *_RECORD,
 ])
 
 
@@ -124,6 +125,9 @@ def _events(units: DataFrame, mode: str) -> DataFrame:
                 told: list[dict] = []
                 for n, (kind, key, value) in enumerate(json_events(text.removeprefix("\ufeff"), depth, listed, last)):
                     record = typed_record(value, mode) if kind == "element" and isinstance(value, dict) else {}
+                    # what is no record is kept as it stands: header fields, categories
+                    if kind == "value" or (record and not _FIELDS & value.keys()):
+                        record["raw"] = json.dumps(value, ensure_ascii=False)
                     told.append({"file": file, "unit": unit, "ord": n, "kind": kind, "key": key, "truthy": bool(value), "type": type(value).__name__, **record})
                     if len(told) == 1024:
                         yield _event_batch(told)
@@ -135,7 +139,7 @@ def _events(units: DataFrame, mode: str) -> DataFrame:
 
 
 def _event_batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"file": pa.string(), "unit": pa.int64(), "ord": pa.int64(), "kind": pa.string(), "key": pa.string(), "truthy": pa.bool_(), "type": pa.string()} | _ARROW_TYPES
+    kinds = {"file": pa.string(), "unit": pa.int64(), "ord": pa.int64(), "kind": pa.string(), "key": pa.string(), "truthy": pa.bool_(), "type": pa.string(), "raw": pa.string()} | _ARROW_TYPES
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()], names=list(kinds))
 
 
@@ -223,6 +227,10 @@ def read_cases(spark: SparkSession, path: str, mode: str = "builder", whole_byte
     A file of up to ``whole_bytes`` is parsed at once. A larger one is cut behind its records,
     so that one large array is read by many tasks.
     """
+    return _chosen(_file_events(spark, path, mode, whole_bytes), mode)
+
+
+def _file_events(spark: SparkSession, path: str, mode: str, whole_bytes: int) -> DataFrame:
     sizes = spark.read.format("binaryFile").load(path).select("path", "length")
     some = sizes.agg(F.max("length").alias("most"), F.collect_list(F.when(F.col("length") <= whole_bytes, F.col("path"))).alias("small"), F.collect_list(F.when(F.col("length") > whole_bytes, F.col("path"))).alias("large")).first()
     units = None
@@ -230,10 +238,7 @@ def read_cases(spark: SparkSession, path: str, mode: str = "builder", whole_byte
         for one in ([paths] if paths else []):
             part = reader(spark, one)
             units = part if units is None else units.unionByName(part)
-    if units is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("input_pos", T.LongType()), *_RECORD[:-1]]))
-    events = pinned(_events(units, mode))
-    return _chosen(events, mode)
+    return spark.createDataFrame([], _EVENT) if units is None else pinned(_events(units, mode))
 
 
 def _refuse(rows: DataFrame, complaint: Column) -> None:
@@ -255,17 +260,21 @@ def parse_envelopes(rows: DataFrame, key: str, text: str, mode: str = "builder")
     return cases.select(F.col("file").cast(rows.schema[key].dataType).alias(key), "input_pos", *CORE_FIELDS)
 
 
-def _chosen(events: DataFrame, mode: str) -> DataFrame:
-    """The typed records of the array that the mode takes, numbered."""
+def _placed(events: DataFrame) -> DataFrame:
+    """Events with ``_array``, the array opened last before them, in their unit or in an earlier one."""
     per_unit = events.groupBy("file", "unit").agg(
         F.count(F.when(F.col("kind") == "element", 1)).alias("_n"), F.max_by(F.struct("ord", "key"), F.when(F.col("kind") == "open", F.col("ord"))).alias("_opened")
     )
     opened = F.when(F.col("_opened").isNotNull(), F.struct(F.col("unit").alias("u"), F.col("_opened.ord").alias("o"), F.col("_opened.key").alias("key")))
     placed = ordered_scan(per_unit, ["file"], "unit", {"_array": Last(opened)}).select("file", "unit", "_array")
-    # an element belongs to the array opened last before it, in its unit or in an earlier one
     inside = Window.partitionBy("file", "unit").orderBy("ord")
     here = F.last(F.when(F.col("kind") == "open", F.struct(F.col("unit").alias("u"), F.col("ord").alias("o"), "key")), ignorenulls=True).over(inside)
-    told = events.join(placed, ["file", "unit"]).withColumn("_array", F.coalesce(here, "_array"))
+    return events.join(placed, ["file", "unit"]).withColumn("_array", F.coalesce(here, "_array"))
+
+
+def _chosen(events: DataFrame, mode: str) -> DataFrame:
+    """The typed records of the array that the mode takes, numbered."""
+    told = _placed(events)
     arrays = told.where("kind = 'element'").groupBy("file", "_array").agg(F.count(F.lit(1)).alias("n"))
     listed = told.where("kind = 'open'").select("file", "_array").join(arrays, ["file", "_array"], "left").select(
         "file", F.col("_array.key").alias("key"), "_array", (F.col("n") > 0).alias("full"), F.lit("list").alias("type"), F.lit("open").alias("kind")
@@ -331,6 +340,38 @@ def read_case_lines(spark: SparkSession, path: str, mode: str = "builder") -> Da
     return cases.drop("_id")
 
 
+def read_envelopes(spark: SparkSession, path: str, mode: str = "loader", whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, categories, meta) of envelope files, one row of meta for each.
+
+    Categories that an envelope lists are taken as they stand: file, pos, id (the position if it
+    has none), name, item_count. Meta: file, schema_version, generated_at, source. The builder
+    writes version 4 and no time whatever the file says and names the file as the source if it
+    names none; the loader takes what is there, and version 1 where there is none.
+    """
+    events = _file_events(spark, path, mode, whole_bytes)
+    told = _placed(events)
+    listed = told.where("kind = 'element' AND raw IS NOT NULL AND _array.key = 'categories'")
+    row = F.from_json("raw", "id string, name string, item_count string")
+    order = Window.partitionBy("file").orderBy("unit", "ord")
+    categories = listed.withColumn("c", row).withColumn("pos", F.row_number().over(order)).select(
+        "file", "pos", F.coalesce(F.col("c.id").cast("int"), F.col("pos")).alias("id"), F.coalesce("c.name", F.lit("")).alias("name"),
+        F.coalesce(F.col("c.item_count").cast("bigint"), F.lit(0)).alias("item_count"),
+    )
+    plain = F.regexp_replace("raw", '^"|"$', "")
+    given = {k: F.max(F.when((F.col("kind") == "value") & (F.col("key") == k) & F.col("truthy"), v)) for k, v in
+             {"schema_version": plain, "generated_at": plain, "source": F.col("raw")}.items()}
+    meta = events.groupBy("file").agg(*[v.alias(k) for k, v in given.items()])
+    if mode == "builder":
+        named = F.to_json(F.struct(F.element_at(F.split("file", "/"), -1).alias("name")))
+        meta = meta.select("file", F.lit(4).alias("schema_version"), F.lit("").alias("generated_at"), F.coalesce("source", named).alias("source"))
+    else:
+        meta = meta.select(
+            "file", F.coalesce(F.col("schema_version").cast("int"), F.lit(1)).alias("schema_version"),
+            F.coalesce("generated_at", F.lit("")).alias("generated_at"), F.coalesce("source", F.lit("{}")).alias("source"),
+        )
+    return _chosen(events, mode), categories, meta
+
+
 def write_catalogue(cases: DataFrame, categories: DataFrame, meta: DataFrame, path: str) -> None:
     cases.write.mode("overwrite").parquet(f"{path}/cases")
     categories.write.mode("overwrite").parquet(f"{path}/categories")

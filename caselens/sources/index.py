@@ -24,10 +24,13 @@ def dataset_lineage() -> Column:
 
 def index_meta(
     vectors: DataFrame, dataset: DataFrame, *, model: str, base_url: str = "", generated_at: str = "",
-    vector: str = "embedding",
+    vector: str = "embedding", key: str = "item_id", dimensions: int = 0,
 ) -> DataFrame:
-    """One row: header fields plus the lineage of the data set it was built from."""
-    size = vectors.agg(F.max(F.size(vector)).alias("dimensions"))
+    """One row: header fields plus the lineage of the data set it was built from. The
+    dimensions are those given, or those of the first valid vector by its id."""
+    named = key if key in vectors.columns else vectors.columns[0]
+    first = F.min_by(F.size(vector), F.when(F.size(vector) > 0, F.col(named)))
+    size = vectors.agg((F.lit(dimensions) if dimensions else first).cast("int").alias("dimensions"))
     lineage = dataset.select(dataset_lineage().alias("dataset"))
     one = size.unionByName(lineage, allowMissingColumns=True).agg(
         F.coalesce(F.max("dimensions"), F.lit(0)).alias("dimensions"), F.max("dataset").alias("dataset")
@@ -44,4 +47,9 @@ def write_index(vectors: DataFrame, meta: DataFrame, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return valid_vectors(spark.read.parquet(f"{path}/vectors")), spark.read.parquet(f"{path}/meta")
+    """Valid vectors and the header; a header without dimensions takes those of the first vector."""
+    vectors, meta = valid_vectors(spark.read.parquet(f"{path}/vectors")), spark.read.parquet(f"{path}/meta")
+    if meta.where("coalesce(dimensions, 0) = 0").isEmpty():
+        return vectors, meta
+    first = vectors.agg(F.min_by(F.size("embedding"), vectors.columns[0])).first()[0] or 0
+    return vectors, meta.withColumn("dimensions", F.when(F.coalesce("dimensions", F.lit(0)) == 0, first).otherwise(F.col("dimensions")))

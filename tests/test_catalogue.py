@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from caselens.functions.text import line_text, multi_values, norm, shorten
 from caselens.operators import catalogue as op
+from caselens.operators.build import build_catalogue, refresh_index
 from caselens.schema import CORE_FIELDS, REQUIRED_FIELDS
-from caselens.sources.cases import dataset_meta, read_case_lines, read_cases, read_catalogue, write_catalogue
+from caselens.sources.cases import dataset_meta, read_case_lines, read_cases, read_catalogue, read_envelopes, write_catalogue
+from caselens.sources.index import read_index
 
 RECORD = {
     "case_id": "FZ-001", "title": "冒充客服退款", "summary": "摘要\r\n第二行", "judgment_reason": "原因",
@@ -223,3 +225,48 @@ def test_multi_value_fields_may_be_text_or_list(spark, tmp_path):
     assert row.tags == ["a", "b"] and row.key_methods == ["x", "5"] and row.case_id == ""
     row = op.normalize_cases(read_cases(spark, path, mode="loader"), mode="loader").first()
     assert row.tags == ["a；b;a"] and row.case_id == "L1"
+
+
+def full_record(i, **more):
+    return {**RECORD, "case_id": f"FZ-{i:03d}", **more}
+
+
+def test_the_catalogue_is_built_only_from_sound_records(spark, tmp_path):
+    target = str(tmp_path / "out")
+    path = write(tmp_path / "a.json", {"source": {"name": "unit"}, "items": [full_record(1), full_record(2, ccl2023_category="", official_category=["甲", "乙"])], "categories": [{"name": "x"}]})
+    assert build_catalogue(spark, path, target).count() == 2
+    cases, categories, meta = read_catalogue(spark, target)
+    assert [(r.id, r.name, r.item_count) for r in categories.orderBy("id").collect()] == [(1, "冒充电商物流客服类", 1), (2, "甲", 1)]
+    assert tuple(cases.columns) == CORE_FIELDS and tuple(meta.first()) == (4, "", '{"name": "unit"}')
+    for records, message in (([full_record(1), full_record(2, title="")], "FZ-002 missing required fields: title"), ([full_record(1), full_record(1)], "duplicate case_id values: FZ-001")):
+        with pytest.raises(ValueError, match=message):
+            build_catalogue(spark, write(tmp_path / "b.json", records), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_stored_categories_and_header_win_in_the_loader(spark, tmp_path):
+    path = write(tmp_path / "a.json", {
+        "schema_version": 3, "generated_at": "2026-01-02", "source": {"name": "n"}, "items": [full_record(1)],
+        "categories": [{"id": 7, "name": "甲", "item_count": 5}, {"name": "乙"}],
+    })
+    cases, categories, meta = read_envelopes(spark, path)
+    assert cases.count() == 1 and [tuple(r)[1:] for r in categories.orderBy("pos").collect()] == [(1, 7, "甲", 5), (2, 2, "乙", 0)]
+    assert tuple(meta.first())[1:] == (3, "2026-01-02", '{"name": "n"}')
+    _, none, meta = read_envelopes(spark, write(tmp_path / "b.json", [full_record(1)]))
+    assert none.count() == 0 and tuple(meta.first())[1:] == (1, "", "{}")
+    _, _, meta = read_envelopes(spark, write(tmp_path / "c.json", [full_record(1)]), "builder")
+    assert tuple(meta.first())[1:] == (4, "", '{"name":"c.json"}')
+
+
+def test_an_index_of_another_model_or_data_set_is_not_gone_on_with(spark, tmp_path):
+    path = str(tmp_path / "index")
+    items = spark.createDataFrame([(f"i{n}", f"text {n}") for n in range(5)], "item_id string, text string")
+    now = spark.createDataFrame([(4, "", 5)], "schema_version int, generated_at string, item_count bigint")
+    assert refresh_index(items.limit(3), now, path, "item_id", "text", model="m").count() == 0
+    assert refresh_index(items, now, path, "item_id", "text", model="m").count() == 0
+    vectors, meta = read_index(spark, path)
+    assert vectors.count() == 5 and meta.first().dimensions == 64
+    for model, data, message in (("n", now, "other model"), ("m", now.withColumn("generated_at", F.lit("later")), "other dataset")):
+        with pytest.raises(ValueError, match=message):
+            refresh_index(items, data, path, "item_id", "text", model=model)
+    assert refresh_index(items, now, path, "item_id", "text", model="n", resume=False).count() == 0
