@@ -26,6 +26,9 @@ DISAGREEING = 1.2e-6
 #: Up to so many members all pairs of a bucket are candidates, which is a bounded number for each row.
 SMALL_BUCKET = 8
 
+#: Bits, and bits of a page, of the bitmap that tells which texts are not wanted again.
+MARKS, MARK_PAGE = 1 << 24, 1 << 15
+
 _SIGN_COLUMNS = tuple(f"s{i}" for i in range(SIGNS))
 
 _random = np.random.default_rng(20240229)
@@ -213,6 +216,20 @@ def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
     return moved.union(new)
 
 
+def _marked(ids: DataFrame) -> DataFrame:
+    """(page, marks): a bitmap of MARKS bits, at most MARKS / 32768 rows of 4 kB, with a bit for the hash of every id."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    return ids.select((place / MARK_PAGE).cast("int").alias("page"), (place % MARK_PAGE).alias("bit")).groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("marks"))
+
+
+def _perhaps(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose id has its bit in the bitmap: all that are wanted, and few others while the wanted ids are fewer than the bits."""
+    place = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    met = rows.withColumn("page", (place / MARK_PAGE).cast("int")).join(F.broadcast(marks), "page")
+    byte = F.conv(F.hex(F.substring(F.col("marks"), (F.floor(place % MARK_PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.lit(1).bitwiseAND(F.call_function("shiftright", byte, (place % 8).cast("int"))) == 1).select(*rows.columns)
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links reach), kept.
 
@@ -246,7 +263,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = scratch.write(nodes.join(wanted, "fp", "left_semi").selectExpr("fp", "id", "n", *_SIGN_COLUMNS, f"{keys} AS keys"))
     named = signs.select("id").distinct()
     nameless = read.where("id IS NULL")
-    sets = full_sets(read.join(named, "id", "left_semi").union(nameless)).join(signs.select("fp"), "fp", "left_semi")
+    # most texts are left where they are before the ids are compared; a semi join would be moved before the bitmap
+    texts = _perhaps(read, scratch.write(_marked(named))).join(named, "id")
+    sets = full_sets(texts.union(nameless)).join(signs.select("fp"), "fp", "left_semi")
     sets = scratch.write(sets.dropDuplicates(["fp"]))
 
     labels = _all_labels(scratch, members, signs, sets, percent)
