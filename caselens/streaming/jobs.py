@@ -15,6 +15,8 @@ from . import processors as p
 #: Rows of a replayed file, and how long a silent key's state is kept, in micros.
 FILE_ROWS = 1 << 17
 IDLE_US = 60 * 24 * 3600 * 1_000_000
+#: Requests are dealt by hash to so many keys of state, as each key that a trigger touches costs calls of its own.
+REQUEST_SLOTS = 1 << 10
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -159,6 +161,10 @@ def barge_in_stream(onsets: DataFrame, partials: DataFrame, keys: list[str], wit
 def attempt_stream(events: DataFrame, keys: list[str], timeout: int, delay: str, attempts: int = 2) -> DataFrame:
     """(keys, attempt, start_us, outcome, retried) of every attempt, once it is settled.
     ``events``: keys, attempt, kind (start, delta, end), kind_order, t_us, ts, text."""
-    names = {f.name: f.dataType.simpleString() for f in events.schema}
-    out = ", ".join(f"{k} {names[k]}" for k in keys) + ", attempt int, start_us bigint, outcome string, retried boolean"
-    return _stateful(events.withWatermark("ts", delay), keys, p.Attempts(keys, timeout, attempts), out, "EventTime")
+    kinds = {f.name: f.dataType for f in events.schema}
+    texts = [F.col(k).cast("string").alias(k) for k in keys]
+    rest = [c for c in events.columns if c not in keys]
+    dealt = events.withWatermark("ts", delay).select(F.pmod(F.xxhash64(*keys), F.lit(REQUEST_SLOTS)).alias("_slot"), *texts, *rest)
+    out = ", ".join(f"{k} string" for k in keys) + ", attempt int, start_us bigint, outcome string, retried boolean"
+    settled = _stateful(dealt, ["_slot"], p.Attempts(keys, timeout, attempts), out, "EventTime")
+    return settled.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "attempt", "start_us", "outcome", "retried")

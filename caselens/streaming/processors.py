@@ -305,6 +305,9 @@ class Attempts(Ending):
     has put nothing out is retried, and at most ``attempts`` (1 or 2) are made.
 
     ``kind``: start, delta or end. A settled attempt leaves no state; its later events are ignored.
+
+    A call is given the rows of many requests, as calls cost more than rows do. Requests are
+    told apart by ``names``, which are texts; the state holds the attempts that wait.
     """
 
     def __init__(self, names: list[str], timeout: int, attempts: int) -> None:
@@ -312,7 +315,8 @@ class Attempts(Ending):
         self.names, self.timeout, self.attempts = names, timeout, min(max(attempts, 1), 2)
 
     def opened(self, handle: StatefulProcessorHandle) -> list:
-        self.state = handle.getValueState("attempt", "attempt int, start bigint")
+        keys = ", ".join(f"key{i} string" for i in range(len(self.names)))
+        self.state = handle.getListState("attempt", f"{keys}, attempt int, start bigint")
         return [self.state]
 
     def _settled(self, key, attempt: int, start: int, outcome: str) -> tuple:
@@ -321,28 +325,48 @@ class Attempts(Ending):
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=[*self.names, "attempt", "start_us", "outcome", "retried"])
 
+    def _due(self, start: int) -> int:
+        return -(-(start + self.timeout + 1) // 1000)
+
+    def _waiting(self) -> dict[tuple, tuple[int, int]]:
+        n = len(self.names)
+        return {tuple(row[:n]): (row[n], row[n + 1]) for row in self.state.get()}
+
+    def _keep(self, waiting: dict[tuple, tuple[int, int]]) -> None:
+        self.state.put([(*key, *value) for key, value in waiting.items()])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = tuple(self.state.get()) if self.state.exists() else None
+        waiting = self._waiting()
         out = []
         for event in in_order(rows, "t_us", "kind_order", "attempt"):
             now = int(event.t_us)
+            mine = tuple(v if isinstance(v, str) else None for v in (getattr(event, name) for name in self.names))
+            held = waiting.get(mine)
             if event.kind == "start":
-                if waiting is not None:
-                    out.append(self._settled(key, *waiting, "first_token_timeout"))
-                waiting = int(event.attempt), now
-            elif waiting is not None and int(event.attempt) == waiting[0] and (event.kind == "end" or event.text):
+                if held is not None:
+                    out.append(self._settled(mine, *held, "first_token_timeout"))
+                waiting[mine] = int(event.attempt), now
+            elif held is not None and int(event.attempt) == held[0] and (event.kind == "end" or event.text):
                 outcome = "completed" if event.kind == "delta" else "empty_stream"
-                out.append(self._settled(key, *waiting, outcome if now - waiting[1] <= self.timeout else "first_token_timeout"))
-                waiting = None
-        if waiting is None:
-            self.end()
+                out.append(self._settled(mine, *held, outcome if now - held[1] <= self.timeout else "first_token_timeout"))
+                del waiting[mine]
+        if waiting:
+            self._keep(waiting)
+            self.rest(min(start for _, start in waiting.values()), self.timeout + 1)
         else:
-            self.state.update(waiting)
-            self.rest(waiting[1], self.timeout + 1)
+            self.end()
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = tuple(self.state.get())
-        self.state.clear()
-        yield self._frame([self._settled(key, *waiting, "first_token_timeout")])
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        waiting = self._waiting()
+        over = {k: v for k, v in waiting.items() if self._due(v[1]) <= passed}
+        left = {k: v for k, v in waiting.items() if k not in over}
+        if left:
+            self._keep(left)
+            self.handle.registerTimer(min(self._due(start) for _, start in left.values()))
+        else:
+            self.state.clear()
+        if over:
+            yield self._frame([self._settled(k, *v, "first_token_timeout") for k, v in over.items()])

@@ -3,11 +3,13 @@
 import random
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
+from caselens.streaming.processors import Attempts
 
 
 def replay(spark, rows, schema, order, slices):
@@ -153,3 +155,52 @@ def test_slices_of_a_log_have_equally_many_files(spark):
     assert files == 3
     names = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), "pos").groupBy("f").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).collect()
     assert len(names) == 9 and sorted(sum(r.a <= x <= r.b for r in names) for x in (100, 500, 900)) == [3, 3, 3]
+
+
+class _Handle:
+    """State of one key, kept in memory."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.timers[0]
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_many_requests_share_a_call(spark):
+    held = _Handle()
+    attempts = Attempts(["a", "b"], 8000, 2)
+    attempts.init(held)
+    big = str(2**53 + 1)
+    rows = [("1", big, 1, "start", 0, 10_000, ""), (None, "7", 1, "start", 0, 11_000, ""), ("1", big, 1, "delta", 1, 12_000, "x"), ("2", None, 2, "start", 0, 15_000, "")]
+    frame = pd.DataFrame(rows, columns=["a", "b", "attempt", "kind", "kind_order", "t_us", "text"])
+    (out,) = attempts.handleInputRows((0,), iter([frame]), held)
+    assert out.to_numpy().tolist() == [["1", big, 1, 10_000, "completed", False]]
+    # the timer is that of the one that waits longest; the other goes on waiting
+    assert held.timers == [20] and held.rows == [(None, "7", 1, 11_000), ("2", None, 2, 15_000)]
+    (out,) = attempts.handleExpiredTimer((0,), held, held)
+    assert out.to_numpy().tolist() == [[None, "7", 1, 11_000, "first_token_timeout", True]]
+    assert held.rows == [("2", None, 2, 15_000)] and held.timers[-1] == 24
