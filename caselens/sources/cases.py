@@ -140,6 +140,10 @@ def _events(units: DataFrame, mode: str) -> DataFrame:
 
 def _event_batch(rows: list[dict]) -> pa.RecordBatch:
     kinds = {"file": pa.string(), "unit": pa.int64(), "ord": pa.int64(), "kind": pa.string(), "key": pa.string(), "truthy": pa.bool_(), "type": pa.string(), "raw": pa.string()} | _ARROW_TYPES
+    return _batch(rows, kinds)
+
+
+def _batch(rows: list[dict], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()], names=list(kinds))
 
 
@@ -253,11 +257,67 @@ def parse_envelopes(rows: DataFrame, key: str, text: str, mode: str = "builder")
 
     A text that is null holds no records. Keys are unique.
     """
-    units = rows.where(F.col(text).isNotNull()).select(
-        F.col(key).cast("string").alias("file"), F.lit(0).cast("bigint").alias("unit"), F.lit(0).alias("depth"), F.lit(False).alias("listed"), F.lit(True).alias("last"), F.col(text).alias("text"),
-    )
-    cases = _chosen(pinned(_events(units, mode)), mode)
-    return cases.select(F.col("file").cast(rows.schema[key].dataType).alias(key), "input_pos", *CORE_FIELDS)
+    schema = T.StructType([
+        T.StructField("file", T.StringType()), T.StructField("input_pos", T.LongType()), T.StructField("complaint", T.StringType()), *_RECORD
+    ])
+    kinds = {"file": pa.string(), "input_pos": pa.int64(), "complaint": pa.string()} | _ARROW_TYPES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told: list[dict] = []
+            for i in range(batch.num_rows):
+                for record in _told_records(batch.column(1)[i].as_py(), mode):
+                    told.append({"file": batch.column(0)[i].as_py(), **record})
+                    if len(told) == 1024:
+                        yield _batch(told, kinds)
+                        told = []
+            if told:
+                yield _batch(told, kinds)
+
+    # an envelope stands in one row, so its records are chosen where it is parsed
+    units = rows.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("file"), F.col(text).alias("text"))
+    told = pinned(units.mapInArrow(run, schema)).where("file IS NOT NULL")
+    _refuse(told.where("input_pos IS NULL").drop("input_pos"), F.col("complaint"))
+    _refuse(told, F.col("complaint"))
+    if mode == "loader":
+        told = told.withColumn("case_id", F.coalesce("case_id", "_id"))
+    return told.select(F.col("file").cast(rows.schema[key].dataType).alias(key), "input_pos", *CORE_FIELDS)
+
+
+def _told_records(text: str, mode: str) -> Iterator[dict]:
+    """The records of a whole envelope that the mode takes, typed and numbered, or what is wrong with it."""
+    names = BUILDER_KEYS if mode == "builder" else LOADER_KEYS
+    best, taken, entries = None, None, []
+    found = []
+    for kind, key, value in json_events(text.removeprefix("\ufeff"), 0, False, True):
+        if kind == "element":
+            entries.append(value)
+            continue
+        # a document that is an array has no key
+        order = 1 if key is None else names.index(key) + 1 if key in names else 0
+        entries = []
+        if order:
+            found.append((order, kind, key, "list" if kind == "open" else type(value).__name__, bool(value), entries))
+    for order, kind, key, type_, truthy, held in found:
+        full = truthy or bool(held)
+        if (mode == "loader" or full or key is None) and (best is None or order <= best[0]):
+            best, taken = (order, kind, type_), held
+    if best is None:
+        return
+    _, kind, type_ = best
+    complaint = None
+    if mode == "builder":
+        complaint = "source must be a JSON object or array" if kind == "scalar" else "items/records/list must be an array" if type_ != "list" else None
+    elif kind == "scalar" or type_ not in ("list", "dict", "str"):
+        complaint = "items must be an array"
+    if complaint:
+        yield {"complaint": complaint}
+        return
+    for place, value in enumerate(taken, 1):
+        if isinstance(value, dict):
+            yield {"input_pos": place, **typed_record(value, mode)}
+        elif mode == "builder":
+            yield {"input_pos": place, "complaint": f"record {place} is no JSON object"}
 
 
 def _placed(events: DataFrame) -> DataFrame:

@@ -270,3 +270,27 @@ def test_an_index_of_another_model_or_data_set_is_not_gone_on_with(spark, tmp_pa
         with pytest.raises(ValueError, match=message):
             refresh_index(items, data, path, "item_id", "text", model=model)
     assert refresh_index(items, now, path, "item_id", "text", model="n", resume=False).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["builder", "loader"])
+def test_envelopes_of_a_column_are_read_as_files_are_without_a_shuffle(spark, tmp_path, mode):
+    from caselens.sources.cases import parse_envelopes, read_cases
+
+    texts = [
+        '{"items":[],"records":[{"case_id":"a"},{"id":"b"}],"list":[{"case_id":"c"}]}', '[{"case_id":"d","tags":["x",null]},{"id":"e"}]',
+        '﻿{"schema_version":4,"items":[{"case_id":"f"}],"case_items":[{"case_id":"g"}]}', '{"case_items":[{"id":"h"}]}', "{}", "[]",
+    ]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text, encoding="utf-8")
+    shown = lambda rows: sorted((int(r.at), r.input_pos, r.case_id, r.tags) for r in rows.collect())
+    want = shown(read_cases(spark, str(tmp_path), mode).withColumn("at", F.regexp_extract("file", r"(\d+)\.json", 1)))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])] + [(None, "[]")], "k long, envelope string")
+    got = parse_envelopes(rows, "k", "envelope", mode)
+    assert want and shown(got.withColumn("at", F.col("k"))) == want
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    bad = {"builder": ('{"items":{"x":1}}', "must be an array"), "loader": ("3", "must be an array")}[mode]
+    with pytest.raises(ValueError, match=bad[1]):
+        parse_envelopes(spark.createDataFrame([(7, bad[0])], "k long, envelope string"), "k", "envelope", mode)
+    if mode == "builder":
+        with pytest.raises(ValueError, match="7: record 2 is no JSON object"):
+            parse_envelopes(spark.createDataFrame([(7, "[{},5]")], "k long, envelope string"), "k", "envelope", mode)
