@@ -15,8 +15,8 @@ from . import processors as p
 #: Rows of a replayed file, and how long a silent key's state is kept, in micros.
 FILE_ROWS = 1 << 17
 IDLE_US = 60 * 24 * 3600 * 1_000_000
-#: Requests are dealt by hash to so many keys of state, as each key that a trigger touches costs calls of its own.
-REQUEST_SLOTS = 1 << 10
+#: Sessions, turns and requests are dealt by hash to so many keys of state, as each key that a trigger touches costs calls of its own.
+SLOTS = 1 << 10
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -96,10 +96,23 @@ def _ending(events: DataFrame, keys: list[str], make, out: str, idle: int | None
     return _stateful(events.withWatermark("ts", delay), keys, make(idle), out, "EventTime", mode)
 
 
+def _sharing(events: DataFrame, keys: list[str], make, out: str, delay: str | None) -> DataFrame:
+    """Columns of ``keys`` and ``out`` from a processor that holds many keys in a slot. ``make`` takes
+    the names of the keys, which it sees as texts. Without ``delay`` nothing is timed."""
+    kinds = {f.name: f.dataType for f in events.schema}
+    rest = [c for c in events.columns if c not in keys]
+    if delay is not None:
+        events = events.withWatermark("ts", delay)
+    texts = [F.col(k).cast("string").alias(k) for k in keys]
+    dealt = events.select(F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot"), *texts, *rest)
+    schema = ", ".join(f"{k} string" for k in keys) + f", {out}"
+    found = _stateful(dealt, ["_slot"], make(keys), schema, "None" if delay is None else "EventTime")
+    return found.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *[c for c in found.columns if c not in keys])
+
+
 def session_stream(events: DataFrame, ttl: int, delay: str = "1 hour", idle: int | None = IDLE_US) -> DataFrame:
     """``events``: session_id, pos, t_us, ts, type, turn_no. A session is known by ``opened``, the event it began with."""
-    timed = events.withWatermark("ts", delay)
-    return _stateful(timed, ["session_id"], p.SessionStore(ttl, idle=idle), p.SESSION_OUT, "EventTime")
+    return _sharing(events, ["session_id"], lambda names: p.SessionStore(names, ttl, idle=idle), p.SESSION_OUT, delay)
 
 
 def revision_stream(partials: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
@@ -108,7 +121,7 @@ def revision_stream(partials: DataFrame, idle: int | None = None, delay: str = "
 
 def commit_stream(events: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
     """``events``: session_id, utterance_id, kind, kind_order, t_us, text."""
-    return _ending(events, ["session_id"], p.BatchCommit, p.COMMIT_OUT, idle, delay)
+    return _sharing(events, ["session_id"], lambda names: p.BatchCommit(names, idle), p.COMMIT_OUT, None if idle is None else delay)
 
 
 def transcript_stream(pieces: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
@@ -117,16 +130,13 @@ def transcript_stream(pieces: DataFrame, idle: int | None = None, delay: str = "
 
 def answers_stream(events: DataFrame, idle: int | None = None, delay: str = "1 hour") -> DataFrame:
     """``events``: session_id, turn_no, pos, type, delta."""
-    return _ending(events, ["session_id", "turn_no"], p.AnswerAssembly, p.ANSWER_OUT, idle, delay)
+    return _sharing(events, ["session_id", "turn_no"], lambda names: p.AnswerAssembly(names, idle), p.ANSWER_OUT, None if idle is None else delay)
 
 
 def capped_segment_stream(events: DataFrame, gap: int, cap: int, delay: str | None = None) -> DataFrame:
     """``events``: session_id, pos, t_us, and with ``delay`` ts. Without it the last segment of
     a session stays open; with it every segment comes out once the watermark has passed it."""
-    if delay is None:
-        return _stateful(events, ["session_id"], p.CappedSegments(gap, cap), p.SEGMENT_OUT)
-    timed = events.withWatermark("ts", delay)
-    return _stateful(timed, ["session_id"], p.CappedSegments(gap, cap, timed=True), p.SEGMENT_OUT, "EventTime")
+    return _sharing(events, ["session_id"], lambda names: p.CappedSegments(names, gap, cap, timed=delay is not None), p.SEGMENT_OUT, delay)
 
 
 def segment_stream(events: DataFrame, gap: str, delay: str) -> DataFrame:
@@ -161,10 +171,5 @@ def barge_in_stream(onsets: DataFrame, partials: DataFrame, keys: list[str], wit
 def attempt_stream(events: DataFrame, keys: list[str], timeout: int, delay: str, attempts: int = 2) -> DataFrame:
     """(keys, attempt, start_us, outcome, retried) of every attempt, once it is settled.
     ``events``: keys, attempt, kind (start, delta, end), kind_order, t_us, ts, text."""
-    kinds = {f.name: f.dataType for f in events.schema}
-    texts = [F.col(k).cast("string").alias(k) for k in keys]
-    rest = [c for c in events.columns if c not in keys]
-    dealt = events.withWatermark("ts", delay).select(F.pmod(F.xxhash64(*keys), F.lit(REQUEST_SLOTS)).alias("_slot"), *texts, *rest)
-    out = ", ".join(f"{k} string" for k in keys) + ", attempt int, start_us bigint, outcome string, retried boolean"
-    settled = _stateful(dealt, ["_slot"], p.Attempts(keys, timeout, attempts), out, "EventTime")
-    return settled.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "attempt", "start_us", "outcome", "retried")
+    out = "attempt int, start_us bigint, outcome string, retried boolean"
+    return _sharing(events, keys, lambda names: p.Attempts(names, timeout, attempts), out, delay)

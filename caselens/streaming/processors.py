@@ -1,4 +1,4 @@
-"""Stateful processors. Each handles the rows of one key in arrival order and keeps only
+"""Stateful processors. Each handles the rows of a key, or of many, in arrival order and keeps only
 bounded state; the trigger's rate limit bounds the rows of one call."""
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from typing import Any
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SESSION_OUT = "session_id bigint, pos bigint, opened bigint, history bigint, superseded bigint"
+SESSION_OUT = "pos bigint, opened bigint, history bigint, superseded bigint"
 REVISION_OUT = "session_id bigint, arrival bigint, utterance_id int, revision int, accepted boolean"
-COMMIT_OUT = "session_id bigint, generation bigint, committed_id bigint, utterances bigint, text string, rejected boolean"
+COMMIT_OUT = "generation bigint, committed_id bigint, utterances bigint, text string, rejected boolean"
 TRANSCRIPT_OUT = "stream bigint, arrival bigint, text string, language string"
-ANSWER_OUT = "session_id bigint, turn_no bigint, outcome string, answer string"
-SEGMENT_OUT = "session_id bigint, start bigint, end bigint, blocks bigint"
+ANSWER_OUT = "outcome string, answer string"
+SEGMENT_OUT = "start bigint, end bigint, blocks bigint"
 FINAL_TYPES = ("turn.completed", "turn.failed", "turn.cancelled")
 
 
@@ -70,26 +70,86 @@ def _latest(events: list) -> int:
     return max(int(event.t_us) for event in events)
 
 
-class SessionStore(Ending):
+class Sharing(Ending):
+    """A processor whose calls are given the rows of many keys, as calls cost more than rows do.
+
+    Keys are told apart by ``names``, which are texts. State is held in lists whose rows begin
+    with the key; the only timer fires at the first time at which something of a key is due."""
+
+    def __init__(self, names: list[str], idle: int | None = None) -> None:
+        super().__init__(idle)
+        self.names = names
+
+    def listed(self, handle: StatefulProcessorHandle, name: str, fields: str):
+        keys = ", ".join(f"key{i} string" for i in range(len(self.names)))
+        return handle.getListState(name, f"{keys}, {fields}")
+
+    def key_of(self, event) -> tuple:
+        return tuple(v if isinstance(v, str) else None for v in (getattr(event, name) for name in self.names))
+
+    def held(self, state) -> Iterator[tuple[tuple, tuple]]:
+        n = len(self.names)
+        return ((tuple(row[:n]), tuple(row[n:])) for row in state.get())
+
+    @staticmethod
+    def keep(state, rows: list[tuple]) -> None:
+        state.put(rows) if rows else state.clear()
+
+    def due(self, micros: int) -> int:
+        return -(-micros // 1000)
+
+    def wake(self, dues: list[int]) -> None:
+        """Have the only timer fire at the first of these times; none are given if no timer is needed."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if dues:
+            self.handle.registerTimer(min(dues))
+
+    @staticmethod
+    def passed(timerValues, expiredTimerInfo) -> int:
+        return max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+
+class SessionStore(Sharing):
     """The event that opened the session, bounded history size and superseded turn per event.
     A session expires after ``ttl`` micros of silence unless a turn is active; an event-time
     timer then drops its state. One with an active turn is kept until the turn ends, but for
-    no longer than ``idle`` micros of silence."""
+    no longer than ``idle`` micros of silence. A call holds many sessions."""
 
-    def __init__(self, ttl: int, max_turns: int = 20, idle: int | None = None) -> None:
-        super().__init__(ttl)
+    def __init__(self, names: list[str], ttl: int, max_turns: int = 20, idle: int | None = None) -> None:
+        super().__init__(names, ttl)
         self.ttl, self.max_turns, self.longest = ttl, max_turns, idle
 
     def opened(self, handle: StatefulProcessorHandle) -> list:
-        self.state = handle.getValueState("session", "opened bigint, last_seen bigint, active bigint")
-        self.turns = handle.getListState("turns", "turn_no bigint, pos bigint")
+        self.state = self.listed(handle, "session", "opened bigint, last_seen bigint, active bigint")
+        self.turns = self.listed(handle, "turns", "turn_no bigint, pos bigint")
         return [self.state, self.turns]
 
+    def _sessions(self) -> dict[tuple, list]:
+        """[opened, last seen, active turn, history] of every session that is held."""
+        sessions = {key: [*value, []] for key, value in self.held(self.state)}
+        for key, turn in self.held(self.turns):
+            sessions[key][3].append(turn)
+        return sessions
+
+    def _store(self, sessions: dict[tuple, list]) -> None:
+        self.keep(self.state, [(*key, *value[:3]) for key, value in sessions.items()])
+        self.keep(self.turns, [(*key, *turn) for key, value in sessions.items() for turn in value[3]])
+        ends = [self._end(value) for value in sessions.values()]
+        self.wake([end for end in ends if end is not None])
+
+    def _end(self, session: list) -> int | None:
+        if session[2] < 0:
+            return self.due(session[1] + self.ttl)
+        # an active session does not expire by silence of ttl
+        return None if self.longest is None else self.due(session[1] + max(self.ttl, self.longest))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, seen, active = self.state.get() if self.state.exists() else (None, 0, -1)
-        history = [tuple(t) for t in self.turns.get()]
+        sessions = self._sessions()
         out = []
         for event in in_order(rows, "pos"):
+            mine = self.key_of(event)
+            first, seen, active, history = sessions.get(mine) or (None, 0, -1, [])
             if first is None or (event.t_us - seen >= self.ttl and active < 0):
                 first, history = int(event.pos), []
             replaced = -1
@@ -99,25 +159,18 @@ class SessionStore(Ending):
                 if event.type == "turn.completed":
                     history = [*history, (int(event.turn_no), int(event.pos))][-self.max_turns :]
                 active = -1
-            seen = int(event.t_us)
-            out.append((key[0], event.pos, first, len(history), replaced))
+            sessions[mine] = [first, int(event.t_us), active, history]
+            out.append((*mine, event.pos, first, len(history), replaced))
+        self._store(sessions)
         if out:
-            self.state.update((first, seen, active))
-            self.turns.put(history) if history else self.turns.clear()
-            self.rest(seen)
-            yield pd.DataFrame(out, columns=["session_id", "pos", "opened", "history", "superseded"])
+            yield pd.DataFrame(out, columns=[*self.names, "pos", "opened", "history", "superseded"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _first, seen, active = self.state.get()
-        if active >= 0:
-            # an active session does not expire by silence of ttl
-            if self.longest is None:
-                return iter(())
-            last = -(-(seen + self.longest) // 1000)
-            if timerValues.getCurrentWatermarkInMs() < last:
-                self.handle.registerTimer(last)
-                return iter(())
-        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        passed = self.passed(timerValues, expiredTimerInfo)
+        sessions = self._sessions()
+        ends = {mine: self._end(session) for mine, session in sessions.items()}
+        self._store({k: v for k, v in sessions.items() if ends[k] is None or ends[k] > passed})
+        return iter(())
 
 
 class RevisionFilter(Ending):
@@ -147,51 +200,69 @@ class RevisionFilter(Ending):
             yield pd.DataFrame(out, columns=["session_id", "arrival", "utterance_id", "revision", "accepted"])
 
 
-class BatchCommit(Ending):
+class BatchCommit(Sharing):
     """Commits a batch when no utterance is open or pending. ``kind``: start, final, or
     reset (typed text, interrupt, cancel), which raises the generation and drops the batch;
-    finals of an older generation are ignored."""
+    finals of an older generation are ignored. A call holds many sessions."""
 
     def opened(self, handle: StatefulProcessorHandle) -> list:
-        self.texts = handle.getMapState("texts", "utterance_id bigint", "text string")
-        self.open = handle.getMapState("open", "utterance_id bigint", "generation bigint")
-        self.generation = handle.getValueState("generation", "generation bigint")
+        self.texts = self.listed(handle, "texts", "utterance_id bigint, text string")
+        self.open = self.listed(handle, "open", "utterance_id bigint, generation bigint")
+        self.generation = self.listed(handle, "generation", "generation bigint, last bigint")
         return [self.texts, self.open, self.generation]
 
+    def _sessions(self) -> dict[tuple, list]:
+        """[generation, last event, texts, open utterances] of every session that is held."""
+        sessions = {key: [*value, {}, {}] for key, value in self.held(self.generation)}
+        for key, (utterance, text) in self.held(self.texts):
+            sessions[key][2][utterance] = text
+        for key, (utterance, generation) in self.held(self.open):
+            sessions[key][3][utterance] = generation
+        return sessions
+
+    def _store(self, sessions: dict[tuple, list]) -> None:
+        self.keep(self.generation, [(*key, *value[:2]) for key, value in sessions.items()])
+        self.keep(self.texts, [(*key, *each) for key, value in sessions.items() for each in value[2].items()])
+        self.keep(self.open, [(*key, *each) for key, value in sessions.items() for each in value[3].items()])
+        if self.idle is not None:
+            self.wake([self.due(value[1] + self.idle) for value in sessions.values()])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        generation = self.generation.get()[0] if self.generation.exists() else 0
-        texts = {k[0]: v[0] for k, v in self.texts.iterator()}
-        pending = {k[0]: v[0] for k, v in self.open.iterator()}
+        sessions = self._sessions()
         out = []
-        events = list(in_order(rows, "t_us", "kind_order", "utterance_id"))
-        for event in events:
+        touched: dict[tuple, int] = {}
+        for event in in_order(rows, "t_us", "kind_order", "utterance_id"):
+            mine = self.key_of(event)
+            session = sessions.setdefault(mine, [0, 0, {}, {}])
+            generation, _, texts, pending = session
             utterance = int(event.utterance_id)
+            touched[mine] = int(event.t_us)
             if event.kind == "reset":
-                generation += 1
-                texts, pending = {}, {}
+                session[0], session[2], session[3] = generation + 1, {}, {}
             elif event.kind == "start":
                 pending[utterance] = generation
             elif pending.pop(utterance, None) == generation:
                 texts[utterance] = event.text or ""
                 if not pending:
                     spoken = [texts[i].strip() for i in sorted(texts) if texts[i].strip()]
-                    out.append((key[0], generation, max(texts), len(texts), " ".join(spoken), not spoken))
-                    texts = {}
-        self.generation.update((generation,))
-        self._store(self.texts, texts)
-        self._store(self.open, pending)
-        if events and self.idle is not None:
-            self.rest(_latest(events))
+                    out.append((*mine, generation, max(texts), len(texts), " ".join(spoken), not spoken))
+                    session[2] = {}
+        for mine, last in touched.items():
+            sessions[mine][1] = last
+        self._store(sessions)
         if out:
-            yield pd.DataFrame(
-                out, columns=["session_id", "generation", "committed_id", "utterances", "text", "rejected"]
-            )
+            yield pd.DataFrame(out, columns=[*self.names, "generation", "committed_id", "utterances", "text", "rejected"])
 
-    @staticmethod
-    def _store(state, values: dict) -> None:
-        state.clear()
-        for name, value in values.items():
-            state.updateValue((name,), (value,))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = self.passed(timerValues, expiredTimerInfo)
+        self._store({k: v for k, v in self._sessions().items() if self.due(v[1] + self.idle) > passed})
+        return iter(())
+
+
+def _store(state, values: dict) -> None:
+    state.clear()
+    for name, value in values.items():
+        state.updateValue((name,), (value,))
 
 
 class Transcript(Ending):
@@ -220,7 +291,7 @@ class Transcript(Ending):
             if event.lg:
                 number = int(event.sn)
                 tags[number] = (event.lg, tags[number][1] if number in tags else last)
-        BatchCommit._store(self.pieces, pieces)
+        _store(self.pieces, pieces)
         self.tags.clear()
         for number, value in tags.items():
             self.tags.updateValue((number,), value)
@@ -234,68 +305,109 @@ class Transcript(Ending):
         yield pd.DataFrame([(key[0], last, text, language)], columns=["stream", "arrival", "text", "language"])
 
 
-class AnswerAssembly(Ending):
-    """Collects the deltas of a turn and emits the answer at its first terminal event."""
+class AnswerAssembly(Sharing):
+    """Collects the deltas of a turn and emits the answer at its first terminal event.
+    A call holds many turns."""
 
     def opened(self, handle: StatefulProcessorHandle) -> list:
-        self.deltas = handle.getListState("deltas", "text string")
-        self.done = handle.getValueState("done", "done boolean")
+        self.deltas = self.listed(handle, "deltas", "text string, last bigint")
+        self.done = self.listed(handle, "done", "last bigint")
         return [self.deltas, self.done]
 
+    def _turns(self) -> tuple[dict[tuple, list], dict[tuple, int]]:
+        """[deltas, last event] of every turn that is open, and the last event of every one that is done."""
+        turns: dict[tuple, list] = {}
+        for key, (text, last) in self.held(self.deltas):
+            turns.setdefault(key, [[], last])[0].append(text)
+        return turns, {key: last for key, (last,) in self.held(self.done)}
+
+    def _store(self, turns: dict[tuple, list], done: dict[tuple, int]) -> None:
+        self.keep(self.deltas, [(*key, text, last) for key, (texts, last) in turns.items() for text in texts])
+        self.keep(self.done, [(*key, last) for key, last in done.items()])
+        if self.idle is not None:
+            lasts = [last for texts, last in turns.values() if texts] + list(done.values())
+            self.wake([self.due(min(lasts) + self.idle)] if lasts else [])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = list(in_order(rows, "pos"))
-        if events and self.idle is not None:
-            self.rest(_latest(events))
-        if self.done.exists():
-            return
-        parts = [t[0] for t in self.deltas.get()]
-        for event in events:
+        turns, done = self._turns()
+        out = []
+        latest: dict[tuple, int] = {}
+        for event in in_order(rows, "pos"):
+            mine = self.key_of(event)
+            if self.idle is not None:
+                latest[mine] = max(int(event.t_us), latest.get(mine, 0))
+            if mine in done:
+                continue
             if event.type in FINAL_TYPES:
-                self.deltas.clear()
-                self.done.update((True,))
-                yield pd.DataFrame(
-                    [(key[0], key[1], event.type, "".join(parts))],
-                    columns=["session_id", "turn_no", "outcome", "answer"],
-                )
-                return
-            if event.type == "response.text.delta" and event.delta:
-                parts.append(event.delta)
-        if parts:
-            self.deltas.put([(p,) for p in parts])
-
-
-class CappedSegments(Ending):
+                texts, _ = turns.pop(mine, ([], 0))
+                done[mine] = 0
+                out.append((*mine, event.type, "".join(texts)))
+            elif event.type == "response.text.delta" and event.delta:
+                turns.setdefault(mine, [[], 0])[0].append(event.delta)
+        for mine, last in latest.items():
+            if mine in done:
+                done[mine] = last
+            elif mine in turns:
+                turns[mine][1] = last
+        self._store(turns, done)
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, "outcome", "answer"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = self.passed(timerValues, expiredTimerInfo)
+        turns, done = self._turns()
+        self._store(
+            {k: v for k, v in turns.items() if self.due(v[1] + self.idle) > passed},
+            {k: last for k, last in done.items() if self.due(last + self.idle) > passed},
+        )
+        return iter(())
+
+
+class CappedSegments(Sharing):
     """Segments closed by silence or by the length cap; a segment is emitted when the next
     one starts. With ``timed`` an event-time timer emits it as soon as no event can join it
-    any more, and drops the state."""
+    any more, and drops its state. A call holds many sessions."""
 
-    def __init__(self, gap: int, cap: int, timed: bool = False) -> None:
-        super().__init__(gap if timed else None)
+    def __init__(self, names: list[str], gap: int, cap: int, timed: bool = False) -> None:
+        super().__init__(names, gap if timed else None)
         self.gap, self.cap = gap, cap
 
     def opened(self, handle: StatefulProcessorHandle) -> list:
-        self.state = handle.getValueState("segment", "start bigint, last bigint, blocks bigint")
+        self.state = self.listed(handle, "segment", "start bigint, last bigint, blocks bigint")
         return [self.state]
 
+    def _end(self, segment: tuple) -> int:
+        return self.due(min(segment[1] + self.gap + 1, segment[0] + self.cap))
+
+    def _store(self, segments: dict[tuple, tuple]) -> None:
+        self.keep(self.state, [(*key, *value) for key, value in segments.items()])
+        if self.idle is not None:
+            self.wake([self._end(value) for value in segments.values()])
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*self.names, "start", "end", "blocks"])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, last, blocks = self.state.get() if self.state.exists() else (0, 0, 0)
+        segments = dict(self.held(self.state))
         out = []
         for event in in_order(rows, "pos"):
-            now = int(event.t_us)
+            mine, now = self.key_of(event), int(event.t_us)
+            start, last, blocks = segments.get(mine, (now, now, 0))
             if blocks and (now - last > self.gap or now - start >= self.cap):
-                out.append((key[0], start, last, blocks))
-                blocks = 0
-            start, last, blocks = (start if blocks else now), now, blocks + 1
-        self.state.update((start, last, blocks))
-        if self.idle is not None:
-            self.rest(min(last + self.gap + 1, start + self.cap), 0)
+                out.append((*mine, start, last, blocks))
+                start, blocks = now, 0
+            segments[mine] = start, now, blocks + 1
+        self._store(segments)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "start", "end", "blocks"])
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, last, blocks = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(key[0], start, last, blocks)], columns=["session_id", "start", "end", "blocks"])
+        passed = self.passed(timerValues, expiredTimerInfo)
+        segments = dict(self.held(self.state))
+        over = {k: v for k, v in segments.items() if self._end(v) <= passed}
+        self._store({k: v for k, v in segments.items() if k not in over})
+        if over:
+            yield self._frame([(*k, *v) for k, v in over.items()])
 
 
 class Attempts(Ending):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
-from caselens.streaming.processors import Attempts
+from caselens.streaming.processors import Attempts, BatchCommit
 
 
 def replay(spark, rows, schema, order, slices):
@@ -204,3 +204,37 @@ def test_many_requests_share_a_call(spark):
     (out,) = attempts.handleExpiredTimer((0,), held, held)
     assert out.to_numpy().tolist() == [[None, "7", 1, 11_000, "first_token_timeout", True]]
     assert held.rows == [("2", None, 2, 15_000)] and held.timers[-1] == 24
+
+
+class _Handles(_Handle):
+    """Several states of one key, kept in memory."""
+
+    def __init__(self):
+        super().__init__()
+        self.lists = {}
+
+    def getListState(self, name, schema):
+        return self.lists.setdefault(name, _Handle())
+
+
+def _called(processor, columns, rows):
+    """The processor's states after a call with these rows, and what it put out."""
+    held = _Handles()
+    processor.init(held)
+    out = [list(r) for f in processor.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), held) for r in f.to_numpy().tolist()]
+    return held, {name: state.rows for name, state in held.lists.items()}, out
+
+
+def _fired(processor, held):
+    out = [list(r) for f in processor.handleExpiredTimer((0,), held, held) for r in f.to_numpy().tolist()]
+    return {name: state.rows for name, state in held.lists.items()}, held.timers[-1], out
+
+
+def test_many_sessions_of_commits_share_a_call():
+    rows = [("1", 1, "start", 0, 10_000, ""), ("2", 1, "start", 0, 11_000, ""), (None, 1, "start", 0, 12_000, ""), ("1", 1, "final", 1, 13_000, " a "), ("2", 2, "start", 0, 14_000, ""), ("2", 1, "final", 1, 15_000, "b")]
+    commit = BatchCommit(["session_id"], 8000)
+    held, left, out = _called(commit, ["session_id", "utterance_id", "kind", "kind_order", "t_us", "text"], rows)
+    assert out == [["1", 0, 1, 1, "a", False]] and held.timers == [20]
+    assert left == {"texts": [("2", 1, "b")], "open": [("2", 2, 0), (None, 1, 0)], "generation": [("1", 0, 13_000), ("2", 0, 15_000), (None, 0, 12_000)]}
+    left, timer, _ = _fired(commit, held)
+    assert [r[0] for r in left["generation"]] == ["1", "2"] and left["open"] == [("2", 2, 0)] and timer == 21
