@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
-from caselens.streaming.processors import Attempts, BatchCommit
+from caselens.streaming.processors import Attempts, BatchCommit, CappedSegments
 
 
 def replay(spark, rows, schema, order, slices):
@@ -238,3 +238,13 @@ def test_many_sessions_of_commits_share_a_call():
     assert left == {"texts": [("2", 1, "b")], "open": [("2", 2, 0), (None, 1, 0)], "generation": [("1", 0, 13_000), ("2", 0, 15_000), (None, 0, 12_000)]}
     left, timer, _ = _fired(commit, held)
     assert [r[0] for r in left["generation"]] == ["1", "2"] and left["open"] == [("2", 2, 0)] and timer == 21
+
+
+def test_many_capped_segments_share_a_call():
+    rows = [("1", 1, 10_000), ("2", 2, 11_000), ("1", 3, 12_000), (None, 4, 13_000), ("1", 5, 30_000)]
+    segments = CappedSegments(["session_id"], 5000, 50_000, timed=True)
+    held, left, out = _called(segments, ["session_id", "pos", "t_us"], rows)
+    assert out == [["1", 10_000, 12_000, 2]] and held.timers == [17]
+    left, timer, out = _fired(segments, held)
+    assert out == [["2", 11_000, 11_000, 1]] and timer == 19
+    assert left == {"segment": [("1", 30_000, 30_000, 1), (None, 13_000, 13_000, 1)]}
