@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
-from caselens.streaming.processors import Attempts, BatchCommit, CappedSegments
+from caselens.streaming.processors import AnswerAssembly, Attempts, BatchCommit, CappedSegments
 
 
 def replay(spark, rows, schema, order, slices):
@@ -248,3 +248,13 @@ def test_many_capped_segments_share_a_call():
     left, timer, out = _fired(segments, held)
     assert out == [["2", 11_000, 11_000, 1]] and timer == 19
     assert left == {"segment": [("1", 30_000, 30_000, 1), (None, 13_000, 13_000, 1)]}
+
+
+def test_many_turns_share_a_call():
+    rows = [("1", "1", 1, 10_000, "response.text.delta", "a"), ("1", "2", 2, 11_000, "response.text.delta", "b"), ("1", "1", 3, 12_000, "turn.completed", ""), ("1", "1", 4, 13_000, "turn.failed", ""), (None, "1", 5, 14_000, "turn.failed", "")]
+    answers = AnswerAssembly(["session_id", "turn_no"], 8000)
+    held, left, out = _called(answers, ["session_id", "turn_no", "pos", "t_us", "type", "delta"], rows)
+    assert out == [["1", "1", "turn.completed", "a"], [None, "1", "turn.failed", ""]] and held.timers == [19]
+    assert left == {"deltas": [("1", "2", "b", 11_000)], "done": [("1", "1", 13_000), (None, "1", 14_000)]}
+    left, timer, _ = _fired(answers, held)
+    assert left == {"deltas": [], "done": [("1", "1", 13_000), (None, "1", 14_000)]} and timer == 21
