@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
-from caselens.streaming.processors import AnswerAssembly, Attempts, BatchCommit, CappedSegments
+from caselens.streaming.processors import AnswerAssembly, Attempts, BatchCommit, CappedSegments, SessionStore
 
 
 def replay(spark, rows, schema, order, slices):
@@ -258,3 +258,14 @@ def test_many_turns_share_a_call():
     assert left == {"deltas": [("1", "2", "b", 11_000)], "done": [("1", "1", 13_000), (None, "1", 14_000)]}
     left, timer, _ = _fired(answers, held)
     assert left == {"deltas": [], "done": [("1", "1", 13_000), (None, "1", 14_000)]} and timer == 21
+
+
+def test_many_sessions_of_the_store_share_a_call():
+    rows = [("1", 1, 10_000, "turn.started", 1), ("2", 2, 11_000, "turn.started", 1), ("1", 3, 12_000, "turn.completed", 1), (None, 4, 13_000, "turn.failed", 1), ("2", 5, 14_000, "turn.started", 2), ("1", 6, 21_000, "turn.failed", 2)]
+    store = SessionStore(["session_id"], 8000, idle=20_000)
+    held, left, out = _called(store, ["session_id", "pos", "t_us", "type", "turn_no"], rows)
+    assert out == [["1", 1, 1, 0, -1], ["2", 2, 2, 0, -1], ["1", 3, 1, 1, -1], [None, 4, 4, 0, -1], ["2", 5, 2, 0, 1], ["1", 6, 6, 0, -1]]
+    # the silent one goes, the one with an active turn is kept for longer
+    assert held.timers == [21] and left["turns"] == []
+    left, timer, _ = _fired(store, held)
+    assert left["session"] == [("1", 6, 21_000, -1), ("2", 2, 14_000, 2)] and timer == 29
