@@ -420,6 +420,37 @@ def test_perplexity_is_modified_kneser_ney_and_rejects_noise(spark):
     assert (totals <= 1 + 1e-4).all() and totals.max() > 0.99
 
 
+def test_log_perplexity_is_that_of_a_brute_force_model_of_whole_characters(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 300)
+    rng = random.Random(26)
+    letters = "abcé üλж中文字🙂 7$\n"
+    rows = [(i, "".join(rng.choice(letters) for _ in range(rng.choice([3, 60, 200]))), rng.choice(["en", "zh", None])) for i in range(60)] + [(90, "", "en"), (91, None, "fr")]
+    grams = collections.defaultdict(collections.Counter)
+    cut = {i: "\0\0\0" + re.sub("[ \t-\r]+", " ", (t or "").lower()) for i, t, _ in rows}
+    for i, _, lang in rows:
+        grams[lang or ""].update(cut[i][k - 3 : k + 1] for k in range(3, len(cut[i])))
+    want = {}
+    for lang, four in grams.items():
+        orders = [four]
+        for _ in range(3):
+            orders.insert(0, collections.Counter(g[1:] for g in orders[0]))
+        p = {}
+        for n in orders:
+            seen = [max(1, sum(v == k for v in n.values())) for k in (1, 2, 3, 4)]
+            y = seen[0] / (seen[0] + 2 * seen[1])
+            d = [min(max(k - (k + 1) * y * seen[k] / seen[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+            total, off = collections.Counter(), collections.Counter()
+            for g, v in n.items():
+                total[g[:-1]] += v
+                off[g[:-1]] += d[min(v, 3) - 1]
+            p.update({g: (v - d[min(v, 3) - 1]) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * (p[g[1:]] if len(g) > 1 else 1 / (len(n) + 1)) for g, v in n.items()})
+        for i, _, one in rows:
+            if (one or "") == lang and len(cut[i]) > 3:
+                want[i] = -float(np.mean([np.log(p[cut[i][k - 3 : k + 1]]) for k in range(3, len(cut[i]))]))
+    got = {r["doc_id"]: r["log_perplexity"] for r in quality.quality_verdicts(frame(spark, rows)).collect()}
+    assert {i: v for i, v in got.items() if v is not None} == pytest.approx(want, abs=1e-5) and len(got) == len(rows)
+
+
 def test_band_rejects_short_symbols_tables_and_gibberish(spark):
     rng = random.Random(16)
     parts = ["the", "ing", "and", "er", "th", "on"]
