@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -154,3 +155,34 @@ def test_capped_segments_match_a_sequential_walk(spark):
         seen[k] = (start, t, number)
         expected.append((k, pos, number))
     assert sorted((r.k, r.pos, r.segment) for r in got.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_long_terms_are_not_sent_to_shards(spark, monkeypatch, passes):
+    rng = random.Random(13)
+    lines = ["".join(rng.choice("abcdefgh 中") for _ in range(rng.choice([16, 40, 90]))) for _ in range(120)]
+    # lines that begin alike, overlap, hold each other or repeat
+    lines += [lines[0] + lines[1], lines[2] * 2, "shared beginning " + lines[3], "shared beginning " + lines[4], "a" * 16, "a" * 20]
+    texts = [(i, "\n".join([lines[i], *rng.choices(lines, k=20)])) for i in range(len(lines))] + [(900, None), (901, ""), (902, "a" * 50)]
+    written, pin = [], match.pinned
+
+    def counting(df):
+        rows = pin(df)
+        columns = [f.name for f in rows.schema if f.dataType.typeName() == "string"]
+        written.append(sum(rows.selectExpr(f"coalesce(sum(length({c})), 0)").first()[0] for c in columns))
+        return rows
+
+    monkeypatch.setattr(match, "pinned", counting)
+    monkeypatch.setattr(match, "PLAN_TERMS", -(-len(set(lines)) // passes))
+    monkeypatch.setattr(match, "PLACES", 50)
+    t = spark.createDataFrame(texts, "id int, text string")
+    d = spark.createDataFrame([(w, i) for i, w in enumerate(sorted(set(lines) | {"cab", "ab"}))], "line string, no int")
+    got = sorted(map(tuple, find_terms(t, ["id"], "text", d, "line", shard_chars=400).collect()))
+    words = set(lines) | {"cab", "ab"}
+    want = sorted((i, p + 1, w) for i, x in texts if x for w in words for p in range(len(x)) if x.startswith(w, p))
+    assert got == want
+    # the texts were written once for nearly each of 16 shards
+    assert sum(written) < sum(len(x or "") for _, x in texts)
+    numbers = {w: i for i, w in enumerate(sorted(words))}
+    told = find_terms(t, ["id"], "text", d, "line", shard_chars=400, number="no")
+    assert sorted(map(tuple, told.collect())) == sorted((i, p, numbers[w]) for i, p, w in want)
