@@ -19,6 +19,8 @@ LEAST_WORDS = 5
 LEAST_CHARS = 10
 #: Word counts are kept by hash in so many cells; words of one cell count together, which only changes the order.
 CELLS = 1 << 16
+#: Sets of fewer words than the first are told apart by 128 bits alone; those of fewer than the second by so many 64 bits more.
+WIDE = ((192, 0), (768, 8), (1 << 30, 32))
 #: Prefix words are joined in so many passes over their hashes, so that a pass needs disk for its own part alone.
 PASSES = 4
 
@@ -69,7 +71,9 @@ _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
   AND {100 + PERCENT} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
   AND {100 + PERCENT} * ((x.n + y.n - bit_count(x.low ^ y.low) - bit_count(x.high ^ y.high)) div 2) >= {PERCENT} * (x.n + y.n)
   AND {100 + PERCENT} * (({_prefix_length("x.n")} + {_prefix_length("y.n")} - bit_count(x.bits ^ y.bits)) div 2
-    + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)"""
+    + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)
+  AND (x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR {100 + PERCENT} * ((x.n + y.n
+    - aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)) div 2) >= {PERCENT} * (x.n + y.n))"""
 
 
 #: Whether a shared word is the first that x and y share, as far as the two words before it tell. A pair always
@@ -83,8 +87,17 @@ def _version(text: Column) -> Column:
 
 
 def _bits(words: str, condition: str = "true") -> Column:
-    """The sum set of 64 bits that words mark by their hash."""
-    return F.expr(f"aggregate({words}, 0L, (a, k) -> a | if({condition}, shiftleft(1L, CAST(k & 63 AS INT)), 0L))")
+    """64 bits, each set if an odd number of words has it by their hash, so that they tell many words apart as well as few."""
+    return F.expr(f"aggregate({words}, 0L, (a, k) -> a ^ if({condition}, shiftleft(1L, CAST(k & 63 AS INT)), 0L))")
+
+
+def _wide(words: str) -> Column:
+    """Further such bits of a long line, null for others."""
+    out = F.lit(None).cast("array<bigint>")
+    for (least, _), (below, many) in reversed([*zip(WIDE, WIDE[1:], strict=False)]):
+        part = f"transform(sequence(0, {many - 1}), j -> aggregate({words}, 0L, (a, k) -> a ^ if((k >> 7) & {many - 1} = j, shiftleft(1L, CAST(k & 63 AS INT)), 0L)))"
+        out = F.when((F.size(words) >= least) & (F.size(words) < below), F.expr(part)).otherwise(out)
+    return out
 
 
 class LineJoin:
@@ -112,13 +125,13 @@ class LineJoin:
         place = (F.shiftleft("version", 32) + F.col("line")).alias("place")
         lines = self.scratch.write(keyed.select(
             F.struct("id", place).alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"),
-            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"), *([] if short_chars is None else [F.col("whole")]),
+            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"), _wide("k").alias("wide"), *([] if short_chars is None else [F.col("whole")]),
         ))
         # a filter before the writing would have all keys made twice
         short, lines = lines, lines.where(F.col("n") >= LEAST_WORDS)
         #: The first line of every different word set, with its prefix.
-        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high")))
-        self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "h1", "h2"))
+        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high", "wide")))
+        self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "wide", "h1", "h2"))
         #: The other lines of every class.
         lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
         copies = lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at")
@@ -143,7 +156,9 @@ class LineJoin:
         sets = self.scratch.write(cut.select(F.struct("id", place).alias("at"), word_keys(F.col("c.content"), self.ranks).alias("k")))
         both = pairs.join(sets.toDF("later", "k1"), "later").join(sets.toDF("earlier", "k2"), "earlier")
         shared = F.size(F.array_intersect("k1", "k2"))
-        return self.scratch.write(both.where(100 * shared >= PERCENT * (F.size("k1") + F.size("k2") - shared)).select("later", "earlier"))
+        found = self.scratch.write(both.where(100 * shared >= PERCENT * (F.size("k1") + F.size("k2") - shared)).select("later", "earlier"))
+        self.scratch.drop(pairs, sets)
+        return found
 
     def repeated(self) -> DataFrame:
         """(id, version, line) of all lines that an earlier line is similar to.
@@ -152,9 +167,9 @@ class LineJoin:
         word of their prefixes meet. Each is compared with the first of those it meets; one that
         this doesn't decide is compared with all earlier ones that the filters leave.
         """
-        base = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", "prefix", F.posexplode("prefix").alias("place", "word"))
+        base = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", "wide", "prefix", F.posexplode("prefix").alias("place", "word"))
         words = base.select(
-            "word", "at", "n", "bits", "low", "high", (F.col("place") + 1).alias("pos"),
+            "word", "at", "n", "bits", "low", "high", "wide", (F.col("place") + 1).alias("pos"),
             *(F.get("prefix", F.col("place") - i).alias(f"before{i}") for i in (1, 2)),
         )
         possible = f"x.word = y.word AND x.at > y.at AND {_POSSIBLE}"
@@ -174,6 +189,7 @@ class LineJoin:
             blocks.append(block)
         self.scratch.drop(self.classes)
         links = self.confirmed(functools.reduce(DataFrame.union, stars).distinct())
+        self.scratch.drop(*stars)
         decided = links.select(F.col("later").alias("at")).distinct()
         rests = []
         for block in blocks:
@@ -183,9 +199,11 @@ class LineJoin:
         rest = functools.reduce(DataFrame.union, rests).distinct()
         more = self.confirmed(rest)
         later = decided.union(more.select("later")).distinct()
-        return self.scratch.write(self.copies.union(later).distinct().select(
+        found = self.scratch.write(self.copies.union(later).distinct().select(
             "at.id", F.shiftright("at.place", 32).alias("version"), F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")
         ))
+        self.scratch.drop(self.copies, links, more, *rests)
+        return found
 
 
 def _without(text: Column, gone: Column) -> Column:

@@ -484,3 +484,25 @@ EMPTY = {
 @pytest.mark.parametrize("name", EMPTY)
 def test_empty_tables_give_empty_results(spark, name):
     assert EMPTY[name](frame(spark, []), spark).count() == 0
+
+
+def test_long_lines_that_share_rare_words_are_not_all_compared(spark, monkeypatch):
+    import random
+
+    from caselens.llm.lines import LineJoin, line_duplicates
+
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randrange(2000)}" for _ in range(260)) for _ in range(60)]
+    lines.append(" ".join([*lines[3].split()[:250], "other", "words"]))
+    seen, confirmed = [], LineJoin.confirmed
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return confirmed(self, pairs)
+
+    monkeypatch.setattr(LineJoin, "confirmed", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_duplicates(docs).where("n_removed > 0").collect()}
+    assert gone == {60}
+    # nearly every two of these lines share a word of their prefixes
+    assert sum(seen) < 60
