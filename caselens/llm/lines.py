@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import _marked, _perhaps
 from .store import Scratch
 
 #: Lines with Jaccard of at least PERCENT / 100 between their word sets are duplicates.
@@ -65,10 +66,14 @@ def _prefix_length(n: str) -> str:
     return f"({n} - ({PERCENT} * {n} + 99) div 100 + 1)"
 
 
-#: Whether sets x and y that share a word can be similar: by their lengths, by the word's places, and by how many
-#: words their prefixes, and the whole sets, can share at most (bits that differ are words of one of the two alone).
+def _short_prefix_length(n: str) -> str:
+    """The smaller one of two similar sets, or either of two that are as large, has one of these words in common with the other's prefix."""
+    return f"({n} - ({2 * PERCENT} * {n} + {99 + PERCENT}) div {100 + PERCENT} + 1)"
+
+
+#: Whether sets x and y can be similar, by their lengths and by how many words their prefixes, and the whole sets, can
+#: share at most (bits that differ are words of one of the two alone).
 _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
-  AND {100 + PERCENT} * (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)
   AND {100 + PERCENT} * ((x.n + y.n - bit_count(x.low ^ y.low) - bit_count(x.high ^ y.high)) div 2) >= {PERCENT} * (x.n + y.n)
   AND {100 + PERCENT} * (({_prefix_length("x.n")} + {_prefix_length("y.n")} - bit_count(x.bits ^ y.bits)) div 2
     + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)
@@ -76,6 +81,9 @@ _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
     - aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)) div 2) >= {PERCENT} * (x.n + y.n))"""
 
 
+#: Whether x and y can be similar if this word is the first that they share: all others that they share come behind it.
+_POSSIBLE_FROM_HERE = f"{100 + PERCENT} * (1 + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)"
+
 #: Whether a shared word is the first that x and y share, as far as the two words before it tell. A pair always
 #: passes at its first one; one that shares several words in a row is made once for them.
 _FIRST_MEETING = " AND ".join(f"NOT (x.before{i} <=> y.before{j} AND x.before{i} IS NOT NULL)" for i in (1, 2) for j in (1, 2))
@@ -129,9 +137,12 @@ class LineJoin:
         ))
         # a filter before the writing would have all keys made twice
         short, lines = lines, lines.where(F.col("n") >= LEAST_WORDS)
-        #: The first line of every different word set, with its prefix.
+        #: The first line of every different word set, with its prefix; numbers (seq) are in the order of the lines.
         first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high", "wide")))
-        self.classes = self.scratch.write(first.select("at", "n", "prefix", "low", "high", "wide", "h1", "h2"))
+        ordered = first.repartitionByRange("at").sortWithinPartitions("at")
+        self.classes = self.scratch.write(ordered.select(
+            F.monotonically_increasing_id().alias("seq"), "at", "n", "prefix", _bits("prefix").alias("bits"), "low", "high", "wide", "h1", "h2"
+        ))
         #: The other lines of every class.
         lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
         copies = lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at")
@@ -143,23 +154,31 @@ class LineJoin:
         self.scratch.drop(short)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (later, earlier) of first lines whose whole word sets are similar enough."""
+        """Pairs (later, earlier) of numbers of classes whose whole word sets are similar enough."""
         pairs = self.scratch.write(pairs)
-        wanted = pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct()
-        line = F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-        by_doc = wanted.groupBy("at.id", F.shiftright("at.place", 32).alias("version")).agg(F.collect_set(line).alias("wanted"))
-        # the lines are cut out before their words are looked at again
-        chosen = self.read.join(by_doc, ["id", "version"]).dropDuplicates(["id", "version"])
-        content = F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(F.split("text", "\n", -1), i).alias("content")))
-        cut = chosen.select("id", "version", F.explode(content).alias("c"))
-        place = (F.shiftleft("version", 32) + F.col("c.line")).alias("place")
-        sets = self.scratch.write(cut.select(F.struct("id", place).alias("at"), word_keys(F.col("c.content"), self.ranks).alias("k")))
+        wanted = pairs.select(F.col("later").alias("seq")).union(pairs.select("earlier")).distinct()
+        named = self.scratch.write(self.classes.select("seq", F.col("at").alias("id")).join(wanted, "seq"))
+        line = (F.shiftleft("version", 32) + F.col("line")).alias("place")
+        each = self.read.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+        # most lines are left where they are before their places are compared
+        cut = _perhaps(each.select(F.struct("id", line).alias("id"), "content"), self.scratch.write(_marked(named)))
+        chosen = cut.join(named, "id").groupBy("seq").agg(F.first("content").alias("content"))
+        sets = self.scratch.write(chosen.select("seq", word_keys(F.col("content"), self.ranks).alias("k")))
         both = pairs.join(sets.toDF("later", "k1"), "later").join(sets.toDF("earlier", "k2"), "earlier")
         shared = F.size(F.array_intersect("k1", "k2"))
         found = self.scratch.write(both.where(100 * shared >= PERCENT * (F.size("k1") + F.size("k2") - shared)).select("later", "earlier"))
-        self.scratch.drop(pairs, sets)
+        self.scratch.drop(pairs, named, sets)
         return found
 
+    def _meetings(self, number: int) -> DataFrame:
+        """(word, seq, pos, many, lead) of the classes that can meet others at a word of one pass, with the first class that has the word."""
+        words = self.classes.select("seq", "n", F.posexplode("prefix").alias("pos", "word")).where(F.pmod("word", F.lit(PASSES)) == number)
+        words = words.select("word", "seq", (F.col("pos") + 1).alias("pos"), F.expr(f"pos < {_short_prefix_length('n')}").alias("able"))
+        # a word that one prefix alone has, or that comes late in all of them, is of no more use
+        several = words.groupBy("word").agg(F.count("*").alias("many"), F.min("seq").alias("lead"), F.max("able").alias("able"))
+        several = several.where("many > 1 AND able").drop("able")
+        return self.scratch.write(words.drop("able").join(several, "word"))
+
     def repeated(self) -> DataFrame:
         """(id, version, line) of all lines that an earlier line is similar to.
 
@@ -167,42 +186,35 @@ class LineJoin:
         word of their prefixes meet. Each is compared with the first of those it meets; one that
         this doesn't decide is compared with all earlier ones that the filters leave.
         """
-        base = self.classes.select("at", "n", _bits("prefix").alias("bits"), "low", "high", "wide", "prefix", F.posexplode("prefix").alias("place", "word"))
-        words = base.select(
-            "word", "at", "n", "bits", "low", "high", "wide", (F.col("place") + 1).alias("pos"),
-            *(F.get("prefix", F.col("place") - i).alias(f"before{i}") for i in (1, 2)),
-        )
-        possible = f"x.word = y.word AND x.at > y.at AND {_POSSIBLE}"
-
-        def met(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
-            pairs = x.alias("x").join(y.alias("y"), F.expr(condition)).select(F.col("x.at").alias("later"), F.col("y.at").alias("earlier"))
-            return self.scratch.write(pairs.distinct())
-
-        blocks, stars = [], []
-        for i in range(PASSES):
-            block = words.where(F.pmod("word", F.lit(PASSES)) == i)
-            # a word that one prefix alone has is of no more use
-            several = self.scratch.write(block.groupBy("word").agg(F.count("*").alias("many"), F.min("at").alias("lead")).where("many > 1"))
-            block = self.scratch.write(block.join(several, "word").withColumn("lead", F.col("at") == F.col("lead")))
-            self.scratch.drop(several)
-            stars.append(met(block, block.where("lead"), possible))
-            blocks.append(block)
-        self.scratch.drop(self.classes)
+        about = self.classes.select("seq", "n", "bits", "low", "high", "wide")
+        meetings = [self._meetings(i) for i in range(PASSES)]
+        stars = []
+        for found in meetings:
+            pairs = found.where("seq > lead").select("seq", "lead").distinct().alias("p")
+            with_x = pairs.join(about.alias("x"), F.expr("p.seq = x.seq"))
+            near = with_x.join(about.alias("y"), F.expr(f"p.lead = y.seq AND {_POSSIBLE}"))
+            stars.append(self.scratch.write(near.select(F.col("p.seq").alias("later"), F.col("p.lead").alias("earlier"))))
         links = self.confirmed(functools.reduce(DataFrame.union, stars).distinct())
         self.scratch.drop(*stars)
-        decided = links.select(F.col("later").alias("at")).distinct()
+        decided = links.select(F.col("later").alias("seq")).distinct()
         rests = []
-        for block in blocks:
-            crowded = block.where("many > 2")
-            rests.append(met(crowded.join(decided, "at", "left_anti"), crowded.where("NOT lead"), f"{possible} AND {_FIRST_MEETING}"))
+        for found in meetings:
+            crowded = found.where("many > 2").join(self.classes.select(*about.columns, "prefix"), "seq")
+            block = self.scratch.write(crowded.select(
+                "word", *about.columns, "pos", (F.col("seq") == F.col("lead")).alias("lead"),
+                *(F.get("prefix", F.col("pos") - 1 - i).alias(f"before{i}") for i in (1, 2)),
+            ))
+            self.scratch.drop(found)
+            x, y = block.join(decided, "seq", "left_anti").alias("x"), block.where("NOT lead").alias("y")
+            met = x.join(y, F.expr(f"x.word = y.word AND x.seq > y.seq AND {_POSSIBLE} AND {_POSSIBLE_FROM_HERE} AND {_FIRST_MEETING}"))
+            rests.append(self.scratch.write(met.select(F.col("x.seq").alias("later"), F.col("y.seq").alias("earlier")).distinct()))
             self.scratch.drop(block)
-        rest = functools.reduce(DataFrame.union, rests).distinct()
-        more = self.confirmed(rest)
-        later = decided.union(more.select("later")).distinct()
-        found = self.scratch.write(self.copies.union(later).distinct().select(
+        more = self.confirmed(functools.reduce(DataFrame.union, rests).distinct())
+        later = decided.union(more.select(F.col("later").alias("seq"))).distinct()
+        found = self.scratch.write(self.copies.union(self.classes.join(later, "seq").select("at")).distinct().select(
             "at.id", F.shiftright("at.place", 32).alias("version"), F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")
         ))
-        self.scratch.drop(self.copies, links, more, *rests)
+        self.scratch.drop(self.copies, self.classes, links, more, *rests)
         return found
 
 

@@ -506,3 +506,30 @@ def test_long_lines_that_share_rare_words_are_not_all_compared(spark, monkeypatc
     assert gone == {60}
     # nearly every two of these lines share a word of their prefixes
     assert sum(seen) < 60
+
+
+def test_wide_rows_of_line_words_are_held_for_one_pass_at_a_time(spark, monkeypatch):
+    from caselens.llm.lines import line_duplicates
+    from caselens.llm.store import Scratch
+
+    live, most, write, drop = set(), [0], Scratch.write, Scratch.drop
+
+    def written(self, df):
+        out = write(self, df)
+        if {"word", "low"} <= set(df.columns):
+            live.add(out._scratch_path)
+            most[0] = max(most[0], len(live))
+        return out
+
+    def dropped(self, *tables):
+        live.difference_update(t._scratch_path for t in tables)
+        drop(self, *tables)
+
+    monkeypatch.setattr(Scratch, "write", written)
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    lines = [" ".join(f"w{(i * 7 + j) % 40}" for j in range(12)) for i in range(30)] + ["a b c d e f g h i j", "a b c d e f g h i x", "a b c d e f g h y j", "a b c d e f g h i j k"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_duplicates(docs).where("n_removed > 0").collect()}
+    sets = [set(line.split()) for line in lines]
+    assert gone == {i for i, s in enumerate(sets) if any(10 * len(s & e) >= 8 * len(s | e) for e in sets[:i])}
+    assert most[0] == 1 and not live
