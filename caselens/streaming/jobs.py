@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,8 @@ FILE_ROWS = 1 << 17
 IDLE_US = 60 * 24 * 3600 * 1_000_000
 #: Sessions, turns and requests are dealt by hash to so many keys of state, as each key that a trigger touches costs calls of its own.
 SLOTS = 1 << 10
+#: Rows that are packed at a time on their way to the slots.
+PACK_ROWS = 1 << 17
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -96,17 +101,54 @@ def _ending(events: DataFrame, keys: list[str], make, out: str, idle: int | None
     return _stateful(events.withWatermark("ts", delay), keys, make(idle), out, "EventTime", mode)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slot that holds its rows' columns as lists, in their order, their number and the latest ``ts``."""
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        slots = rows["n_slot"].to_numpy()
+        order = np.argsort(slots, kind="stable")
+        rows, slots = rows.take(pa.array(order)).combine_chunks(), slots[order]
+        first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        ends = np.r_[first, len(slots)]
+        columns = {"n_slot": pa.array(slots[first]), "n_rows": pa.array(np.diff(ends).astype(np.int64))}
+        for name in rows.column_names:
+            column = pa.concat_arrays(rows[name].chunks)
+            if name == "ts":
+                # a null counts as the earliest time
+                latest = np.maximum.reduceat(column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), first)
+                columns[name] = pa.array(latest).cast(column.type)
+            elif name != "n_slot":
+                columns[name] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), column)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK_ROWS:
+            yield packed(held)
+            held = []
+    if held:
+        yield packed(held)
+
+
 def _sharing(events: DataFrame, keys: list[str], make, out: str, delay: str | None) -> DataFrame:
     """Columns of ``keys`` and ``out`` from a processor that holds many keys in a slot. ``make`` takes
-    the names of the keys, which it sees as texts. Without ``delay`` nothing is timed."""
+    the names of the keys, which it sees as texts. Without ``delay`` nothing is timed.
+
+    Rows reach a slot in packs, as each row that is handed over costs more than what is done with it.
+    Of rows that come later than ``delay`` those are dropped whose whole pack does."""
     kinds = {f.name: f.dataType for f in events.schema}
-    rest = [c for c in events.columns if c not in keys]
-    if delay is not None:
-        events = events.withWatermark("ts", delay)
+    rest = [c for c in events.columns if c not in keys and c != "ts"]
     texts = [F.col(k).cast("string").alias(k) for k in keys]
-    dealt = events.select(F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot"), *texts, *rest)
+    timed = [] if delay is None else ["ts"]
+    dealt = events.select(F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("n_slot"), *timed, *texts, *rest)
+    lists = [f"{f.name} {'timestamp' if f.name == 'ts' else f'array<{f.dataType.simpleString()}>'}" for f in dealt.schema if f.name != "n_slot"]
+    packs = dealt.mapInArrow(_pack, ", ".join(["n_slot bigint, n_rows bigint", *lists]))
+    if delay is not None:
+        packs = packs.withWatermark("ts", delay)
     schema = ", ".join(f"{k} string" for k in keys) + f", {out}"
-    found = _stateful(dealt, ["_slot"], make(keys), schema, "None" if delay is None else "EventTime")
+    found = _stateful(packs, ["n_slot"], make(keys), schema, "None" if delay is None else "EventTime")
     return found.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *[c for c in found.columns if c not in keys])
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,8 +19,16 @@ SEGMENT_OUT = "start bigint, end bigint, blocks bigint"
 FINAL_TYPES = ("turn.completed", "turn.failed", "turn.cancelled")
 
 
+def unpacked(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of packs (``n_rows`` of them each, columns as lists); a frame of plain rows as it is."""
+    if "n_rows" not in frame.columns:
+        return frame
+    names = [c for c in frame.columns if c not in ("n_slot", "n_rows", "ts")]
+    return pd.DataFrame({name: np.concatenate([np.asarray(cell) for cell in frame[name]]) for name in names})
+
+
 def in_order(rows: Iterator[pd.DataFrame], *order: str) -> Iterator[Any]:
-    frames = [frame for frame in rows if len(frame)]
+    frames = [unpacked(frame) for frame in rows if len(frame)]
     if not frames:
         return iter(())
     return pd.concat(frames).sort_values(list(order), kind="stable").itertuples(index=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caselens.operators.activity import activity_segments, attempt_outcomes, segment_table
 from caselens.session import ensure_checkpoint_dir
 from caselens.streaming import jobs
-from caselens.streaming.processors import AnswerAssembly, Attempts, BatchCommit, CappedSegments, SessionStore
+from caselens.streaming.processors import AnswerAssembly, Attempts, BatchCommit, CappedSegments, SessionStore, unpacked
 
 
 def replay(spark, rows, schema, order, slices):
@@ -269,3 +269,23 @@ def test_many_sessions_of_the_store_share_a_call():
     assert held.timers == [21] and left["turns"] == []
     left, timer, _ = _fired(store, held)
     assert left["session"] == [("1", 6, 21_000, -1), ("2", 2, 14_000, 2)] and timer == 29
+
+
+def test_rows_reach_a_slot_in_packs(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), None if i % 7 == 0 else f"s{i % 5}", i, None if i % 11 == 0 else i * 10) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[3] for r in rows], pa.timestamp("us", "UTC")), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])],
+        names=["n_slot", "ts", "session_id", "pos"],
+    )
+    (packs,) = jobs._pack(iter([batch.slice(0, 120), batch.slice(120)]))
+    assert packs["n_slot"].to_pylist() == [0, 1, 2, 3]
+    for i, slot in enumerate(packs["n_slot"].to_pylist()):
+        mine = [r for r in rows if r[0] == slot]
+        assert packs["n_rows"][i].as_py() == len(mine)
+        assert packs["ts"].cast(pa.int64())[i].as_py() == max(r[3] or 0 for r in mine)
+        frame = unpacked(packs.slice(i, 1).to_pandas())
+        assert list(frame.columns) == ["session_id", "pos"]
+        assert [(s if isinstance(s, str) else None, int(n)) for s, n in zip(frame["session_id"], frame["pos"], strict=True)] == [(r[1], r[2]) for r in mine]
