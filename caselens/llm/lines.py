@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import functools
-import json
-import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .minhash import _marked, _perhaps
@@ -18,12 +18,10 @@ PERCENT = 80
 LEAST_WORDS = 5
 #: Where such lines are compared whole, those of fewer characters, without needless space, stay: "Yes", "}", "* * *".
 LEAST_CHARS = 10
-#: Word counts are kept by hash in so many cells; words of one cell count together, which only changes the order.
-CELLS = 1 << 16
-#: Sets of fewer words than the first are told apart by 128 bits alone; those of fewer than the second by so many 64 bits more.
-WIDE = ((192, 0), (768, 8), (1 << 30, 32))
-#: Prefix words are joined in so many passes over their hashes, so that a pass needs disk for its own part alone.
-PASSES = 4
+#: Sets of fewer words are told apart by 128 bits alone; larger ones by all their parts too.
+WIDE = 192
+#: Bits of a part's number and of the hash of its words in a token; above them stands how long these words are, the longest first.
+PART_BITS, HASH_BITS, LONGEST = 20, 36, 127
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,60 +31,48 @@ def line_words(line: Column) -> Column:
     # lower() is quick, and does the same where no other letter has a lower case
     others = line.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
     quick = F.when((F.octet_length(line) == F.length(line)) | ~others, F.lower(line))
-    return F.array_remove(F.split(quick.otherwise(F.translate(line, _UPPER, _LOWER)), r"[\x20\x09-\x0D]+"), "")
+    folded = quick.otherwise(F.translate(line, _UPPER, _LOWER))
+    # splitting at one character is quick
+    rare = functools.reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in "\t\n\x0b\f\r"))
+    return F.array_remove(F.when(rare, F.split(folded, r"[\x20\x09-\x0D]+")).otherwise(F.split(folded, " ")), "")
 
 
-def _cell(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+def _least(c: str) -> str:
+    """The fewest words of a size class; its largest sets have one word less than twice as many."""
+    return f"shiftleft({LEAST_WORDS}, {c})"
 
 
-def word_ranks(docs: DataFrame) -> Column:
-    """An array that gives each cell its rank by the words counted in it over all rows, 0 for the rarest to 255.
+def _class(n: str) -> str:
+    return f"(length(bin({n} div {LEAST_WORDS})) - 1)"
 
-    The ranks are a constant of CELLS small numbers, whatever the corpus holds.
-    """
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("content"))
-    words = lines.select(F.explode(line_words(F.col("content"))).alias("w"))
-    counts = {r["c"]: r["n"] for r in words.groupBy(_cell(F.col("w")).alias("c")).agg(F.count("*").alias("n")).collect()}
-    # eighths of the binary logarithm
-    ranks = [min(255, int(8 * math.log2(counts[c]) + 1)) if c in counts else 0 for c in range(CELLS)]
-    return F.from_json(F.lit(json.dumps(ranks, separators=(",", ":"))), "array<int>")
-
-
-def word_keys(line: Column, ranks: Column) -> Column:
-    """A line's word set as sorted numbers, the rarest word first: rank, then 55 bits of the word's hash."""
-    def key(word: Column) -> Column:
-        return F.shiftleft(F.get(ranks, _cell(word)).cast("long"), 55).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 55) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(line_words(line), key)))
 
+def _parts(c: str) -> str:
+    """Into so many parts the words are dealt by hash: enough that more of them have words than two similar sets of the class can differ in."""
+    return f"(({_least(c)} + 1) div 2 + 2)"
 
-def _prefix_length(n: str) -> str:
-    """Sets that are similar share a word among so many first ones of each."""
-    return f"({n} - ({PERCENT} * {n} + 99) div 100 + 1)"
 
+def _differing(x: str, y: str) -> str:
+    """Words that are in one alone of two similar sets of so many words, at most."""
+    return f"(({100 - PERCENT} * ({x} + {y})) div {100 + PERCENT})"
 
-def _short_prefix_length(n: str) -> str:
-    """The smaller one of two similar sets, or either of two that are as large, has one of these words in common with the other's prefix."""
-    return f"({n} - ({2 * PERCENT} * {n} + {99 + PERCENT}) div {100 + PERCENT} + 1)"
 
+#: The size class a line is dealt in, its own or, as a guest, the next one.
+_IN = f"({_class('n')} + guest)"
+#: Words of a similar set that the line meets in that class, at most.
+_MET = f"if(guest = 1, 100 * n div {PERCENT}, least(100 * n div {PERCENT}, 2 * {_least(_class('n'))} - 1))"
+#: Two similar sets share one of so many first tokens of each, in any order that all sets have in common.
+_FIRST_TOKENS = f"({_differing('n', _MET)} + 1)"
 
-#: Whether sets x and y can be similar, by their lengths and by how many words their prefixes, and the whole sets, can
-#: share at most (bits that differ are words of one of the two alone).
+#: Whether sets x and y can be similar, by their lengths and by how many words they can share at most (bits that differ
+#: are words of one of the two alone, and so is a word at least of parts that differ).
 _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
-  AND {100 + PERCENT} * ((x.n + y.n - bit_count(x.low ^ y.low) - bit_count(x.high ^ y.high)) div 2) >= {PERCENT} * (x.n + y.n)
-  AND {100 + PERCENT} * (({_prefix_length("x.n")} + {_prefix_length("y.n")} - bit_count(x.bits ^ y.bits)) div 2
-    + greatest(x.n - {_prefix_length("x.n")}, y.n - {_prefix_length("y.n")})) >= {PERCENT} * (x.n + y.n)
-  AND (x.wide IS NULL OR y.wide IS NULL OR size(x.wide) <> size(y.wide) OR {100 + PERCENT} * ((x.n + y.n
-    - aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, b) -> s + b)) div 2) >= {PERCENT} * (x.n + y.n))"""
+  AND bit_count(x.low ^ y.low) + bit_count(x.high ^ y.high) <= {_differing("x.n", "y.n")}
+  AND (x.wide IS NULL OR y.wide IS NULL OR {_class("x.n")} <> {_class("y.n")}
+    OR size(array_intersect(x.wide, y.wide)) >= greatest(size(x.wide), size(y.wide)) - {_differing("x.n", "y.n")})"""
 
-
-#: Whether x and y can be similar if this word is the first that they share: all others that they share come behind it.
-_POSSIBLE_FROM_HERE = f"{100 + PERCENT} * (1 + least(x.n - x.pos, y.n - y.pos)) >= {PERCENT} * (x.n + y.n)"
-
-#: Whether a shared word is the first that x and y share, as far as the two words before it tell. A pair always
-#: passes at its first one; one that shares several words in a row is made once for them.
-_FIRST_MEETING = " AND ".join(f"NOT (x.before{i} <=> y.before{j} AND x.before{i} IS NOT NULL)" for i in (1, 2) for j in (1, 2))
+#: Whether a shared token is the first that x and y share, as far as the one before it tells. A pair always passes at
+#: its first one; one that shares several tokens in a row is made once for them.
+_FIRST_MEETING = "NOT (x.before <=> y.before AND x.before IS NOT NULL)"
 
 
 def _version(text: Column) -> Column:
@@ -94,127 +80,146 @@ def _version(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x3FFFFFFF))
 
 
-def _bits(words: str, condition: str = "true") -> Column:
-    """64 bits, each set if an odd number of words has it by their hash, so that they tell many words apart as well as few."""
-    return F.expr(f"aggregate({words}, 0L, (a, k) -> a ^ if({condition}, shiftleft(1L, CAST(k & 63 AS INT)), 0L))")
+def _place() -> Column:
+    """A line of one of the texts of an id."""
+    return (F.shiftleft("version", 32) + F.col("line")).alias("place")
 
 
-def _wide(words: str) -> Column:
-    """Further such bits of a long line, null for others."""
-    out = F.lit(None).cast("array<bigint>")
-    for (least, _), (below, many) in reversed([*zip(WIDE, WIDE[1:], strict=False)]):
-        part = f"transform(sequence(0, {many - 1}), j -> aggregate({words}, 0L, (a, k) -> a ^ if((k >> 7) & {many - 1} = j, shiftleft(1L, CAST(k & 63 AS INT)), 0L)))"
-        out = F.when((F.size(words) >= least) & (F.size(words) < below), F.expr(part)).otherwise(out)
-    return out
+@contextmanager
+def _lists_in_memory(spark: SparkSession) -> Iterator[None]:
+    """Tokens are gathered by line in memory: a task has as many lists as lines, and a list is no longer than its line."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class LineJoin:
     """The lines of documents, their classes of equal word sets, and which of them come later than a similar one.
 
+    The words of a line are dealt by hash into so many parts that a similar line has one of
+    them, at least, with the same words. A part with its words is a token, and lines that
+    share one of the first tokens of each are compared. A token mostly stands for several
+    words, the longest come first, and few lines share one by chance.
+
     With ``short_chars``, lines of fewer than LEAST_WORDS different words are copies if they
     equal an earlier one, A-Z lower-cased and white space of any length as one space, and
     have at least so many characters then. This holds for any script, spaced or not.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, short_chars: int | None = None):
-        self.scratch = Scratch(docs.sparkSession)
+        self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark)
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.read = docs.select(F.col(id_col).alias("id"), _version(text).alias("version"), text.alias("text"))
-        self.ranks = word_ranks(self.read)
-        named = self.read.where("id IS NOT NULL")
-        each = named.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-        keyed = each.select("id", "version", "line", "content", word_keys(F.col("content"), self.ranks).alias("k"))
-        if short_chars is not None:
-            squeezed = F.array_join(line_words(F.col("content")), " ")
-            judged = (F.size("k") < LEAST_WORDS) & (F.length("content") >= short_chars)
-            digest = F.when(judged, F.when(F.length(squeezed) >= short_chars, F.unhex(F.md5(squeezed.cast("binary")))))
-            keyed = keyed.withColumn("whole", digest)
-        prefix = F.expr(f"slice(k, 1, {_prefix_length('size(k)')})")
-        place = (F.shiftleft("version", 32) + F.col("line")).alias("place")
-        lines = self.scratch.write(keyed.select(
-            F.struct("id", place).alias("at"), F.size("k").alias("n"), F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), "k").alias("h2"), prefix.alias("prefix"),
-            _bits("k", "k & 64 = 0").alias("low"), _bits("k", "k & 64 <> 0").alias("high"), _wide("k").alias("wide"), *([] if short_chars is None else [F.col("whole")]),
-        ))
-        # a filter before the writing would have all keys made twice
-        short, lines = lines, lines.where(F.col("n") >= LEAST_WORDS)
-        #: The first line of every different word set, with its prefix; numbers (seq) are in the order of the lines.
-        first = lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "prefix", "low", "high", "wide")))
-        ordered = first.repartitionByRange("at").sortWithinPartitions("at")
-        self.classes = self.scratch.write(ordered.select(
-            F.monotonically_increasing_id().alias("seq"), "at", "n", "prefix", _bits("prefix").alias("bits"), "low", "high", "wide", "h1", "h2"
-        ))
-        #: The other lines of every class.
-        lead = self.classes.select("h1", "h2", F.col("at").alias("lead"))
-        copies = lines.select("h1", "h2", "at").join(lead, ["h1", "h2"]).where("at <> lead").select("at")
+        with _lists_in_memory(self.spark):
+            dealt = self.scratch.write(self._dealt(short_chars))
+        own = dealt.where("guest = 0")
+        alike = own.groupBy("n", "h1", "h2").agg(F.min("seq").alias("lead"), F.count("*").alias("many"))
+        #: The lines to be judged by their numbers (seq), which are in the order of the lines.
+        self.lines = self.scratch.write(own.select("id", "version", "line", "seq"))
+        #: The other lines of every class of equal word sets, and the first of each.
+        self.copies = self.scratch.write(own.select("n", "h1", "h2", "seq").join(alike.where("many > 1"), ["n", "h1", "h2"]).where("seq <> lead").select("seq"))
+        first = dealt.where(F.col("n") >= LEAST_WORDS).join(self.copies, "seq", "left_anti")
+        #: A row for each class, and one more (guest) where it can be similar to lines of the next size class.
+        self.classes = self.scratch.write(first.select("seq", "guest", "n", "low", "high", "wide", "tokens"))
+        self.scratch.drop(dealt)
+
+    def _dealt(self, short_chars: int | None) -> DataFrame:
+        """(id, version, line, seq, guest, n, h1, h2, low, high, wide, tokens) of the lines to be judged."""
+        # rows with one id and one text are one document; what follows stays in the tasks that have its documents
+        named = self.read.where("id IS NOT NULL").repartitionByRange("id", "version")
+        ordered = named.groupBy("id", "version").agg(F.first("text").alias("text")).sortWithinPartitions("id", "version")
+        each = ordered.select("id", "version", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "content"))
+        said = line_words(F.col("content"))
+        short = F.array().cast("array<string>")
         if short_chars is not None:
-            whole = short.where("whole IS NOT NULL").select("whole", "at")
-            first = whole.groupBy("whole").agg(F.min("at").alias("lead"), F.count("*").alias("many")).where("many > 1")
-            copies = copies.union(whole.join(first, "whole").where("at <> lead").select("at"))
-        self.copies = self.scratch.write(copies)
-        self.scratch.drop(short)
+            squeezed = F.array_join(said, " ")
+            short = F.when((F.length("content") >= short_chars) & (F.length(squeezed) >= short_chars), F.array(squeezed)).otherwise(short)
+        different = F.array_distinct(said)
+        kept = each.select("id", "version", "line", F.monotonically_increasing_id().alias("seq"), F.size(different).alias("n"), F.when(F.size(different) >= LEAST_WORDS, different).otherwise(short).alias("words"))
+        guests = F.expr(f"if(100 * n div {PERCENT} >= 2 * {_least(_class('n'))} AND n >= {LEAST_WORDS}, array(0, 1), array(0))")
+        dealt = kept.select("id", "version", "seq", "line", "n", F.explode(guests).alias("guest"), "words")
+        # what holds for a line is made before its words are rows
+        tagged = dealt.select("id", "version", "seq", F.expr("(CAST(n AS BIGINT) << 33) | (CAST(line AS BIGINT) << 1) | guest").alias("tag"), F.expr(_parts(_IN)).alias("m"), "words")
+        parts = tagged.select("id", "version", "seq", "tag", "m", F.explode("words").alias("w"))
+        hashed = parts.select("id", "version", "seq", "tag", "m", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.octet_length("w").alias("size"))
+        bit = F.expr("shiftleft(1L, CAST(g & 63 AS INT))")
+        by_part = hashed.groupBy("id", "version", "seq", "tag", F.pmod("h", "m").alias("part")).agg(
+            F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"), F.sum("size").alias("size"),
+            # each bit set if an odd number of words has it by their hash, so that they tell many words apart as well as few
+            F.bit_xor(F.when(F.expr("g & 64 = 0"), bit).otherwise(F.lit(0).cast("bigint"))).alias("low"), F.bit_xor(F.when(F.expr("g & 64 <> 0"), bit).otherwise(F.lit(0).cast("bigint"))).alias("high"),
+        )
+        token = F.expr(f"shiftleft({LONGEST} - least(size, {LONGEST}), {PART_BITS + HASH_BITS}) | shiftleft(part, {HASH_BITS}) | (shiftrightunsigned(h, {64 - HASH_BITS}))")
+        by_line = by_part.groupBy("id", "version", "seq", "tag").agg(*(F.bit_xor(c).alias(c) for c in ("h", "g", "low", "high")), F.collect_list(token).alias("tokens"))
+        untagged = by_line.select(
+            "id", "version", F.expr("CAST((tag >> 1) & 4294967295L AS INT)").alias("line"), "seq", F.expr("CAST(tag & 1 AS INT)").alias("guest"), F.expr("CAST(tag >> 33 AS INT)").alias("n"),
+            F.col("h").alias("h1"), F.col("g").alias("h2"), "low", "high", F.sort_array("tokens").alias("tokens"),
+        )
+        # the parts without words come last in the order of tokens
+        held = f"transform(tokens, t -> shiftright(t, {HASH_BITS}) & {(1 << PART_BITS) - 1})"
+        empty = f"transform(array_except(sequence(0L, {_parts(_IN)} - 1L), {held}), p -> shiftleft({LONGEST}L, {PART_BITS + HASH_BITS}) | shiftleft(p, {HASH_BITS}))"
+        tokens = F.expr(f"if(size(tokens) >= {_FIRST_TOKENS}, slice(tokens, 1, {_FIRST_TOKENS}), concat(tokens, slice({empty}, 1, {_FIRST_TOKENS} - size(tokens))))")
+        return untagged.select(
+            "id", "version", "line", "seq", "guest", "n", "h1", "h2", "low", "high", F.when((F.col("n") >= WIDE) & (F.col("guest") == 0), F.col("tokens")).alias("wide"),
+            F.when(F.col("n") >= LEAST_WORDS, tokens).alias("tokens"),
+        )
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (later, earlier) of numbers of classes whose whole word sets are similar enough."""
         pairs = self.scratch.write(pairs)
         wanted = pairs.select(F.col("later").alias("seq")).union(pairs.select("earlier")).distinct()
-        named = self.scratch.write(self.classes.select("seq", F.col("at").alias("id")).join(wanted, "seq"))
-        line = (F.shiftleft("version", 32) + F.col("line")).alias("place")
-        each = self.read.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+        named = self.scratch.write(self.lines.select("seq", F.struct("id", _place()).alias("id")).join(wanted, "seq"))
+        each = self.read.select("id", "version", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "content"))
         # most lines are left where they are before their places are compared
-        cut = _perhaps(each.select(F.struct("id", line).alias("id"), "content"), self.scratch.write(_marked(named)))
+        cut = _perhaps(each.select(F.struct("id", _place()).alias("id"), "content"), self.scratch.write(_marked(named)))
         chosen = cut.join(named, "id").groupBy("seq").agg(F.first("content").alias("content"))
-        sets = self.scratch.write(chosen.select("seq", word_keys(F.col("content"), self.ranks).alias("k")))
+        words = F.array_distinct(F.transform(line_words(F.col("content")), lambda w: F.xxhash64(w)))
+        sets = self.scratch.write(chosen.select("seq", words.alias("k")))
         both = pairs.join(sets.toDF("later", "k1"), "later").join(sets.toDF("earlier", "k2"), "earlier")
         shared = F.size(F.array_intersect("k1", "k2"))
         found = self.scratch.write(both.where(100 * shared >= PERCENT * (F.size("k1") + F.size("k2") - shared)).select("later", "earlier"))
         self.scratch.drop(pairs, named, sets)
         return found
 
-    def _meetings(self, number: int) -> DataFrame:
-        """(word, seq, pos, many, lead) of the classes that can meet others at a word of one pass, with the first class that has the word."""
-        words = self.classes.select("seq", "n", F.posexplode("prefix").alias("pos", "word")).where(F.pmod("word", F.lit(PASSES)) == number)
-        words = words.select("word", "seq", (F.col("pos") + 1).alias("pos"), F.expr(f"pos < {_short_prefix_length('n')}").alias("able"))
-        # a word that one prefix alone has, or that comes late in all of them, is of no more use
-        several = words.groupBy("word").agg(F.count("*").alias("many"), F.min("seq").alias("lead"), F.max("able").alias("able"))
-        several = several.where("many > 1 AND able").drop("able")
-        return self.scratch.write(words.drop("able").join(several, "word"))
+    def _meetings(self) -> DataFrame:
+        """(word, seq, before, lead, last, nth, more) of the classes that share a token with earlier ones, the first (lead) and the last of them; before: their own token that stands before it; more: others come later."""
+        tokens = self.classes.select("seq", F.expr(_IN).alias("c"), "tokens", F.posexplode("tokens").alias("pos", "token"))
+        tokens = tokens.select(F.xxhash64("c", "token").alias("word"), "seq", F.get("tokens", F.col("pos") - 1).alias("before"))
+        order = Window.partitionBy("word").orderBy("seq")
+        lead = F.first("seq").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        placed = tokens.select(
+            "word", "seq", "before", lead.alias("lead"), F.lag("seq").over(order).alias("last"), F.row_number().over(order).alias("nth"), F.lead("seq").over(order).isNotNull().alias("more")
+        )
+        return self.scratch.write(placed.where("nth > 1"))
 
     def repeated(self) -> DataFrame:
         """(id, version, line) of all lines that an earlier line is similar to.
 
         Lines with the same word set are one class, led by its first line. Classes that share a
-        word of their prefixes meet. Each is compared with the first of those it meets; one that
-        this doesn't decide is compared with all earlier ones that the filters leave.
+        token meet. Each is compared with the first and the last of the earlier ones that it meets
+        at a token; one that this doesn't decide is compared with all that the filters leave.
         """
-        about = self.classes.select("seq", "n", "bits", "low", "high", "wide")
-        meetings = [self._meetings(i) for i in range(PASSES)]
-        stars = []
-        for found in meetings:
-            pairs = found.where("seq > lead").select("seq", "lead").distinct().alias("p")
-            with_x = pairs.join(about.alias("x"), F.expr("p.seq = x.seq"))
-            near = with_x.join(about.alias("y"), F.expr(f"p.lead = y.seq AND {_POSSIBLE}"))
-            stars.append(self.scratch.write(near.select(F.col("p.seq").alias("later"), F.col("p.lead").alias("earlier"))))
-        links = self.confirmed(functools.reduce(DataFrame.union, stars).distinct())
-        self.scratch.drop(*stars)
+        about = self.classes.where("guest = 0").select("seq", "n", "low", "high", "wide")
+        found = self._meetings()
+        pairs = found.select("seq", F.explode(F.array("lead", "last")).alias("earlier")).where("seq > earlier").distinct().alias("p")
+        with_x = pairs.join(about.alias("x"), F.expr("p.seq = x.seq"))
+        near = with_x.join(about.alias("y"), F.expr(f"p.earlier = y.seq AND {_POSSIBLE}"))
+        links = self.confirmed(near.select(F.col("p.seq").alias("later"), F.col("p.earlier").alias("earlier")))
         decided = links.select(F.col("later").alias("seq")).distinct()
-        rests = []
-        for found in meetings:
-            crowded = found.where("many > 2").join(self.classes.select(*about.columns, "prefix"), "seq")
-            block = self.scratch.write(crowded.select(
-                "word", *about.columns, "pos", (F.col("seq") == F.col("lead")).alias("lead"),
-                *(F.get("prefix", F.col("pos") - 1 - i).alias(f"before{i}") for i in (1, 2)),
-            ))
-            self.scratch.drop(found)
-            x, y = block.join(decided, "seq", "left_anti").alias("x"), block.where("NOT lead").alias("y")
-            met = x.join(y, F.expr(f"x.word = y.word AND x.seq > y.seq AND {_POSSIBLE} AND {_POSSIBLE_FROM_HERE} AND {_FIRST_MEETING}"))
-            rests.append(self.scratch.write(met.select(F.col("x.seq").alias("later"), F.col("y.seq").alias("earlier")).distinct()))
-            self.scratch.drop(block)
-        more = self.confirmed(functools.reduce(DataFrame.union, rests).distinct())
-        later = decided.union(more.select(F.col("later").alias("seq"))).distinct()
-        found = self.scratch.write(self.copies.union(self.classes.join(later, "seq").select("at")).distinct().select(
-            "at.id", F.shiftright("at.place", 32).alias("version"), F.col("at.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("line")
-        ))
-        self.scratch.drop(self.copies, self.classes, links, more, *rests)
+        crowded = found.where("nth > 2 OR more").join(about, "seq")
+        block = self.scratch.write(crowded.select("word", *about.columns, "nth", "before"))
+        self.scratch.drop(found)
+        x, y = block.where("nth > 2").join(decided, "seq", "left_anti").alias("x"), block.alias("y")
+        met = x.join(y, F.expr(f"x.word = y.word AND x.seq > y.seq AND {_POSSIBLE} AND {_FIRST_MEETING}"))
+        more = self.confirmed(met.select(F.col("x.seq").alias("later"), F.col("y.seq").alias("earlier")).distinct())
+        self.scratch.drop(block)
+        later = decided.union(more.select(F.col("later").alias("seq"))).union(self.copies).distinct()
+        found = self.scratch.write(self.lines.join(later, "seq", "left_semi").select("id", "version", "line"))
+        self.scratch.drop(self.lines, self.copies, self.classes, links, more)
         return found
 
 

@@ -533,3 +533,44 @@ def test_wide_rows_of_line_words_are_held_for_one_pass_at_a_time(spark, monkeypa
     sets = [set(line.split()) for line in lines]
     assert gone == {i for i, s in enumerate(sets) if any(10 * len(s & e) >= 8 * len(s | e) for e in sets[:i])}
     assert most[0] == 1 and not live
+
+
+def test_lines_that_share_single_words_do_not_meet(spark, monkeypatch):
+    from caselens.llm.lines import line_duplicates
+    from caselens.llm.store import Scratch
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(600)]
+    made = [" ".join(rng.sample(words, 40)) for _ in range(200)]
+    made.append(" ".join([*made[7].split()[:38], "other", "one"]))
+    met, write = [], Scratch.write
+
+    def written(self, df):
+        out = write(self, df)
+        if {"word", "seq"} <= set(df.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", written)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r.doc_id for r in line_duplicates(docs).where("n_removed > 0").collect()} == {200}
+    # every word is in dozens of lines, so that any prefix of single words meets nearly all of them
+    assert met and sum(met) < 2 * len(made)
+
+
+def test_lines_of_neighbouring_sizes_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    made = []
+    for n in [*range(4, 26), 39, 40, 41, 79, 80, 200, 241]:
+        base = rng.sample(words, n) if n <= 60 else [f"v{i}" for i in range(n)]
+        for cut in range(0, n // 3 + 1, 1 if n < 30 else n // 9):
+            made.append(base[cut:] + [f"x{rng.randrange(4)}" for _ in range(rng.randrange(2))])
+            made.append([*base, *(f"y{j}" for j in range(cut))])
+    # few words, which often fall into few parts
+    made += [rng.sample(words[:9], rng.randrange(5, 9)) for _ in range(120)]
+    rng.shuffle(made)
+    sets = [set(s) for s in made]
+    want = {i for i, s in enumerate(sets) if len(s) >= lines.LEAST_WORDS and any(len(e) >= lines.LEAST_WORDS and 10 * len(s & e) >= 8 * len(s | e) for e in sets[:i])}
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(made)], "doc_id long, text string")
+    assert {r.doc_id for r in lines.line_duplicates(docs).where("n_removed > 0").collect()} == want
