@@ -70,9 +70,9 @@ _POSSIBLE = f"""100 * x.n >= {PERCENT} * y.n AND 100 * y.n >= {PERCENT} * x.n
   AND (x.wide IS NULL OR y.wide IS NULL OR {_class("x.n")} <> {_class("y.n")}
     OR size(array_intersect(x.wide, y.wide)) >= greatest(size(x.wide), size(y.wide)) - {_differing("x.n", "y.n")})"""
 
-#: Whether a shared token is the first that x and y share, as far as the one before it tells. A pair always passes at
-#: its first one; one that shares several tokens in a row is made once for them.
-_FIRST_MEETING = "NOT (x.before <=> y.before AND x.before IS NOT NULL)"
+#: Whether a shared token is the first that x and y share, as far as the two tokens before it tell. A pair always
+#: passes at its first one; one that shares several tokens in a row is made once for them.
+_FIRST_MEETING = " AND ".join(f"NOT (x.before{i} <=> y.before{j} AND x.before{i} IS NOT NULL)" for i in (1, 2) for j in (1, 2))
 
 
 def _version(text: Column) -> Column:
@@ -186,13 +186,13 @@ class LineJoin:
         return found
 
     def _meetings(self) -> DataFrame:
-        """(word, seq, before, lead, last, nth, more) of the classes that share a token with earlier ones, the first (lead) and the last of them; before: their own token that stands before it; more: others come later."""
+        """(word, seq, before1, before2, lead, last, nth, more) of the classes that share a token with earlier ones, the first (lead) and the last of them; before1 and before2: their own tokens that stand before it; more: others come later."""
         tokens = self.classes.select("seq", F.expr(_IN).alias("c"), "tokens", F.posexplode("tokens").alias("pos", "token"))
-        tokens = tokens.select(F.xxhash64("c", "token").alias("word"), "seq", F.get("tokens", F.col("pos") - 1).alias("before"))
+        tokens = tokens.select(F.xxhash64("c", "token").alias("word"), "seq", *(F.get("tokens", F.col("pos") - i).alias(f"before{i}") for i in (1, 2)))
         order = Window.partitionBy("word").orderBy("seq")
         lead = F.first("seq").over(order.rowsBetween(Window.unboundedPreceding, 0))
         placed = tokens.select(
-            "word", "seq", "before", lead.alias("lead"), F.lag("seq").over(order).alias("last"), F.row_number().over(order).alias("nth"), F.lead("seq").over(order).isNotNull().alias("more")
+            "word", "seq", "before1", "before2", lead.alias("lead"), F.lag("seq").over(order).alias("last"), F.row_number().over(order).alias("nth"), F.lead("seq").over(order).isNotNull().alias("more")
         )
         return self.scratch.write(placed.where("nth > 1"))
 
@@ -211,10 +211,10 @@ class LineJoin:
         links = self.confirmed(near.select(F.col("p.seq").alias("later"), F.col("p.earlier").alias("earlier")))
         decided = links.select(F.col("later").alias("seq")).distinct()
         crowded = found.where("nth > 2 OR more").join(about, "seq")
-        block = self.scratch.write(crowded.select("word", *about.columns, "nth", "before"))
+        block = self.scratch.write(crowded.select("word", *about.columns, "nth", "last", "before1", "before2"))
         self.scratch.drop(found)
         x, y = block.where("nth > 2").join(decided, "seq", "left_anti").alias("x"), block.alias("y")
-        met = x.join(y, F.expr(f"x.word = y.word AND x.seq > y.seq AND {_POSSIBLE} AND {_FIRST_MEETING}"))
+        met = x.join(y, F.expr(f"x.word = y.word AND x.seq > y.seq AND x.last <> y.seq AND {_POSSIBLE} AND {_FIRST_MEETING}"))
         more = self.confirmed(met.select(F.col("x.seq").alias("later"), F.col("y.seq").alias("earlier")).distinct())
         self.scratch.drop(block)
         later = decided.union(more.select(F.col("later").alias("seq"))).union(self.copies).distinct()
